@@ -66,8 +66,8 @@ def pad_front(a: Column, width: int, fill: Column) -> Column:
     return F.concat(F.array_repeat(fill, (F.lit(width) - F.size(a)).cast("int")), a)
 
 
-def nearest(samples: Column, target: Column, time: str, value: str) -> Column:
-    """Value of the sample nearest to ``target``; the earlier one on a tie."""
+def nearest(samples: Column, target: Column, time: str) -> Column:
+    """The sample (a struct) nearest to ``target``; the earlier one on a tie."""
     ranked = F.transform(samples, lambda s: F.struct(
-        F.abs(s[time] - target).alias("d"), s[time].alias("t"), s[value].alias("v")))
-    return F.array_min(ranked)["v"]
+        F.abs(s[time] - target).alias("d"), s[time].alias("t"), s.alias("s")))
+    return F.array_min(ranked)["s"]

@@ -155,7 +155,7 @@ SELECT event_id, round(CASE WHEN NOT outlier OR ok < 2 THEN value WHEN lr IS NUL
 _repair("w17_repair_median", """m AS (SELECT exp_id, quantile_cont(value, 0.5) AS v FROM fl WHERE NOT outlier GROUP BY 1)
 SELECT event_id, round(CASE WHEN outlier THEN v ELSE value END, 6) + 0.0 AS repaired FROM fl LEFT JOIN m USING (exp_id)""", "median")
 _repair("w17_repair_mean", """m AS (SELECT exp_id, avg(value) AS v FROM fl WHERE NOT outlier GROUP BY 1)
-SELECT event_id, round(CASE WHEN outlier THEN v ELSE value END, 7) + 0.0 AS repaired FROM fl LEFT JOIN m USING (exp_id)""", "mean", 7)
+SELECT event_id, round(CASE WHEN outlier THEN v ELSE value END, 8) + 0.0 AS repaired FROM fl LEFT JOIN m USING (exp_id)""", "mean", 8)
 _repair("w18_repair_clip", """m AS (SELECT exp_id, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM fl WHERE NOT outlier GROUP BY 1),
 z AS (SELECT exp_id, bool_or(outlier) AS bad FROM fl GROUP BY 1)
 SELECT event_id, round(CASE WHEN bad THEN least(greatest(value, a - 1.5 * (b - a)), b + 1.5 * (b - a)) ELSE value END, 6) + 0.0 AS repaired
