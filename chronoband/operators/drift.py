@@ -16,6 +16,7 @@ from chronoband.functions import arrays as A
 from chronoband.functions.tails import ks_pvalue
 from chronoband.operators.ordered import attach, framed, group_sizes, indexed, scanned
 from chronoband.operators.rhythm import PHASES
+from chronoband.session import materialise
 
 PSI_BINS = 20
 PSI_FLOOR = 1e-6
@@ -31,15 +32,16 @@ def distances(df: DataFrame, keys: Sequence[str], value: str, side: str, base: s
     d = df.filter(F.col(side).isin(base, *targets) & F.col(value).isNotNull())
     counts = d.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
         F.count_if(F.col(side) == base).alias("b"), *[F.count_if(F.col(side) == t).alias(f"c{k}") for k, t in enumerate(targets)])
+    counts = materialise(counts)                    # read by every step below
     peak = group_sizes(counts, keys)[0]
     totals = counts.groupBy(*keys).agg(F.sum("b").alias("nb"), *[F.sum(f"c{k}").alias(f"n{k}") for k in ks])
     run = indexed(counts, keys, ["v"], "_rn", "_size", peak)
-    run = scanned(run, keys, ["v"], total={"B": F.col("b"), **{f"C{k}": F.col(f"c{k}") for k in ks}}, peak=peak, rn="_rn")
+    run = scanned(run, keys, ["v"], total={"cum_b": F.col("b"), **{f"cum_c{k}": F.col(f"c{k}") for k in ks}}, peak=peak, rn="_rn")
     run = framed(run, keys, ["v"], 0, 1, {"_next": lambda w: F.lead("v").over(w)}, peak, "_rn")
     run = attach(run, totals, keys)
 
     def gap(k):
-        return F.abs(F.col("B") / F.col("nb") - F.col(f"C{k}") / F.col(f"n{k}"))
+        return F.abs(F.col("cum_b") / F.col("nb") - F.col(f"cum_c{k}") / F.col(f"n{k}"))
     width = F.coalesce(F.col("_next") - F.col("v"), F.lit(0.0))
     aggs = [F.max("nb").alias("nb")]
     for k in ks:
@@ -60,7 +62,7 @@ def _psi(run: DataFrame, counts: DataFrame, totals: DataFrame, keys: list[str],
     """Edges are quantiles of base and target together; a row of the running table
     knows which edge ranks it holds, so only edge rows are expanded."""
     def holder(k):
-        pooled, own = F.col("B") + F.col(f"C{k}"), F.col("b") + F.col(f"c{k}")
+        pooled, own = F.col("cum_b") + F.col(f"cum_c{k}"), F.col("b") + F.col(f"c{k}")
         n = F.col("nb") + F.col(f"n{k}")
         step = (n - 1) / F.lit(float(bins))
         first, last = pooled - own, pooled - 1      # ranks of this value, from 0
@@ -90,14 +92,14 @@ def _psi(run: DataFrame, counts: DataFrame, totals: DataFrame, keys: list[str],
     cols = ["b", *[f"c{k}" for k in range(n_targets)]]
     both = counts.withColumn("_kind", F.lit(1)).unionByName(edges.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     both = both.na.fill(0, cols)
-    seen = scanned(both, keys, ["v", "_kind", "_k"], total={c.upper(): F.col(c) for c in cols}, peak=peak * 2 + 1)
+    seen = scanned(both, keys, ["v", "_kind", "_k"], total={f"cum_{c}": F.col(c) for c in cols}, peak=peak * 2 + 1)
     seen = attach(seen.filter(F.col("_kind") == 0), totals, keys)
     mine, size = F.lit(None).cast("long"), F.lit(None).cast("long")
     for k in range(n_targets):
-        mine = F.when(F.col("_k") == k, F.col(f"C{k}")).otherwise(mine)
+        mine = F.when(F.col("_k") == k, F.col(f"cum_c{k}")).otherwise(mine)
         size = F.when(F.col("_k") == k, F.col(f"n{k}")).otherwise(size)
     closed = F.col("v") == F.col("_last")           # the last bin includes its right edge
-    below = F.struct("v", F.when(closed, F.col("nb")).otherwise(F.col("B")).alias("b"), F.when(closed, size).otherwise(mine).alias("c"))
+    below = F.struct("v", F.when(closed, F.col("nb")).otherwise(F.col("cum_b")).alias("b"), F.when(closed, size).otherwise(mine).alias("c"))
     per = seen.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(below)).alias("x"), F.max("_edges").alias("_edges"),
                                         F.max("nb").alias("nb"), F.max(size).alias("nt"))
 
