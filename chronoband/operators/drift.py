@@ -64,11 +64,11 @@ def _psi(run: DataFrame, counts: DataFrame, totals: DataFrame, keys: list[str],
     def holder(k):
         pooled, own = F.col("cum_b") + F.col(f"cum_c{k}"), F.col("b") + F.col(f"c{k}")
         n = F.col("nb") + F.col(f"n{k}")
-        step = (n - 1) / F.lit(float(bins))
         first, last = pooled - own, pooled - 1      # ranks of this value, from 0
-        # ranks whose floor (lo) or ceiling (hi) falls on this value
-        lo_a, lo_b = F.ceil(first / step - 1e-9), F.ceil((last + 1) / step - 1e-9) - 1
-        hi_a, hi_b = F.floor((first - 1) / step + 1e-9) + 1, F.floor(last / step + 1e-9)
+        edge_no = lambda rank: rank * bins / (n - 1)
+        # edges whose lower (floor) or upper (ceiling) rank is this value
+        lo_a, lo_b = F.ceil(edge_no(first)), F.ceil(edge_no(last + 1)) - 1
+        hi_a, hi_b = F.floor(edge_no(first - 1)) + 1, F.floor(edge_no(last))
         return F.when((own > 0) & (F.col(f"n{k}") > 0) & (n > 1), F.struct(
             F.lit(k).alias("k"), n.alias("n"),
             F.greatest(lo_a, F.lit(0)).alias("la"), F.least(lo_b, F.lit(bins)).alias("lb"),
@@ -84,8 +84,8 @@ def _psi(run: DataFrame, counts: DataFrame, totals: DataFrame, keys: list[str],
     hit = hit.select(*keys, F.col("s.k").alias("_k"), F.col("s.n").alias("n"), "v", F.inline(marks))
     edges = hit.groupBy(*keys, "_k", "j").agg(
         F.max("n").alias("n"), F.max(F.when(F.col("t") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("t") == "hi", F.col("v"))).alias("hi"))
-    pos = (F.col("n") - 1) * (F.col("j") / F.lit(float(bins)))
-    edge = F.col("lo") + (F.col("hi") - F.col("lo")) * (pos - F.floor(pos))
+    part = F.pmod((F.col("n") - 1) * F.col("j"), F.lit(bins)) / F.lit(float(bins))
+    edge = F.col("lo") + (F.col("hi") - F.col("lo")) * part
     edges = edges.select(*keys, "_k", edge.alias("v")).distinct()
     per = edges.groupBy(*keys, "_k").agg(F.max("v").alias("_last"), F.count(F.lit(1)).alias("_edges"))
     edges = edges.join(per, [*keys, "_k"])

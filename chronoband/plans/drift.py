@@ -46,7 +46,8 @@ cc AS (SELECT {keys}, target, v, count(*) FILTER (side = 0) AS b, count(*) FILTE
 cu AS (SELECT *, sum(b) OVER w AS cb, sum(c) OVER w AS ct, lead(v) OVER w - v AS wd FROM cc WINDOW w AS (PARTITION BY {keys}, target ORDER BY v)),
 fg AS (SELECT *, abs(cb / n0::DOUBLE - ct / n1::DOUBLE) AS g FROM cu JOIN nn USING ({keys}, target) WHERE n0 > 0 AND n1 > 0),
 ds AS (SELECT {keys}, target, max(g) AS ks, sum(g * coalesce(wd, 0)) AS w1, sqrt(2 * sum(g * g * coalesce(wd, 0))) AS en FROM fg GROUP BY ALL),
-ql AS (SELECT {keys}, target, quantile_cont(v, [i / 20.0::DOUBLE FOR i IN range(21)]) AS q FROM src GROUP BY ALL),
+sl AS (SELECT {keys}, target, list(v ORDER BY v) AS l FROM src GROUP BY ALL),
+ql AS (SELECT {keys}, target, [l[((len(l) - 1) * i) // 20 + 1] + (l[least(((len(l) - 1) * i) // 20 + 2, len(l))] - l[((len(l) - 1) * i) // 20 + 1]) * ((((len(l) - 1) * i) % 20) / 20.0::DOUBLE) FOR i IN range(21)] AS q FROM sl),
 qe AS (SELECT DISTINCT {keys}, target, unnest(q) AS e FROM ql), qb AS (SELECT *, lead(e) OVER w AS e2, lead(e, 2) OVER w IS NULL AS fin, count(*) OVER (PARTITION BY {keys}, target) AS ne FROM qe WINDOW w AS (PARTITION BY {keys}, target ORDER BY e)),
 hh AS (SELECT {keys}, target, qb.e, ne, count(*) FILTER (side = 0) AS h0, count(*) FILTER (side = 1) AS h1 FROM qb LEFT JOIN src USING ({keys}, target) WHERE e2 IS NOT NULL AND v >= e AND (v < e2 OR (fin AND v = e2)) GROUP BY ALL),
 fl AS (SELECT *, greatest(h0 / n0::DOUBLE, 1e-6) AS p, greatest(h1 / n1::DOUBLE, 1e-6) AS t FROM hh JOIN nn USING ({keys}, target) WHERE n0 > 0 AND n1 > 0),
