@@ -66,8 +66,10 @@ def pad_front(a: Column, width: int, fill: Column) -> Column:
     return F.concat(F.array_repeat(fill, (F.lit(width) - F.size(a)).cast("int")), a)
 
 
-def nearest(samples: Column, target: Column, time: str) -> Column:
-    """The sample (a struct) nearest to ``target``; the earlier one on a tie."""
-    ranked = F.transform(samples, lambda s: F.struct(
-        F.abs(s[time] - target).alias("d"), s[time].alias("t"), s.alias("s")))
-    return F.array_min(ranked)["s"]
+def nearest(samples: Column, times: Column, target: Column, time: str) -> Column:
+    """The sample (a struct) nearest to ``target``; the earlier one on a tie.
+    ``samples`` are sorted, ``times`` are their times as a plain array."""
+    def around(p):
+        before, after = F.get(samples, p - 1), F.get(samples, p)
+        return F.when(before.isNull() | (target - before[time] > after[time] - target), after).otherwise(before)
+    return let(F.size(F.filter(times, lambda t: t < target)), around)

@@ -205,40 +205,59 @@ def _cubic_polynomials(k: DataFrame, group: list[str], peak: int | None) -> Data
         F.when((F.col("rn") <= F.col("_own") * size + SPLINE_HALO + 1) & (F.col("_own") > 0), F.col("_own") - 1),
     )
     k = k.withColumn("_home", F.explode(F.filter(homes, lambda x: x.isNotNull())))
-    coef = T.StructType([T.StructField(x, T.DoubleType()) for x in ("t0", "c0", "c1", "c2", "c3", "knot")]
-                        + [T.StructField("last", T.BooleanType()), T.StructField("n", T.LongType())])
-    keys = T.StructType([k.schema[g] for g in group])
-    schema = T.StructType(keys.fields + [T.StructField(x, T.DoubleType()) for x in
-                                         ("t", "y", "t0", "c0", "c1", "c2", "c3")]
-                          + [T.StructField("last", T.BooleanType()), T.StructField("n", T.LongType())])
-
-    def solve(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("rn")
-        t, y = p["t"].to_numpy(float), p["y"].to_numpy(float)
-        n = int(p["n"].iloc[0])
-        out = p[group + ["t", "y"]].copy()
+    names = ("t0", "c0", "c1", "c2", "c3")
+    keys = [*group, "_home"]
+    schema = T.StructType([*[f for f in k.schema.fields if f.name not in ("_own", "_home", "rn")],
+                           *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("last", T.BooleanType())])
+
+    def solve(t, y, rn, n):
         c = np.zeros((len(t), 5))
         c[:, 0], c[:, 1] = t, y
         if len(t) >= 2:
             h, m = np.diff(t), np.diff(y) / np.diff(t)
             c[:-1, 2] = m
             if n >= 4:
-                d = _spline_slopes(t, y, p["rn"].iloc[0] == 1, p["rn"].iloc[-1] == n)
+                d = _spline_slopes(t, y, rn[0] == 1, rn[-1] == n)
                 c[:-1, 2] = d[:-1]
                 c[:-1, 3] = (3 * m - 2 * d[:-1] - d[1:]) / h
                 c[:-1, 4] = (d[:-1] + d[1:] - 2 * m) / h ** 2
             c[-1] = c[-2]
-        for i, name in enumerate(("t0", "c0", "c1", "c2", "c3")):
-            out[name] = c[:, i]
-        out["last"] = (p["rn"] == p["n"]).to_numpy()
-        out["n"] = n
-        return out[(p["_own"] == p["_home"]).to_numpy()]
-
-    solved = k.groupBy(*group, "_home").applyInPandas(solve, schema)
-    poly = F.struct("t0", "c0", "c1", "c2", "c3", F.col("t").alias("knot"), "last", "n").cast(coef)
+        return c
+
+    def per_run(batches):
+        """Rows arrive sorted by key; a run may continue in the next batch."""
+        held = None
+        for b in _with_end(batches):
+            if b is not None:
+                held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            same = (held[keys] == held[keys].shift()).all(axis=1).to_numpy()
+            starts = np.flatnonzero(~same)
+            stop = len(held) if b is None else starts[-1]
+            if stop == 0:
+                continue
+            done, held = held.iloc[:stop], held.iloc[stop:].reset_index(drop=True)
+            t, y, rn, n = (done[x].to_numpy() for x in ("t", "y", "rn", "n"))
+            cuts = [*starts[starts < stop], stop]
+            c = np.concatenate([solve(t[a:z], y[a:z], rn[a:z], n[a]) for a, z in zip(cuts, cuts[1:])])
+            out = done[[*group, "t", "y", "n"]].copy()
+            for i, name in enumerate(names):
+                out[name] = c[:, i]
+            out["last"] = rn == n
+            yield out[(done["_own"] == done["_home"]).to_numpy()][schema.names]
+
+    placed = k.repartition(*keys).sortWithinPartitions(*keys, "rn")
+    solved = placed.mapInPandas(per_run, schema)
+    poly = F.struct(*names, F.col("t").alias("knot"), "last", "n")
     return solved.select(*group, "t", "y", poly.alias("poly"))
 
 
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 def poly_at(p: Column, t: Column) -> Column:
     x = t - p["t0"]
     return p["c0"] + x * (p["c1"] + x * (p["c2"] + x * p["c3"]))

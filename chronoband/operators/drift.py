@@ -75,20 +75,20 @@ def _psi(run: DataFrame, counts: DataFrame, totals: DataFrame, keys: list[str],
             F.greatest(hi_a, F.lit(0)).alias("ha"), F.least(hi_b, F.lit(bins)).alias("hb")))
     held = F.filter(F.array(*[holder(k) for k in range(n_targets)]),
                     lambda s: s.isNotNull() & ((s["la"] <= s["lb"]) | (s["ha"] <= s["hb"])))
-    hit = run.select(*keys, "v", F.explode(held).alias("s"))
+    hit = run.select(*keys, "v", F.explode_outer(held).alias("s")).filter("s IS NOT NULL")
 
     def span(a, b, tag):
         return F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda j: F.struct(j.alias("j"), F.lit(tag).alias("t"))))
     none = F.array().cast("array<struct<j:bigint,t:string>>")
     marks = F.concat(F.coalesce(span(F.col("s.la"), F.col("s.lb"), "lo"), none), F.coalesce(span(F.col("s.ha"), F.col("s.hb"), "hi"), none))
-    hit = hit.select(*keys, F.col("s.k").alias("_k"), F.col("s.n").alias("n"), "v", F.inline(marks))
+    hit = hit.select(*keys, F.col("s.k").alias("_k"), F.col("s.n").alias("n"), "v", F.inline_outer(marks))
     edges = hit.groupBy(*keys, "_k", "j").agg(
         F.max("n").alias("n"), F.max(F.when(F.col("t") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("t") == "hi", F.col("v"))).alias("hi"))
     part = F.pmod((F.col("n") - 1) * F.col("j"), F.lit(bins)) / F.lit(float(bins))
     edge = F.col("lo") + (F.col("hi") - F.col("lo")) * part
-    edges = edges.select(*keys, "_k", edge.alias("v")).distinct()
-    per = edges.groupBy(*keys, "_k").agg(F.max("v").alias("_last"), F.count(F.lit(1)).alias("_edges"))
-    edges = edges.join(per, [*keys, "_k"])
+    # at most bins + 1 edges per key and target
+    edges = edges.groupBy(*keys, "_k").agg(F.array_sort(F.collect_set(edge)).alias("_e"))
+    edges = edges.select(*keys, "_k", F.element_at("_e", -1).alias("_last"), F.size("_e").alias("_edges"), F.explode_outer("_e").alias("v"))
     cols = ["b", *[f"c{k}" for k in range(n_targets)]]
     both = counts.withColumn("_kind", F.lit(1)).unionByName(edges.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     both = both.na.fill(0, cols)

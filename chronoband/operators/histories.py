@@ -85,22 +85,30 @@ def time_windows(df: DataFrame, group: Sequence[str], us: str, value: str, label
         d = d.filter(F.size("_w") > 0)
     if step_us:
         grid = F.sequence(F.col(us) - F.lit(reach_us), F.col(us) - 1, F.lit(step_us).cast("long"))
-        near = F.transform(grid, lambda g: A.nearest(F.col("_w"), g, "us"))
-        d = d.withColumn("_w", F.when(F.size("_w") > 0, near).otherwise(F.slice("_w", 1, 0)))
+        near = A.let(F.transform("_w", lambda s: s["us"]), lambda ts: F.transform(
+            grid, lambda g: A.nearest(F.col("_w"), ts, g, "us")))
+        sampled = F.when(F.size("_w") > 0, near).otherwise(F.slice("_w", 1, 0))
         width = int(reach_us / step_us)
     else:
+        sampled = F.col("_w")
         width = int(d.agg(F.max(F.size("_w"))).first()[0] or 1)
-    oldest = F.get(F.col("_w"), 0)
-    if padding == "drop":
-        gap = oldest
-    elif padding == "zero":
-        gap = F.coalesce(oldest, F.struct(F.lit(None).cast("long").alias("us"), F.lit(zero).alias("v"), F.lit(zero).alias("y")))
-    else:
+    def pad_value(w):
+        """What stands in for missing rows: the window's own oldest, else by mode."""
+        oldest = F.get(w, 0)
+        no_time = F.lit(None).cast("long").alias("us")
+        if padding == "drop":
+            return oldest
+        if padding == "zero":
+            return F.coalesce(oldest, F.struct(no_time, F.lit(zero).alias("v"), F.lit(zero).alias("y")))
+        return F.coalesce(oldest, F.struct(no_time, F.col("_edge").alias("v"), F.col("_edge_y").alias("y")))
+
+    if padding in ("repeat", "edge"):
         d = d.filter((F.size("_w") > 0) | (F.col("_pos") > 1))
-        gap = F.coalesce(oldest, F.struct(F.lit(None).cast("long").alias("us"), F.col("_edge").alias("v"), F.col("_edge_y").alias("y")))
-    d = d.withColumn("_w", A.pad_front(F.slice("_w", F.greatest(F.size("_w") - width + 1, F.lit(1)), width), width, gap))
-    return d.select([c for c in df.columns]
-                    + [F.transform("_w", lambda s: s["v"]).alias("history"), F.transform("_w", lambda s: s["y"]).alias("label_history")])
+    newest = lambda w: F.slice(w, F.greatest(F.size(w) - width + 1, F.lit(1)), width)
+    # one expression, so a filter pushed below it does not multiply the grid look-ups
+    d = d.withColumn("_w", A.let(sampled, lambda w: A.pad_front(newest(w), width, pad_value(w))))
+    return d.select(*df.columns, F.transform("_w", lambda s: s["v"]).alias("history"),
+                    F.transform("_w", lambda s: s["y"]).alias("label_history"))
 
 
 def label_history(df: DataFrame, group: Sequence[str], order: Sequence, label: str, n: int, aligned: bool = True,
@@ -170,7 +178,8 @@ def resampled_history(df: DataFrame, group: Sequence[str], us: str, value: str,
     d = time_framed(df, group, us, reach_us, {
         "_w": lambda w: F.array_sort(F.collect_list(keep).over(w.rangeBetween(-reach_us, -1)))}, peak)
     grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col(us) - (F.lit(n) - i) * F.lit(step_us).cast("long"))
-    near = F.transform(grid, lambda g: A.nearest(F.col("_w"), g, "us")["v"])
+    near = A.let(F.transform("_w", lambda s: s["us"]), lambda ts: F.transform(
+        grid, lambda g: A.nearest(F.col("_w"), ts, g, "us")["v"]))
     return d.withColumn(out, F.when(F.size("_w") == 0, F.array_repeat(F.lit(EMPTY_HISTORY_VALUE), n)).otherwise(near)).drop("_w")
 
 

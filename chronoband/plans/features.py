@@ -27,7 +27,7 @@ def paired(spark, d):
 
 
 def _cells(df, column):
-    x = df.select("vec_id", F.posexplode(column).alias("bin", "x"))
+    x = df.select("vec_id", F.posexplode_outer(column).alias("bin", "x"))
     return x.select("vec_id", F.col("bin").cast("long").alias("bin"), I.rounded(F.col("x")).alias("x"))
 
 
@@ -91,7 +91,7 @@ def p7(spark, d):
 
 @query("p8_decibels_and_frequency", CELLS + " SELECT vec_id, bin, round(-64.4::DOUBLE + 0.0288::DOUBLE * x, 6) + 0.0 AS db, round(0.002::DOUBLE * bin + 4, 6) AS ghz FROM cells")
 def p8(spark, d):
-    x = I.spectra(spark, d).select("vec_id", F.posexplode(P.to_db(F.col("power"))).alias("bin", "db"))
+    x = I.spectra(spark, d).select("vec_id", F.posexplode_outer(P.to_db(F.col("power"))).alias("bin", "db"))
     return x.select("vec_id", F.col("bin").cast("long").alias("bin"), I.rounded(F.col("db")).alias("db"), F.round(P.bin_ghz(F.col("bin")), 6).alias("ghz"))
 
 
@@ -111,7 +111,7 @@ def p10(spark, d):
 @query("p11_band_features", CELLS + """, b AS (SELECT *, (SELECT max(i) FROM range(24) q(i) WHERE floor(i * 64 / 24.0) <= bin) AS band FROM cells)
 SELECT vec_id, band * 2 AS pos, round(avg(x), 6) + 0.0 AS v FROM b GROUP BY 1, band UNION ALL SELECT vec_id, band * 2 + 1, round(stddev_pop(x), 6) + 0.0 FROM b GROUP BY 1, band""")
 def p11(spark, d):
-    x = I.spectra(spark, d).select("vec_id", F.posexplode(P.band_stats(F.col("power"), I.BINS)).alias("pos", "v"))
+    x = I.spectra(spark, d).select("vec_id", F.posexplode_outer(P.band_stats(F.col("power"), I.BINS)).alias("pos", "v"))
     return x.select("vec_id", F.col("pos").cast("long").alias("pos"), I.rounded(F.col("v")).alias("v"))
 
 

@@ -17,7 +17,7 @@ R = f"r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY exp
 
 
 def _cells(df, column="history", value="v"):
-    x = df.select("event_id", F.posexplode(column).alias("pos", value))
+    x = df.select("event_id", F.posexplode_outer(column).alias("pos", value))
     return x.select("event_id", F.col("pos").cast("long").alias("pos"), I.rounded(F.col(value)).alias(value))
 
 
@@ -107,8 +107,8 @@ SELECT z.vec_id, z.row_no, p.bin, round(p.x * (1 - share) + q.x * share, 6) + 0.
 def rf(spark, d):
     s = I.spectra(spark, d).withColumn("us", F.col("vec_id") * RF_US).withColumn("power", F.slice("power", 1, 8))
     x = H.rf_image(s, ["label"], "us", "power", _RF_REACH, 4)
-    rows = x.select("vec_id", F.posexplode("image").alias("row_no", "r"))
-    cells = rows.select("vec_id", "row_no", F.posexplode("r").alias("bin", "x"))
+    rows = x.select("vec_id", F.posexplode_outer("image").alias("row_no", "r"))
+    cells = rows.select("vec_id", "row_no", F.posexplode_outer("r").alias("bin", "x"))
     return cells.select("vec_id", F.col("row_no").cast("long").alias("row_no"), F.col("bin").cast("long").alias("bin"), I.rounded(F.col("x")).alias("x"))
 
 

@@ -64,7 +64,7 @@ COUNTS = f"WITH {I.CELLS} SELECT vec_id::DOUBLE AS ts, bin, round((x + 1) * 1000
 
 
 def _count_cells(df, ts="ts"):
-    x = df.select(F.col(ts).cast("double").alias("ts"), F.posexplode("power").alias("bin", "counts"))
+    x = df.select(F.col(ts).cast("double").alias("ts"), F.posexplode_outer("power").alias("bin", "counts"))
     return x.select("ts", F.col("bin").cast("long").alias("bin"), F.col("counts").cast("int").alias("counts"))
 
 

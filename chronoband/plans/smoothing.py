@@ -73,7 +73,7 @@ _time("w12_inward_mean", _INWARD.format("avg(b.value)"), lambda s: S.inward_wind
 def _freq(name, sql, fn):
     @query(name, f"WITH {I.CELLS} " + sql)
     def run(spark, d):
-        s = I.spectra(spark, d).select("vec_id", F.posexplode(fn(F.col("power"))).alias("bin", "x"))
+        s = I.spectra(spark, d).select("vec_id", F.posexplode_outer(fn(F.col("power"))).alias("bin", "x"))
         return s.select("vec_id", F.col("bin").cast("long").alias("bin"), I.rounded(F.col("x")).alias("x"))
     return run
 
@@ -170,7 +170,7 @@ SELECT vec_id, bin, round(sum(x) OVER (PARTITION BY vec_id ORDER BY bin ROWS BET
 def chain(spark, d):
     out = S.smooth_spectra(I.spectra(spark, d), ["label"], ["vec_id"], "moving_average", {"width": 3},
                            "moving_average", {"width": 3}, "zscore", 2.0, "mean")
-    cells = out.select("vec_id", F.posexplode("power").alias("bin", "x"))
+    cells = out.select("vec_id", F.posexplode_outer("power").alias("bin", "x"))
     return cells.select("vec_id", F.col("bin").cast("long").alias("bin"), I.rounded(F.col("x")).alias("x"))
 
 

@@ -16,13 +16,18 @@ ROWS_PER_CHUNK = 250_000
 ROWS_PER_CHUNK_CONF = "spark.chronoband.rowsPerChunk"
 
 
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def session(master: str | None = None, app: str = "chronoband", **extra: str) -> SparkSession:
     conf = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **RUNTIME,
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -35,6 +40,14 @@ def session(master: str | None = None, app: str = "chronoband", **extra: str) ->
     return builder.getOrCreate()
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators rely on, for a session made elsewhere."""
+    for key, value in RUNTIME.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def rows_per_chunk(spark: SparkSession) -> int:
     """Most rows one window task should own; operators split larger groups."""
     return int(spark.conf.get(ROWS_PER_CHUNK_CONF, str(ROWS_PER_CHUNK)))
