@@ -35,9 +35,9 @@ def distances(df: DataFrame, keys: Sequence[str], value: str, side: str, base: s
     counts = materialise(counts)                    # read by every step below
     peak = group_sizes(counts, keys)[0]
     totals = counts.groupBy(*keys).agg(F.sum("b").alias("nb"), *[F.sum(f"c{k}").alias(f"n{k}") for k in ks])
-    run = indexed(counts, keys, ["v"], "_rn", "_size", peak)
-    run = scanned(run, keys, ["v"], total={"cum_b": F.col("b"), **{f"cum_c{k}": F.col(f"c{k}") for k in ks}}, peak=peak, rn="_rn")
-    run = framed(run, keys, ["v"], 0, 1, {"_next": lambda w: F.lead("v").over(w)}, peak, "_rn")
+    run = indexed(counts, keys, ["v"], "_at", "_size", peak)
+    run = scanned(run, keys, ["v"], total={"cum_b": F.col("b"), **{f"cum_c{k}": F.col(f"c{k}") for k in ks}}, peak=peak, rn="_at")
+    run = framed(run, keys, ["v"], 0, 1, {"_next": lambda w: F.lead("v").over(w)}, peak, "_at")
     run = attach(run, totals, keys)
 
     def gap(k):

@@ -112,7 +112,7 @@ def _with_chunk_starts(d: DataFrame, group: list[str], keys: list[str], pos: str
     return d.drop("_start").join(folded, keys)
 
 
-def ema(df: DataFrame, group: Sequence[str], order: Sequence, value: str, alpha: float, out: str = "ema",
+def ema(df: DataFrame, group: Sequence[str], order: Sequence, value: str, alpha: float = 0.3, out: str = "ema",
         peak: int | None = None) -> DataFrame:
     """Causal exponential average; the first value starts it."""
     if not 0 < alpha <= 1:

@@ -429,10 +429,11 @@ def leaderboard(spark, d):
     return G.leaderboard(s, ["user_id"], "value", "mae", ["us", "event_id"], 25)
 
 
-@query("g4_objective", "SELECT conv_id, max(length(text))::DOUBLE AS best_r2, min(length(text))::DOUBLE AS best_mae, arg_max(length(text), turn)::DOUBLE AS last FROM conversations GROUP BY 1")
+@query("g4_objective", """WITH l AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)::DOUBLE) AS v FROM conversations)
+SELECT conv_id, turn, list_max(v) AS best_r2, list_min(v) AS best_mae, v[-1] AS last FROM l""")
 def objective(spark, d):
-    c = I.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("double").alias("v")))), lambda s: s["v"]).alias("v"))
-    return c.select("conv_id", G.objective(F.col("v"), "r2").alias("best_r2"), G.objective(F.col("v"), "mae").alias("best_mae"), G.objective(F.col("v"), "other").alias("last"))
+    c = I.table(spark, d, "conversations").withColumn("v", F.transform(F.split("text", " "), lambda w: F.length(w).cast("double")))
+    return c.select("conv_id", "turn", G.objective(F.col("v"), "r2").alias("best_r2"), G.objective(F.col("v"), "mae").alias("best_mae"), G.objective(F.col("v"), "other").alias("last"))
 
 
 # ---- models --------------------------------------------------------------------------

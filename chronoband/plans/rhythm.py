@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoband.functions import timekeys as K
+from chronoband.operators import auxiliary as X
 from chronoband.operators import rhythm as R
 from chronoband.operators import seconds as B
 from chronoband.operators.ordered import indexed
@@ -165,10 +166,21 @@ def slots(spark, d):
     return x.select("exp_id", "bucket", F.col("slot").cast("long").alias("slot"), I.rounded(F.col("v")).alias("v"))
 
 
-@query("j4_same_second_join", """SELECT a.event_id, b.event_id AS other FROM events a LEFT JOIN events b
- ON a.user_id = b.user_id AND epoch_us(a.ts) // 3600000000 = epoch_us(b.ts) // 3600000000 AND b.event_type = 'click' WHERE a.event_type = 'view'""")
+@query("j4_same_second_join", """WITH r AS (SELECT user_id, epoch_us(ts) // 3600000000 AS slot, count(*) AS n, min(event_id) AS first_id, sum(value) AS total FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT a.event_id, coalesce(n, 0) AS n, first_id, round(coalesce(total, 0), 6) + 0.0 AS total FROM events a LEFT JOIN r ON a.user_id = r.user_id AND epoch_us(a.ts) // 3600000000 = slot WHERE a.event_type = 'view'""")
 def same_second(spark, d):
+    """The raw side is one row per bucket before the join, so no bucket multiplies."""
     s = I.series(spark, d).withColumn("slot", K.second_of(F.col("t")))
-    left = s.filter("event_type = 'view'").select("event_id", "exp_id", "slot")
-    right = s.filter("event_type = 'click'").select("exp_id", "slot", F.col("event_id").alias("other"))
-    return left.join(right, ["exp_id", "slot"], "left").select("event_id", "other")
+    right = s.filter("event_type = 'click'").groupBy("exp_id", "slot").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.sum("value").alias("total"))
+    j = s.filter("event_type = 'view'").select("event_id", "exp_id", "slot").join(right, ["exp_id", "slot"], "left")
+    return j.select("event_id", F.coalesce("n", F.lit(0)).alias("n"), "first_id", I.rounded(F.coalesce("total", F.lit(0.0))).alias("total"))
+
+
+@query("a3_raw_slots_joined", SER + """, r AS (SELECT exp_id, us // 3600000000 AS b, value, row_number() OVER w AS p FROM series WHERE event_type = 'click' WINDOW w AS (PARTITION BY exp_id, us // 3600000000 ORDER BY us, event_id)),
+s AS (SELECT unnest(range(2)) AS slot) SELECT a.event_id, slot, round(coalesce(r.value, 0), 6) + 0.0 AS v FROM series a CROSS JOIN s LEFT JOIN r ON r.exp_id = a.exp_id AND r.b = a.us // 3600000000 AND r.p = slot + 1 WHERE event_type = 'view'""")
+def slots_joined(spark, d):
+    s = I.series(spark, d)
+    j = X.join_raw_slots(s.filter("event_type = 'view'"), s.filter("event_type = 'click'"), EXP, "t", ORDER, "value", 2, "slots")
+    x = j.select("event_id", F.posexplode_outer("slots").alias("slot", "v"))
+    return x.select("event_id", F.col("slot").cast("long").alias("slot"), I.rounded(F.col("v")).alias("v"))

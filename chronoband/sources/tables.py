@@ -140,6 +140,7 @@ def discovered(files: DataFrame, spans: DataFrame, user: str) -> DataFrame:
     """
     src = files.filter(F.col("kind").isin("labels", "json")).select(
         F.col("folder").alias("l_folder"), F.col("path").alias("label_path"), F.when(F.col("kind") == "labels", 0).otherwise(1).alias("rank"))
+    src = src.groupBy("l_folder", "rank").agg(F.min("label_path").alias("label_path"))   # at most two per folder
     near = files.filter("kind = 'spectrum'").select("path", "folder", "root")
     # the label source sits in the file's folder or, for label tables, in the root
     places = near.select("path", F.explode(F.array_distinct(F.array(
