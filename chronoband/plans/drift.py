@@ -64,18 +64,26 @@ def _distances(df, keys):
                      *[I.rounded(F.col(c), 5).alias(c) for c in ("wasserstein", "energy_distance", "psi")])
 
 
-@query("d1_d4_distances", SPLIT_DAYS + _distance_sql("""SELECT variable, t AS target, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, v
- FROM (SELECT split, unnest([{'variable': 'value', 'v': value}, {'variable': 'slope', 'v': slope}, {'variable': 'v2', 'v': v2}], recursive := true) FROM sd) CROSS JOIN (SELECT unnest(['val', 'test']) AS t) WHERE split IN ('train', t)""", "variable")
+THREE_VARIABLES = """SELECT variable, t AS target, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, v
+ FROM (SELECT split, unnest([{'variable': 'value', 'v': value}, {'variable': 'slope', 'v': slope}, {'variable': 'v2', 'v': v2}], recursive := true) FROM sd) CROSS JOIN (SELECT unnest(['val', 'test']) AS t) WHERE split IN ('train', t)"""
+
+
+@query("d1_d4_distances", SPLIT_DAYS + _distance_sql(THREE_VARIABLES, "variable")
        + f" SELECT variable, target, {DIST_OUT} " + DIST_FROM.format(k="variable"))
 def distances(spark, d):
     s = D.unpivot(split_days(spark, d), ["split"], VARS)
     return _distances(D.distances(s, ["variable"], "value", "split", "train", ["val", "test"]), ["variable"])
 
 
-@query("d2_ks_pvalue")
+KS_TAIL = "least(greatest(list_sum([CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * z * z) FOR k IN range(1, 41)]), 0), 1)"
+
+
+@query("d2_ks_pvalue", SPLIT_DAYS + _distance_sql(THREE_VARIABLES, "variable") + f""", kz AS (SELECT variable, target, ks, ks * sqrt(n0 * n1 / (n0 + n1)::DOUBLE) AS z FROM ds JOIN nn USING (variable, target))
+SELECT variable, target, round(ks, 6) + 0.0 AS ks_stat, round(CASE WHEN z < 0.2 THEN 1 ELSE {KS_TAIL} END, 6) + 0.0 AS ks_pvalue FROM kz""")
 def ks_p(spark, d):
     s = D.unpivot(split_days(spark, d), ["split"], VARS)
-    return D.distances(s, ["variable"], "value", "split", "train", ["val", "test"]).select("variable", "target", "ks_stat", "ks_pvalue")
+    return D.distances(s, ["variable"], "value", "split", "train", ["val", "test"]).select(
+        "variable", "target", I.rounded(F.col("ks_stat")).alias("ks_stat"), I.rounded(F.col("ks_pvalue")).alias("ks_pvalue"))
 
 
 @query("d6_shift_by_split_and_day", SPLIT_DAYS + _distance_sql("""SELECT scope, variable, target, side, v FROM (

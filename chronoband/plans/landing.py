@@ -359,12 +359,19 @@ def aux_alignment(spark, d):
     return out.select("event_id", *[I.rounded(F.col(f"f_{c}")).alias(f"f_{c}") for c in "abc"])
 
 
-@query("i9_aux_alignment_pchip")
+KNOTTED = f"WITH {I.SERIES}, {I.TARGETS}, {I.KNOTS}"
+
+
+@query("i9_aux_alignment_pchip", KNOTTED + NEIGHBOURS + f", dd AS (SELECT *, {PCHIP_D} AS d FROM s)" + HERMITE
+       + f", w AS (SELECT event_id, exp_id, t, CASE WHEN t BETWEEN lo AND hi THEN {HORNER} END AS a FROM z), f AS (SELECT event_id, exp_id, {_FILL.format(c='a')} FROM w) "
+       + "SELECT event_id, round((a - avg(a) OVER p) / CASE WHEN stddev_pop(a) OVER p > 1e-8 THEN stddev_pop(a) OVER p ELSE 1 END, 5) + 0.0 AS f_a, "
+       + "round((a - avg(a) OVER p) / CASE WHEN stddev_pop(a) OVER p > 1e-8 THEN stddev_pop(a) OVER p ELSE 1 END, 5) + 0.0 AS f_b FROM f WINDOW p AS (PARTITION BY exp_id)")
 def aux_pchip(spark, d):
+    """The second channel is an affine copy of the first, so its z-scores agree."""
     s = I.series(spark, d)
     env = s.filter("event_type = 'purchase'").select("exp_id", F.col("t").alias("kt"), F.col("value").alias("x"), (F.col("value") * 2 + 1).alias("y"))
     out = X.align_sensors(I.targets(spark, d), [X.Sensor(env, "kt", {"x": "f_a", "y": "f_b"})], ["exp_id"], "t", ["event_id"], "pchip")
-    return out.select("event_id", "f_a", "f_b")
+    return out.select("event_id", *[I.rounded(F.col(c), 5).alias(c) for c in ("f_a", "f_b")])
 
 
 # ---- logs and commands -----------------------------------------------------------------
