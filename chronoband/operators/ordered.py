@@ -42,11 +42,8 @@ def is_small(df: DataFrame, group: Sequence[str], peak: int | None) -> bool:
     return peak <= limit
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def _as_column(o: Column | str) -> Column:
+    return F.col(o) if isinstance(o, str) else o
 
 
 def attach(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -69,7 +66,7 @@ def _sorted_numbers(df: DataFrame, group: Sequence[str], order: Sequence, rn: st
     limit = rows_per_chunk(df.sparkSession)
     total = group_sizes(df, group)[1]
     parts = max(2, -(-total // limit))
-    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = [F.col(g) for g in group] + [_as_column(o) for o in order]
     placed = materialise(
         df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
@@ -143,17 +140,21 @@ def scanned(df: DataFrame, group: Sequence[str], order: Sequence, last: Mapping[
     at or after it, running ``total`` up to and with it."""
     group = list(group)
     last, first, total = dict(last or {}), dict(first or {}), dict(total or {})
-    lo, hi, cur = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+    lo, cur = Window.unboundedPreceding, Window.currentRow
 
-    def local(w):
+    def local(keys, by):
+        # "first at or after" is "last at or before" in reverse order: a frame that
+        # ends at the partition's end would be evaluated anew for every row
+        up = Window.partitionBy(*keys).orderBy(*by).rowsBetween(lo, cur)
+        down = Window.partitionBy(*keys).orderBy(*[_as_column(o).desc() for o in by]).rowsBetween(lo, cur)
         return (
-            [F.last(c, ignorenulls=True).over(w.rowsBetween(lo, cur)).alias(k) for k, c in last.items()]
-            + [F.first(c, ignorenulls=True).over(w.rowsBetween(cur, hi)).alias(k) for k, c in first.items()]
-            + [F.sum(c).over(w.rowsBetween(lo, cur)).alias(k) for k, c in total.items()]
+            [F.last(c, ignorenulls=True).over(up).alias(k) for k, c in last.items()]
+            + [F.last(c, ignorenulls=True).over(down).alias(k) for k, c in first.items()]
+            + [F.sum(c).over(up).alias(k) for k, c in total.items()]
         )
 
     if is_small(df, group, peak):
-        return df.select("*", *local(Window.partitionBy(*group).orderBy(*order)))
+        return df.select("*", *local(group, order))
 
     size = rows_per_chunk(df.sparkSession)
     d = df.withColumn("_rn", F.col(rn)) if rn else _sorted_numbers(df, group, order, "_rn", "_n").drop("_n")
@@ -165,13 +166,14 @@ def scanned(df: DataFrame, group: Sequence[str], order: Sequence, last: Mapping[
     )
     ends = d.groupBy(*group, "_chunk").agg(*aggs)
     cw = Window.partitionBy(*group).orderBy("_chunk")
+    back = Window.partitionBy(*group).orderBy(F.col("_chunk").desc())
     carried = ends.select(
         *[F.col(g).alias(f"_k_{g}") for g in group], F.col("_chunk").alias("_k_chunk"),
         *[F.last(f"_e_{k}", ignorenulls=True).over(cw.rowsBetween(lo, -1)).alias(f"_c_{k}") for k in last],
-        *[F.first(f"_e_{k}", ignorenulls=True).over(cw.rowsBetween(1, hi)).alias(f"_c_{k}") for k in first],
+        *[F.last(f"_e_{k}", ignorenulls=True).over(back.rowsBetween(lo, -1)).alias(f"_c_{k}") for k in first],
         *[F.sum(f"_e_{k}").over(cw.rowsBetween(lo, -1)).alias(f"_c_{k}") for k in total],
     )
-    d = d.select("*", *local(Window.partitionBy(*group, "_chunk").orderBy("_rn")))
+    d = d.select("*", *local([*group, "_chunk"], ["_rn"]))
     cond = d["_chunk"] == carried["_k_chunk"]
     for g in group:
         cond = cond & d[g].eqNullSafe(carried[f"_k_{g}"])
