@@ -5,14 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoband.llm.common import documents
 from chronoband.llm.exact import exact_duplicates
+from chronoband.llm.lines import keep_bitmaps, without_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+LINE_DOCUMENTS = 10
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    bitmaps = keep_bitmaps(docs, min_docs=LINE_DOCUMENTS, keep_first=False)
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return without_lines(docs, bitmaps).select(
+        "row.doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_dropped").cast("bigint").alias("n_dropped"),
+        kept.alias("kept_sha256"))
+
+
+OP2_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+frequent AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {LINE_DOCUMENTS})
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -24,8 +50,10 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_line_dedup": op2_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
