@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoband.llm.common import documents
 from chronoband.llm.exact import exact_duplicates
 from chronoband.llm.lines import keep_bitmaps, without_lines
+from chronoband.llm.packing import packed_pieces
+from chronoband.llm.tokenfile import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 LINE_DOCUMENTS = 10
+END_ID = 2
+WINDOW = 4096
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +47,21 @@ FROM k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id
 """
 
 
+@F.pandas_udf(T.LongType())
+def _crc32(ids: pd.Series) -> pd.Series:
+    return ids.map(zlib.crc32)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return read_tokens(manifest, folder).select("doc_id", "start", "n_tokens", _crc32("ids").alias("ids_crc32"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID, WINDOW)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -51,7 +74,9 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_token_files": op3_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
