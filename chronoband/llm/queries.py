@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoband.llm.common import documents
+from chronoband.llm.common import documents, table
+from chronoband.llm.decontaminate import BETWEEN_WORDS, SPAN, contamination
 from chronoband.llm.exact import exact_duplicates
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
@@ -72,13 +73,44 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+OP7_SQL = f"""
+WITH dw AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BETWEEN_WORDS}'), lambda x: x <> '') AS w
+  FROM documents),
+bw AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BETWEEN_WORDS}'), lambda x: x <> '') AS w
+  FROM benchmark),
+bn AS (SELECT item_id, w, least(len(w), {SPAN}) AS n FROM bw WHERE len(w) > 0),
+bx AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bn)),
+dn AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM bn)),
+h AS (
+  SELECT d.doc_id, d.i, d.n, b.item_id
+  FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM dn) d JOIN bx b ON d.win = b.win AND d.n = b.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN c ON c.doc_id = dw.doc_id LEFT JOIN t ON t.doc_id = dw.doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_decontamination": op7_decontamination,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op7_decontamination": OP7_SQL,
 }
