@@ -17,6 +17,7 @@ from chronoband.llm.exact import exact_duplicates
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
 from chronoband.llm.tokenfile import read_tokens, write_tokens
+from chronoband.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +80,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory, folder = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
 OP7_SQL = f"""
 WITH dw AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BETWEEN_WORDS}'), lambda x: x <> '') AS w
@@ -107,10 +122,12 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_web_archive": op8_web_archive,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_decontamination": OP7_SQL,
+    "op8_web_archive": OP8_SQL,
 }
