@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from chronoband.llm.common import documents, table
 from chronoband.llm.decontaminate import BETWEEN_WORDS, SPAN, contamination
 from chronoband.llm.exact import exact_duplicates
+from chronoband.llm.jaccard import near_duplicates
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
 from chronoband.llm.tokenfile import read_tokens, write_tokens
@@ -74,6 +75,10 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -121,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_web_archive": op8_web_archive,
     "op10_packing": op10_packing,
