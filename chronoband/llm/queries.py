@@ -18,6 +18,7 @@ from chronoband.llm.jaccard import near_duplicates
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
 from chronoband.llm.tokenfile import read_tokens, write_tokens
+from chronoband.llm.toxicity import fit as fit_toxicity
 from chronoband.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINE_DOCUMENTS = 10
 END_ID = 2
 WINDOW = 4096
+TOXIC = 0.3
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +124,21 @@ SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN c ON c.doc_id = dw.doc_id LEFT JOIN t ON t.doc_id = dw.doc_id
 """
 
+def fold(key: str, folds: int):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score, predicted; labels of the held-out fold teach nothing."""
+    classifier = fit_toxicity(docs, labels.where(fold("doc_id", 4) != 2))
+    return classifier.score(docs).withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_scores(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scores.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
@@ -129,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_web_archive": op8_web_archive,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
