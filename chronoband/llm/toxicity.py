@@ -43,7 +43,7 @@ PARTING = " .-_*~'/"
 #: channel costs in nats: a look-alike for a letter, a parting dropped or kept, a repeated letter dropped
 AS_LETTER, PARTED, PARTING_KEPT, REPEATED = 1.0, 0.3, 2.5, 0.7
 EDGES = ".,;:?!\"'()[]{}<>#%&*|$-_=+~/\\"
-_RUN = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"([^\W\d_])\1\1")
 _PARTED = re.compile(r"\w(?:[.\-_*~'/]\w){2,}$")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 _AGAIN = re.compile(r"(\S)(?: \1)+(?!\S)")
