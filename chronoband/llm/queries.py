@@ -15,6 +15,7 @@ from chronoband.llm.common import documents, table
 from chronoband.llm.decontaminate import BETWEEN_WORDS, SPAN, contamination
 from chronoband.llm.exact import exact_duplicates
 from chronoband.llm.jaccard import near_duplicates
+from chronoband.llm.langid import fit as fit_languages
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
 from chronoband.llm.tokenfile import read_tokens, write_tokens
@@ -25,6 +26,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def fold(key: str, folds: int):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
 LINE_DOCUMENTS = 10
 END_ID = 2
 WINDOW = 4096
@@ -67,6 +72,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(fold("doc_id", 5) != 0))
+    return model.predict(docs).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -124,10 +135,6 @@ SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN c ON c.doc_id = dw.doc_id LEFT JOIN t ON t.doc_id = dw.doc_id
 """
 
-def fold(key: str, folds: int):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, predicted; labels of the held-out fold teach nothing."""
     classifier = fit_toxicity(docs, labels.where(fold("doc_id", 4) != 2))
@@ -142,6 +149,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
+    "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
