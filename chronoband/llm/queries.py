@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoband.llm.blocklstm import main_text
 from chronoband.llm.common import documents, table
 from chronoband.llm.decontaminate import BETWEEN_WORDS, SPAN, contamination
 from chronoband.llm.exact import exact_duplicates
@@ -36,6 +37,10 @@ WINDOW = 4096
 TOXIC = 0.3
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     bitmaps = keep_bitmaps(docs, min_docs=LINE_DOCUMENTS, keep_first=False)
@@ -147,6 +152,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_main_text": op1_main_text,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
     "op4_language": op4_language,
