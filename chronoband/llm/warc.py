@@ -39,6 +39,7 @@ from chronoband.llm.common import materialise, scratch_path
 
 BLOCK_LINES, STEP = 512, 64
 SMALLEST_SHARED = 100
+BROADCAST_DIGESTS = 100_000
 LEVEL = 6
 #: fixed values of the WARC format
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
@@ -173,9 +174,10 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     rows = pages.select(_key(F.col(url)).alias("key"), F.col(key).cast("bigint").alias("page_id"),
                         F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), body.alias("html"),
                         F.sha2(body, 256).alias("digest"))
-    # counted from a scan of its own: only digests that occur again go on
-    again = (pages.where(F.octet_length(body) >= smallest).groupBy(F.sha2(body, 256).alias("again"))
+    # counted from a scan of its own: only digests that occur again go on; where they are few the html is not shuffled for them
+    again = materialise(pages.where(F.octet_length(body) >= smallest).groupBy(F.sha2(body, 256).alias("again"))
              .agg(F.min(F.col(key).cast("bigint")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
     rows = rows.join(again, F.col("digest") == F.col("again"), "left")
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     rows = rows.select("key", "page_id", "url", "html", "digest", refers.alias("refers_to"))
