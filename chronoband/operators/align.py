@@ -232,7 +232,9 @@ def _cubic_polynomials(k: DataFrame, group: list[str], peak: int | None) -> Data
                 held = b if held is None else pd.concat([held, b], ignore_index=True)
             if held is None or not len(held):
                 continue
-            same = (held[keys] == held[keys].shift()).all(axis=1).to_numpy()
+            before = held[keys].shift()
+            same = ((held[keys] == before) | (held[keys].isna() & before.isna())).all(axis=1).to_numpy().copy()
+            same[:1] = False
             starts = np.flatnonzero(~same)
             stop = len(held) if b is None else starts[-1]
             if stop == 0:

@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoband.functions import arrays as A
 from chronoband.functions import spectrum as P
 from chronoband.operators.histories import fixed_sample
 from chronoband.operators.normalise import scale_for_distance
-from chronoband.operators.ordered import attach
 from chronoband.session import materialise
 
 # fixed value: most rows a silhouette is computed on
@@ -30,15 +28,11 @@ def two_components(df: DataFrame, features: str = "features", out: str = "pc") -
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(d)
     load = model.pc.toArray()
     sign = np.sign(load[np.abs(load).argmax(axis=0), range(load.shape[1])])
-    width = load.shape[0]
-    mean = attach(d, df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m")), [])
-    parts = [A.dot(F.zip_with(features, "_m", lambda x, m: x - m), A.literal(load[:, j] * sign[j])) for j in range(2)]
-    if width > 256:  # long literal lists are slow to plan; the model applies them as a matrix
-        p = vector_to_array(F.col("_p"))
-        parts = [p[j] * F.lit(float(sign[j])) for j in range(2)]
-        mean = model.transform(mean)
-    return mean.withColumn(out, F.array(*parts)).drop("_v", "_m", "_p")
+    means = df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()  # one per bin
+    centre = np.array([r.m for r in means]) @ load if means else np.zeros(load.shape[1])
+    p = vector_to_array(F.col("_p"))
+    parts = [(p[j] - F.lit(float(centre[j]))) * F.lit(float(sign[j])) for j in range(2)]
+    return model.transform(d).withColumn(out, F.array(*parts)).drop("_v", "_p")
 
 
 def centroid_distance(df: DataFrame, split: str, pc: str = "pc") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoband.functions import arrays as A
 from chronoband.functions import fusion as U
-from chronoband.operators.ordered import attach, indexed, quantiles
+from chronoband.operators.ordered import attach, indexed, matched, quantiles
 
 SCALERS = ("standard", "minmax", "robust")
 
@@ -115,8 +115,8 @@ def shuffle_aux(df: DataFrame, group: Sequence[str], key: str, names: Sequence[s
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_seed").cast("string"), F.col("_g").cast("string")))
     give = indexed(cells.withColumn("_h", h), [*group, "_g"], ["_h", key], "_rn", "_n").select(*group, "_g", "_rn", "_v")
     take = indexed(cells.select(*group, "_g", key), [*group, "_g"], [key], "_rn", "_n").select(*group, "_g", "_rn", key)
-    moved = take.join(give, [*group, "_g", "_rn"]).groupBy(*group, key).agg(
+    moved = matched(take, give, [*group, "_g", "_rn"]).groupBy(*group, key).agg(
         F.map_from_entries(F.collect_list(F.struct("_g", "_v"))).alias("_m"))
     where = {i: (g, j) for g, ix in enumerate(groups) for j, i in enumerate(ix)}
     rebuilt = F.array(*[F.get(F.col("_m")[where[i][0]], where[i][1]) for i in range(len(names))])
-    return df.drop(aux).join(moved.select(*group, key, rebuilt.alias(aux)), [*group, key]).select(*df.columns)
+    return matched(df.drop(aux), moved.select(*group, key, rebuilt.alias(aux)), [*group, key]).select(*df.columns)

@@ -58,7 +58,17 @@ def attach(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "left"
         return df.withColumn("_s", packed).select(
             "*", *[F.col(f"_s.`{c}`").alias(c) for c in stats.columns]
         ).drop("_s")
-    return df.join(stats, on=list(on), how=how)
+    return matched(df, stats, on, how)
+
+
+def matched(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same names in which NULL meets NULL: a NULL group is a group like any other."""
+    named = other.select(*[F.col(k).alias(f"_on_{k}") for k in on], *[c for c in other.columns if c not in on])
+    cond = None
+    for k in on:
+        same = df[k].eqNullSafe(named[f"_on_{k}"])
+        cond = same if cond is None else cond & same
+    return df.join(named, cond, how).drop(*[f"_on_{k}" for k in on])
 
 
 def _sorted_numbers(df: DataFrame, group: Sequence[str], order: Sequence, rn: str, n: str) -> DataFrame:
@@ -194,7 +204,8 @@ def time_framed(df: DataFrame, group: Sequence[str], us: str, reach_us: int, exp
     ``exprs`` get a window ordered by the BIGINT column ``us`` and may look back
     at most ``reach_us`` and never ahead.  A large group is cut into time slices
     at least that long, and each row also visits the next slice when it is
-    within reach of it: at most two copies.
+    within reach of it: at most two copies.  Rows without a time stand before
+    all others, in a slice of their own.
     """
     group = list(group)
     if is_small(df, group, peak):
@@ -202,9 +213,9 @@ def time_framed(df: DataFrame, group: Sequence[str], us: str, reach_us: int, exp
         return df.select("*", *[fn(w).alias(k) for k, fn in exprs.items()])
     span = df.agg(F.min(us), F.max(us)).first()
     pieces = max(1, group_sizes(df, group)[0] // rows_per_chunk(df.sparkSession))
-    length = int(max(reach_us + 1, (span[1] - span[0]) // pieces + 1))
-    start = int(span[0])
-    own = F.floor((F.col(us) - start) / length).cast("long")
+    start, end = (int(x or 0) for x in span)
+    length = max(reach_us + 1, (end - start) // pieces + 1)
+    own = F.coalesce(F.floor((F.col(us) - start) / length).cast("long"), F.lit(-1))
     d = df.withColumn("_own", own)
     nxt = F.when((F.col("_own") + 1) * length + start - F.col(us) <= reach_us, F.col("_own") + 1)
     d = d.withColumn("_home", F.explode(F.filter(F.array(F.col("_own"), nxt), lambda h: h.isNotNull())))

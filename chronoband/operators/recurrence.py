@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoband.operators.ordered import group_sizes, indexed
+from chronoband.operators.ordered import group_sizes, indexed, matched
 from chronoband.session import rows_per_chunk
 
 
@@ -83,12 +83,12 @@ def _with_chunk_starts(d: DataFrame, group: list[str], keys: list[str], pos: str
     loose = slim.repartition(*keys).sortWithinPartitions(*keys, pos).mapInPandas(_stream(list(coef), False), schema)
     top = loose.groupBy(*keys).agg(F.max(pos).alias("_hi"), F.min(pos).alias("_lo"))
     # the newest k values of each chunk, newest first
-    tails = loose.join(top, keys).filter(F.col(pos) > F.col("_hi") - k).groupBy(*keys).agg(
+    tails = matched(loose, top, keys).filter(F.col(pos) > F.col("_hi") - k).groupBy(*keys).agg(
         F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
         F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_s").alias("s"))))),
                     lambda x: x["s"]).alias("_end"))
     first = d.filter(F.col(pos) == 1).select(*group, F.col("_start").alias("_s0"))
-    tails = tails.join(first, group, "left") if group else tails.withColumn("_s0", first.select("_s0").scalar())
+    tails = matched(tails, first, group, "left") if group else tails.withColumn("_s0", first.select("_s0").scalar())
     fields = [T.StructField(f.name, f.dataType) for f in tails.select(*keys).schema.fields]
     schema = T.StructType(fields + [T.StructField("_start", T.ArrayType(T.DoubleType()))])
     step = np.zeros((k, k))
@@ -109,7 +109,7 @@ def _with_chunk_starts(d: DataFrame, group: list[str], keys: list[str], pos: str
         return out
 
     folded = tails.groupBy(*group).applyInPandas(fold, schema)
-    return d.drop("_start").join(folded, keys)
+    return matched(d.drop("_start"), folded, keys)
 
 
 def ema(df: DataFrame, group: Sequence[str], order: Sequence, value: str, alpha: float = 0.3, out: str = "ema",

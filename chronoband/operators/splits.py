@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoband.operators.ordered import attach, indexed
+from chronoband.operators.ordered import attach, indexed, matched
 
 DB_FILE_TRAIN_SHARE = 0.8
 
@@ -242,7 +242,7 @@ def deranged(df: DataFrame, key: str, columns: Sequence[str], seed=42, group: Se
     d = indexed(df, group, [hashed(key, seed), F.col(key)], "_rn", "_n")
     donor = d.select(*group, F.when(F.col("_rn") == 1, F.col("_n")).otherwise(F.col("_rn") - 1).alias("_rn"),
                      *[F.col(c).alias(f"_d_{c}") for c in columns])
-    out = d.drop(*columns).join(donor, [*group, "_rn"]).withColumnsRenamed({f"_d_{c}": c for c in columns})
+    out = matched(d.drop(*columns), donor, [*group, "_rn"]).withColumnsRenamed({f"_d_{c}": c for c in columns})
     return out.select(*df.columns)
 
 

@@ -317,7 +317,7 @@ def centroid(spark, d):
 
 @query("d10_kmeans")
 def kmeans(spark, d):
-    k = L.kmeans(_scaled(spark, d), 4, restarts=4)
+    k = L.kmeans(_scaled(spark, d), 4)
     return k.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -344,7 +344,7 @@ def pairwise(spark, d):
 @query("d12_cluster_report")
 def cluster_report(spark, d):
     m = master(spark, d)
-    k = L.kmeans(L.cluster_features(m, I.BINS, ["smooth", "slope"]), 4, restarts=4)
+    k = L.kmeans(L.cluster_features(m, I.BINS, ["smooth", "slope"]), 4)
     return D.crosstab(k, "cluster", "phase", D.PHASES)
 
 

@@ -159,7 +159,7 @@ def p18(spark, d):
 
 @query("p18_pulse_motion_branch", CELLS + " SELECT vec_id, round(sum(x) FILTER (bin BETWEEN 3 AND 11 AND bin <> 5), 6) + 0.0 AS branch, round(sum(x) FILTER (bin IN (0, 1, 2, 5)), 6) + 0.0 AS environment FROM cells WHERE bin < 12 GROUP BY 1")
 def p18_branch(spark, d):
-    ix = U.pulse_motion_indices(12)
+    ix = U.pulse_motion_indices(AUX_NAMES)
     rest = [i for i in range(12) if i not in ix]
     return paired(spark, d).select("vec_id", I.rounded(A.total(U.pick(F.col("aux"), ix))).alias("branch"),
                                    I.rounded(A.total(U.pick(F.col("aux"), rest))).alias("environment"))

@@ -259,6 +259,16 @@ def test_run_mining(spark):
     assert (m["RMSE"], m["MAE"], m["Mean_MAE"]) == (1.5, 0.9, None)
     assert one(spark, runs.metric_values(F.lit(text), "mae", "test")) == [0.9]
     assert one(spark, runs.metric_values(F.lit(text), "mae")) == [0.9, 3.0]
+    odd = "Test RMSE: 0.93.\nTest MAE: nan\nTest MAE is 2,\nval/mae=1e-1 (test mae 4)\nTest R²: x\nMean of all RMSE: 9"
+    m = one(spark, runs.log_metrics(F.lit(odd)))
+    assert (m["RMSE"], m["MAE"], m["R2"], m["Mean_RMSE"]) == (0.93, 2.0, None, None)
+    assert one(spark, runs.metric_values(F.lit(odd), "mae")) == [2.0, 0.1, 4.0]
+    assert one(spark, runs.metric_values(F.lit(odd), "mae", "val")) == [0.1]
+    assert one(spark, runs.log_metrics(F.lit("Mean RMSE: 3 MAE: 2. R²: .5")))["Mean_R2"] == 0.5
+    marker = "best_test_mae: 1.\nBEST_TEST_EPOCH: 7\nnote 3\nBEST_TEST_RMSE: 2e0\nBEST_TEST_LOSS: 4\nBEST_TEST_MAE: 9\n"
+    assert tuple(one(spark, runs.best_test_marker(F.lit(marker)))) == (1.0, 7, 2.0, 4.0)
+    assert one(spark, runs.best_test_marker(F.lit("BEST_TEST_MAE: x"))) is None
+    assert one(spark, runs.objective(A.literal([3, 1, 2]), "huber")) == 1 and one(spark, runs.objective(A.literal([3, 1, 2]), "r_2")) == 3
     cmd = spark.createDataFrame([("python main.py --model tcn --mode window --window_duration 30 --data_fusion --fusion_stage late "
                                   "--fusion_method_late gated_residual --aux_override --aux_override_value 0.5 --no_attention --epochs 9",)], "c string")
     assert runs.run_name(runs.command_columns(cmd, "c")).first()["run_name"] == "[BIN]_tcn_win_wd30_fuslgres_auxov0.5_noattn_ep9"
@@ -296,4 +306,7 @@ def test_wrong_names_are_refused(spark):
         align.interpolate(df, df, ["g"], "t", "t", "x", "quintic")
     with pytest.raises(ValueError):
         fusion.fuse("sum", F.col("x"), F.col("x"))
-    assert math.isclose(fusion.skin_temperature_index(18), 12)
+    names = ["bme_pressure_hpa", "PPG_red", "t117_temperature_c", "icm_acc_x", "hr_mean", "note"]
+    assert fusion.pulse_motion_indices(names) == [1, 3, 4]
+    assert fusion.sensor_indices(names, ["t117"]) == [2]
+    assert fusion.pulse_motion_indices(["a", "b"]) == [0, 1]
