@@ -32,6 +32,8 @@ from chronoband.llm.tokens import encoder
 
 MAGIC = b"TOKENIDS1\n"
 BLOCK_IDS = 1 << 20
+#: ids below are counted in an array of that size, larger ones by sorting
+LARGEST_COUNTED = 1 << 22
 HEADER = struct.Struct("<4Q")
 #: widths[c]: the four widths that control byte c tells
 WIDTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -39,11 +41,15 @@ WIDTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     """Rank table, control bytes and data bytes of a run of ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank_of = np.empty(len(order), dtype=np.uint32)
+    if len(ids) and int(ids.max()) >= LARGEST_COUNTED:
+        values, ids, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    else:
+        counts = np.bincount(ids)
+        values = np.arange(len(counts), dtype=np.uint32)
+    order = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
+    rank_of = np.zeros(len(counts), dtype=np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank_of[inverse.reshape(-1)]
+    ranks = rank_of[ids.reshape(-1)]
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     quads = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     quads[:len(ranks)] = extra

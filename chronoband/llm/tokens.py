@@ -2,8 +2,10 @@
 
 Both kinds of tokenizer used here treat the text between two white-space
 boundaries on its own, so the ids of a text are the ids of its pieces joined.
-A worker encodes every distinct piece once and keeps a bounded table of them;
-tokenizers whose rules are unknown to this module encode whole texts.
+A worker encodes a piece once and keeps a bounded table of pieces; a word of
+Latin letters goes straight to the tokenizer's model, which its other steps
+would hand it unchanged.  Tokenizers whose rules are unknown to this module
+encode whole texts.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-CACHED_PIECES = 300_000
+#: pieces in the younger of two generations; what is used again moves from the older one
+CACHED_PIECES = 250_000
 LONGEST_CACHED = 64
+LAST_LATIN, ENDINGS = "\xff", (".", ",")
 _TWO_SPACES = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
@@ -41,42 +46,77 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = _kind(path)
+        self.lead = " " if self.kind == "space-led" else ""
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.kind == "space-led":
-            if _TWO_SPACES.search(text):
-                return _BEFORE_SPACE.split(text)
-            first, *rest = text.split(" ")
-            return [first, *[" " + w for w in rest]]
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(32, 256) if chr(c) == " " or chr(c).isalpha()]
+        self.spelled = str.maketrans({c: byte_level.pre_tokenize_str(c)[0][0] for c in letters})
+        self.spelled_lead = self.lead.translate(self.spelled)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.older: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # word: ids of the word with its leading space, where the kind has one
+
+    def _alone(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of Latin letters: the model's own, since no other step of the tokenizer changes it."""
         if self.kind == "space-free":
-            return text.replace("\n", " ").split(" ")
-        return [text]
+            word = word.lower()
+        spelled = self.spelled_lead + (word if word.isascii() else word.translate(self.spelled))
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        for word in words:
+            ids = self.older.get(word)
+            if ids is None:
+                base, end = (word[:-1], word[-1]) if word[-1:] in ENDINGS and len(word) > 1 else (word, "")
+                if base.isalpha() and (base.isascii() or max(base) <= LAST_LATIN):
+                    ids = self.known.get(base) or found.get(base) or self.older.get(base)
+                    if ids is None:
+                        ids = found[base] = self._letters(base)
+                    if end:
+                        if end not in self.endings:
+                            self.endings[end] = self._alone(end)
+                        ids += self.endings[end]
+                else:
+                    ids = self._alone(self.lead + word)
+            found[word] = ids
+        return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.kind == "whole":
+            return [np.frombuffer(self._alone(t), dtype=self.dtype) for t in texts]
         if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        known, out = self.known, []
+            self.known, self.older = {}, self.known
+        split, missing = [], set()
         for text in texts:
-            pieces = self._pieces(text)
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            passing = {}
-            if new:
-                for piece, ids in zip(new, self._encoded(new), strict=True):
-                    (known if len(piece) <= LONGEST_CACHED else passing)[piece] = ids
-            if passing:
-                ids = b"".join([known[p] if p in known else passing[p] for p in pieces])
+            first = b""
+            if self.kind == "space-free":
+                words = text.replace("\n", " ").split(" ")
+            elif _TWO_SPACES.search(text):
+                head, *rest = _BEFORE_SPACE.split(text)
+                first, words = self._alone(head), [p[1:] for p in rest]
             else:
-                ids = b"".join([known[p] for p in pieces])
-            out.append(np.frombuffer(ids, dtype=self.dtype))
+                head, *words = text.split(" ")
+                first = self._alone(head)
+            got = list(map(self.known.get, words))
+            gaps = [k for k, ids in enumerate(got) if ids is None]
+            missing.update([words[k] for k in gaps])
+            split.append((first, words, got, gaps))
+        new = self._learn(missing)
+        out = []
+        for first, words, got, gaps in split:
+            for k in gaps:
+                got[k] = new[words[k]]
+            out.append(np.frombuffer(first + b"".join(got), dtype=self.dtype))
+        self.known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_CACHED)
         return out
 
 

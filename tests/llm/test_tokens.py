@@ -39,6 +39,13 @@ def test_any_text(text):
         assert ENCODERS[f]([text])[0].tolist() == plain(f, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("theanoNSßéµªÿİ .,")), max_size=60))
+def test_words_of_letters(text):
+    for f in FILES:
+        assert ENCODERS[f]([text])[0].tolist() == plain(f, text)
+
+
 @given(st.lists(st.sampled_from([0, 1, 2, 77_000, 2**31, *range(300)]), max_size=900))
 @settings(max_examples=60, deadline=None)
 def test_code_round_trip(ids):
