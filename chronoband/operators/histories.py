@@ -137,7 +137,7 @@ def rf_image_index(df: DataFrame, group: Sequence[str], us: str, sample: str, la
     first = df.groupBy(*group).agg(F.min(us).alias("_t0"), F.count(F.lit(1)).alias("_n"))
     frame = lambda w: w.rangeBetween(-reach_us, 0)
     d = time_framed(df, group, us, reach_us, {
-        "start": lambda w: F.first(sample).over(frame(w)),
+        "start": lambda w: F.min_by(sample, F.struct(us, sample)).over(frame(w)),
         "mean_label": lambda w: F.avg(label).over(frame(w)),
         "_m": lambda w: F.count(F.lit(1)).over(frame(w))}, peak)
     d = attach(d, first, group)

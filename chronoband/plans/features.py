@@ -143,9 +143,14 @@ def p16(spark, d):
     return paired(spark, d).select("vec_id", A.total(a).alias("total"), F.size(a).alias("width"))
 
 
-@query("p17_augmentation")
+@query("p17_augmentation", CELLS + """, u AS (SELECT vec_id, bin - 12 AS i, x, md5(vec_id || ':42') AS r, md5(vec_id || ':42:' || (bin - 12)) AS m FROM cells WHERE bin >= 12),
+n AS (SELECT vec_id, x, (('0x' || r[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296 AS k, (('0x' || r[9:16])::BIGINT + 0.5::DOUBLE) / 4294967296 AS b,
+ (('0x' || m[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296 AS p, (('0x' || m[9:16])::BIGINT + 0.5::DOUBLE) / 4294967296 AS q FROM u)
+SELECT vec_id, round(avg(x * (1 + 0.1::DOUBLE * (2 * k - 1)) + 0.1::DOUBLE * (2 * b - 1) + 0.01::DOUBLE * sqrt(-2 * ln(p)) * cos(6.283185307179586::DOUBLE * q)), 6) + 0.0 AS mean,
+ round(avg(x), 6) + 0.0 AS plain FROM n GROUP BY 1""")
 def p17(spark, d):
-    return paired(spark, d).select("vec_id", A.mean(U.augment(F.col("power"), 42)).alias("mean"), A.mean(F.col("power")).alias("plain"))
+    moved = U.augment(F.col("power"), F.col("vec_id"), 42)
+    return paired(spark, d).select("vec_id", I.rounded(A.mean(moved)).alias("mean"), I.rounded(A.mean(F.col("power"))).alias("plain"))
 
 
 @query("p18_sensor_groups", """WITH n AS (SELECT event_id, (CASE event_id % 6 WHEN 0 THEN 'PPG_raw' WHEN 1 THEN 'hr_mean' WHEN 2 THEN 'icm_acc_x' WHEN 3 THEN 't117_temperature_c' WHEN 4 THEN 'humidity_pct' ELSE event_type END) AS name FROM events)

@@ -85,7 +85,7 @@ def time_padded(spark, d):
 
 
 @query("l7_rf_image_index", SER + f""", f AS (SELECT exp_id, min(us) AS t0 FROM series GROUP BY 1)
-SELECT a.event_id, arg_min(b.event_id, b.us) AS start, round(avg(b.value), 7) + 0.0 AS mean_label FROM series a JOIN f USING (exp_id)
+SELECT a.event_id, arg_min(b.event_id, row(b.us, b.event_id)) AS start, round(avg(b.value), 7) + 0.0 AS mean_label FROM series a JOIN f USING (exp_id)
 JOIN series b ON a.exp_id = b.exp_id AND b.us BETWEEN a.us - {2 * DAY} AND a.us WHERE t0 <= a.us - {2 * DAY} GROUP BY 1 HAVING count(*) >= 2""")
 def rf_index(spark, d):
     x = H.rf_image_index(I.series(spark, d), EXP, "us", "event_id", "value", 2 * DAY)
@@ -103,9 +103,9 @@ n AS (SELECT vec_id, row_no, gt, count(*) AS n, count(*) FILTER (bus < gt) AS c,
 r AS (SELECT *, least(greatest(c, 1), n - 1) AS rt FROM n),
 z AS (SELECT vec_id, row_no, ids[CASE WHEN n = 1 THEN 1 ELSE rt END] AS a, ids[CASE WHEN n = 1 THEN 1 ELSE rt + 1 END] AS b,
  CASE WHEN n = 1 THEN 0 ELSE least(greatest((gt - ts[rt]) / (ts[rt + 1] - ts[rt]), 0), 1) END AS share FROM r)
-SELECT z.vec_id, z.row_no, p.bin, round(p.x * (1 - share) + q.x * share, 6) + 0.0 AS x FROM z JOIN cells p ON p.vec_id = z.a JOIN cells q ON q.vec_id = z.b AND q.bin = p.bin WHERE p.bin < 8""")
+SELECT z.vec_id, z.row_no, p.bin, round(p.x * (1 - share) + q.x * share, 6) + 0.0 AS x FROM z JOIN cells p ON p.vec_id = z.a JOIN cells q ON q.vec_id = z.b AND q.bin = p.bin""")
 def rf(spark, d):
-    s = I.spectra(spark, d).withColumn("us", F.col("vec_id") * RF_US).withColumn("power", F.slice("power", 1, 8))
+    s = I.spectra(spark, d).withColumn("us", F.col("vec_id") * RF_US)
     x = H.rf_image(s, ["label"], "us", "power", _RF_REACH, 4)
     rows = x.select("vec_id", F.posexplode_outer("image").alias("row_no", "r"))
     cells = rows.select("vec_id", "row_no", F.posexplode_outer("r").alias("bin", "x"))

@@ -80,19 +80,20 @@ def spectrum_blocks(spark, d):
 
 def aux_files(spark, d):
     folder = scratch_path(spark, "aux-files")
-    kinds = {"signup": 0x10, "click": 0x11, "view": 0x12, "purchase": 0x13}
+    kinds = {"signup": 0x10, "click": 0x11, "view": 0x12, "purchase": 0x13, "error": 0x12}  # five types, four kinds of record
 
     def encode(r):
         tag, t, v = kinds[r.event_type], r.us / 1e6, r.event_id % 1000
         body = {0x10: lambda: struct.pack("<dfff", t, v, v + 1, v + 2), 0x11: lambda: struct.pack("<diihBB", t, v, -v, v - 500, v % 100, 0),
                 0x12: lambda: struct.pack("<df", t, v), 0x13: lambda: struct.pack("<d6f", t, *[v + i for i in range(6)])}[tag]()
         return bytes([tag]) + body
-    s = I.series(spark, d).filter("event_type <> 'error'").select("event_id", "us", "event_type")
+    s = I.series(spark, d).select("event_id", "us", "event_type")
     _land(s.repartition(4, "event_id"), folder, "A", encode, struct.pack("<8sII", b"AUXDATA", 1, 0))
     return B.listed(spark, folder, "a*.bin")
 
 
-@query("s2_aux_files", SER + """ SELECT event_type AS kind, round(us / 1e6, 6) AS ts, (event_id % 1000)::DOUBLE AS first_value, CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 3 WHEN 'click' THEN 5 ELSE 6 END::INT AS width FROM series WHERE event_type <> 'error'""")
+@query("s2_aux_files", SER + """ SELECT CASE event_type WHEN 'error' THEN 'view' ELSE event_type END AS kind, round(us / 1e6, 6) AS ts, (event_id % 1000)::DOUBLE AS first_value,
+ CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 1 WHEN 'signup' THEN 3 WHEN 'click' THEN 5 ELSE 6 END::INT AS width FROM series""")
 def aux_scan(spark, d):
     kind = F.when(F.col("tag") == 0x10, "signup").when(F.col("tag") == 0x11, "click").when(F.col("tag") == 0x12, "view").otherwise("purchase")
     return B.read_aux(aux_files(spark, d), block=4096).select(kind.alias("kind"), F.round("ts", 6).alias("ts"), F.get("v", 0).alias("first_value"), F.size("v").alias("width"))

@@ -71,29 +71,35 @@ def _aux_step(f, at: int) -> int | None:
 
 
 def _cutter(magic: bytes, header: int, step, block: int):
+    def cuts(path: str, size: int) -> list[tuple]:
+        rows = []
+        with open_file(path) as f:
+            head = f.read(header)
+            if len(head) < header or not head.rstrip(b"\0").startswith(magic):
+                return [(path, 0, 0, "bad header")]
+            if size - header <= block:
+                return [(path, header, size, None)]
+            start = at = header
+            while at is not None and at < size:
+                nxt = step(f, at)
+                if nxt is None or nxt > size:
+                    break
+                at = nxt
+                if at - start >= block:
+                    rows.append((path, start, at, None))
+                    start = at
+            if at > start:
+                rows.append((path, start, at, None))
+        return rows
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, size in zip(b["path"], b["length"]):
-                with open_file(path) as f:
-                    head = f.read(header)
-                    if len(head) < header or not head.rstrip(b"\0").startswith(magic):
-                        rows.append((path, 0, 0, "bad header"))
-                        continue
-                    if size - header <= block:
-                        rows.append((path, header, int(size), None))
-                        continue
-                    start = at = header
-                    while at is not None and at < size:
-                        nxt = step(f, at)
-                        if nxt is None or nxt > size:
-                            break
-                        at = nxt
-                        if at - start >= block:
-                            rows.append((path, start, at, None))
-                            start = at
-                    if at > start:
-                        rows.append((path, start, at, None))
+                try:
+                    rows += cuts(path, int(size))
+                except OSError as e:  # an unreadable file is a reject, not the end of the job
+                    rows.append((path, 0, 0, f"unreadable: {type(e).__name__}"))
             yield pd.DataFrame(rows, columns=["path", "start", "stop", "error"])
     return cut
 

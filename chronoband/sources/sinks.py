@@ -29,11 +29,8 @@ def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def feature_batches(df: DataFrame, layout: str, key: str, n_spectrum: int | None = None, seed: int = 42, batch: int = 64) -> DataFrame:
-    """Trainer rows: seeded order inside each split and the batch a row falls into.
-
-    A batch is a hash bucket's run of rows, so no global order is needed.
-    """
+def feature_batches(df: DataFrame, layout: str, key: str, n_spectrum: int | None = None, seed: int = 42) -> DataFrame:
+    """Trainer rows in seeded order inside each split: ranges of (split, hash), as many as the session has shuffle partitions."""
     f = F.col("features")
     if layout == "plain":
         cols = [f]
@@ -44,8 +41,8 @@ def feature_batches(df: DataFrame, layout: str, key: str, n_spectrum: int | None
             cols.append(F.col("label_history"))
     else:
         raise ValueError(f"unknown layout: {layout}")
-    return df.select(key, "split", *cols, "label", hashed(key, seed).alias("shuffle_key")).repartition(
-        "split", F.substring("shuffle_key", 1, 2)).sortWithinPartitions("split", "shuffle_key")
+    return df.select(key, "split", *cols, "label", hashed(key, seed).alias("shuffle_key")).repartitionByRange(
+        "split", "shuffle_key").sortWithinPartitions("split", "shuffle_key")
 
 
 def matrix_files(df: DataFrame, order: Sequence[str], features: str) -> DataFrame:
