@@ -211,19 +211,20 @@ def time_framed(df: DataFrame, group: Sequence[str], us: str, reach_us: int, exp
     if is_small(df, group, peak):
         w = Window.partitionBy(*group).orderBy(us)
         return df.select("*", *[fn(w).alias(k) for k, fn in exprs.items()])
-    span = df.agg(F.min(us), F.max(us)).first()
-    pieces = max(1, group_sizes(df, group)[0] // rows_per_chunk(df.sparkSession))
-    start, end = (int(x or 0) for x in span)
-    length = max(reach_us + 1, (end - start) // pieces + 1)
-    own = F.coalesce(F.floor((F.col(us) - start) / length).cast("long"), F.lit(-1))
-    d = df.withColumn("_own", own)
-    nxt = F.when((F.col("_own") + 1) * length + start - F.col(us) <= reach_us, F.col("_own") + 1)
+    limit = rows_per_chunk(df.sparkSession)
+    # a group is cut by its own rows and its own span: a short recording in a long table is cut as finely as it needs
+    cuts = df.groupBy(*group).agg(F.min(us).alias("_t0"), F.max(us).alias("_t1"), F.count(F.lit(1)).alias("_m")).select(
+        *group, F.coalesce("_t0", F.lit(0)).alias("_t0"), F.coalesce(F.greatest(
+            F.lit(reach_us + 1), F.floor((F.col("_t1") - F.col("_t0")) / F.greatest(F.floor(F.col("_m") / limit), F.lit(1))) + 1),
+            F.lit(reach_us + 1)).cast("long").alias("_len"))
+    d = attach(df, cuts, group).withColumn("_own", F.coalesce(F.floor((F.col(us) - F.col("_t0")) / F.col("_len")).cast("long"), F.lit(-1)))
+    nxt = F.when((F.col("_own") + 1) * F.col("_len") + F.col("_t0") - F.col(us) <= reach_us, F.col("_own") + 1)
     d = d.withColumn("_home", F.explode(F.filter(F.array(F.col("_own"), nxt), lambda h: h.isNotNull())))
     w = Window.partitionBy(*group, "_home").orderBy(us)
     return (
         d.select("*", *[fn(w).alias(k) for k, fn in exprs.items()])
         .filter(F.col("_home") == F.col("_own"))
-        .drop("_own", "_home")
+        .drop("_own", "_home", "_t0", "_len")
     )
 
 

@@ -41,7 +41,13 @@ def session(master: str | None = None, app: str = "chronoband", **extra: str) ->
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Runtime settings the operators rely on, for a session made elsewhere."""
+    """Runtime settings the operators rely on, for a session made elsewhere.
+
+    On a cluster the shared folder is asked for here, at every table size, and
+    not first by the operator that meets a large group.
+    """
+    if not spark.sparkContext.master.startswith("local"):
+        shared_dir(spark)
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
