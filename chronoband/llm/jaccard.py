@@ -28,42 +28,77 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoband.llm.common import materialise, stored, text_or_empty
+from chronoband.llm.common import materialise, text_or_empty
 
 SHINGLE = 5
 PERCENT = 75
 COUNTERS = 1 << 17
 FILTER_BITS = 1 << 22
 STAR_ROUNDS = 3
-#: a list is hot when its counter is so many times the mean; hot lists skip the plain window
-HOT = 8
+#: a list is hot when its counter is so many times the mean
+HOT, SALTS = 8, 64
 #: members tested against one copy of a hub's set
 PER_HUB = 256
-KNOWN_WORDS = 300_000
 
-_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_BASE = 0xC2B2AE3D27D4EB4F
+#: texts are hashed in stretches of at most so many bytes, cut between words
+STRETCH = 1 << 18
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(_BASE, STRETCH + 1), _powers(pow(_BASE, -1, 1 << 64), STRETCH + 1)
+
+
+def _hash_words(data: bytes) -> np.ndarray:
+    """A hash per word: a polynomial over its bytes, taken from running sums over the whole stretch."""
+    codes = np.frombuffer(data, dtype=np.uint8)
+    inside = ~_BLANK[codes]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if len(codes) > STRETCH:  # one word longer than a stretch, or words on both sides of it
+        return np.array([xxhash.xxh3_64_intdigest(data[a:b]) if b - a > STRETCH else _hash_words(data[a:b])[0]
+                         for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
+    running = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _UP[:len(codes)], out=running[1:])
+    value = (running[end] - running[start]) * _DOWN[start] + (end - start).astype(np.uint64) * _MIX
+    value = (value ^ (value >> np.uint64(32))) * _MIX
+    return value ^ (value >> np.uint64(29))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words in order; ASCII white space parts words, A-Z count as a-z."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    if len(data) <= STRETCH:
+        return _hash_words(data)
+    out, at = [], 0
+    blank = _BLANK[np.frombuffer(data, dtype=np.uint8)]
+    while at < len(data):
+        until = min(at + STRETCH, len(data))
+        if until < len(data):
+            back = np.flatnonzero(blank[at:until])
+            ahead = np.flatnonzero(blank[until:])
+            until = at + int(back[-1]) + 1 if len(back) else until + int(ahead[0]) if len(ahead) else len(data)
+        out.append(_hash_words(data[at:until]))
+        at = until
+    return np.concatenate(out)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; ASCII white space parts words, A-Z count as a-z."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    """Sorted distinct hashes of a text's shingles."""
+    hashes = word_hashes(text)
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(size, len(words))
-    places = len(words) - size + 1
+    size = min(size, len(hashes))
+    places = len(hashes) - size + 1
     total = np.full(places, size, dtype=np.uint64)
     for k in range(size):
         total += hashes[k:k + places] * _MULTIPLIERS[k]
@@ -106,9 +141,9 @@ def _inspect(size: int):
         for batch in batches:
             a, b, n = [], [], []
             for lo in range(0, batch.num_rows, 256):
-                for text in batch.column(1).slice(lo, 256).to_pylist():
-                    own = shingle_set(text, size)
-                    np.add.at(lengths, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
+                sets = [shingle_set(text, size) for text in batch.column(1).slice(lo, 256).to_pylist()]
+                lengths += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                for own in sets:
                     digest = xxhash.xxh3_128_digest(own.tobytes())
                     a.append(int.from_bytes(digest[:8], "little", signed=True))
                     b.append(int.from_bytes(digest[8:], "little", signed=True))
@@ -140,12 +175,9 @@ def _post(size: int, percent: int, lengths: np.ndarray, hot: float):
     return run
 
 
-def _sets(size: int, bits: np.ndarray):
-    """Sets of the documents whose id may be wanted."""
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for lo in range(0, batch.num_rows, 256):
                 few = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_pydict({"node": few.column(0), "set": pa.array(
@@ -153,6 +185,21 @@ def _sets(size: int, bits: np.ndarray):
     return run
 
 
+def sets_of(nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Shingle sets (node, set) of the documents that ``nodes`` names, and of few others.
+
+    A filter of fixed size, at most ``FILTER_BITS / 64`` rows and so safe to
+    broadcast, keeps the other texts from leaving their scan.
+    """
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    one = F.expr("shiftleft(1L, cast(bit % 64 AS int))")
+    words = nodes.select(bit("node").alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(one).alias("bits"))
+    texts = rows.where("id IS NOT NULL").select("id", "text", bit("id").alias("bit"))
+    wanted = texts.join(F.broadcast(words), F.floor(F.col("bit") / 64) == F.col("word")).where(F.col("bits").bitwiseAND(one) != 0)
+    return wanted.select("id", "text").mapInArrow(_sets(size), "node bigint, set binary")
+
+
 def _test(percent: int):
     """Rows sorted by (hub, salt, member or null): the hub's set, then the members tested against it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +219,9 @@ def _test(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets are linked.  A hub's set travels once per ``PER_HUB`` members."""
+def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets are linked.  A hub's set travels once per ``PER_HUB`` members, no other document's does."""
+    sets = sets_of(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), rows, size)
     hubs = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PER_HUB).cast("int").alias("salts"))
     dealt = pairs.join(hubs, "y").select("x", "y", F.pmod(F.xxhash64("x"), "salts").cast("int").alias("salt"))
     members = dealt.select(F.col("y").alias("hub"), "salt", F.col("x").alias("member"), F.col("x").alias("node"))
@@ -209,13 +257,24 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the lists that still hold more than one component, with their labels."""
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members (list, node, n) of the lists that hold more than one component, with their labels."""
     if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return members.withColumn("label", F.col("node"))
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    return named.join(mixed, "list", "left_semi")
+    return materialise(named.join(mixed, "list", "left_semi"))
+
+
+def _enough(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y, m, n, shared) that can reach the similarity.
+
+    With overlap of at least ``o = p (m + n) / (100 + p)`` a pair shares at least
+    ``o - T + 1`` short lists, T being that of the larger set.
+    """
+    overlap = F.ceil((F.col("m") + F.col("n")) * percent / F.lit(100 + percent) - 1e-9)
+    need = F.ceil(F.greatest("m", "n") * percent / F.lit(100) - 1e-9)
+    return shared.where(F.col("shared") >= overlap - need + 1)
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -223,21 +282,23 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 
 def star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member with at most two hubs of its lists, those it shares most short lists with."""
+    """Each member with one hub of its lists: of those it shares enough short lists with, the one it shares most with."""
     rank = F.xxhash64(F.lit(turn), "node")
     hubs = members.groupBy("list").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "label")).alias("hub"))
     met = members.join(hubs, "list").where((F.col("hub.label") != F.col("label")) & _sizes_fit("n", "hub.n", percent))
-    shared = met.groupBy(F.col("node").alias("x"), F.col("hub.node").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
-    best = Window.partitionBy("x").orderBy(F.desc("shared"), "y")
-    return shared.withColumn("best", F.row_number().over(best)).where("best <= 2").select("x", "y")
+    pairs = met.select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("hub.node").alias("y"), F.col("hub.n").alias("n")).distinct()
+    # the pair's other lists, where a third document is the hub, count as well
+    own = pairs.join(members.select(F.col("node").alias("x"), "list"), "x")
+    both = own.join(members.select(F.col("node").alias("y"), "list"), ["y", "list"])
+    shared = _enough(both.groupBy("x", "y", "m", "n").agg(F.count(F.lit(1)).alias("shared")), percent)
+    return shared.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
 
 
 def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Every pair of a list in two components that shares enough short lists.
 
     One side of a pair is outside its list's most common component, so lists
-    that are nearly one component give few pairs.  With overlap of at least
-    ``o = p (m + n) / (100 + p)`` a pair shares at least ``o - T + 1`` short lists.
+    that are nearly one component give few pairs.
     """
     counted = members.groupBy("list", "label").agg(F.count(F.lit(1)).alias("of"))
     main = counted.groupBy("list").agg(F.max_by("label", F.struct("of", "label")).alias("main"))
@@ -246,12 +307,10 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     y = marked.select("list", F.col("node").alias("y"), "n", F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("inner"))
     met = x.join(y, "list").where("lx <> ly AND (inner OR x < y)").where(_sizes_fit("m", "n", percent))
     # a pair may come either way round, from one list to the next
-    turned = met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), (F.col("m") + F.col("n")).alias("both"),
-                        F.greatest("m", "n").alias("larger"))
-    shared = turned.groupBy("x", "y", "both", "larger").agg(F.count(F.lit(1)).alias("shared"))
-    overlap = F.ceil(F.col("both") * percent / F.lit(100 + percent) - 1e-9)
-    need = F.ceil(F.col("larger") * percent / F.lit(100) - 1e-9)
-    return shared.where(F.col("shared") >= overlap - need + 1).select("x", "y")
+    turn = F.col("x") < F.col("y")
+    turned = met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), F.when(turn, F.col("n")).otherwise(F.col("m")).alias("m"),
+                        F.when(turn, F.col("m")).otherwise(F.col("n")).alias("n"))
+    return _enough(turned.groupBy("x", "y", "m", "n").agg(F.count(F.lit(1)).alias("shared")), percent).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -280,28 +339,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sizes = known.where("any AND id = node").groupBy("node").agg(F.max("n").alias("n"))
 
     posted = rows.mapInArrow(_post(size, percent, lengths, hot), "list bigint, id bigint, hot boolean")
-    both = Window.partitionBy("list")
-    shared = posted.where("NOT hot").withColumn("of", F.count(F.lit(1)).over(both)).where("of > 1").select("list", "id")
-    shared = shared.unionByName(posted.where("hot").select("list", "id"))
+    # a hot list is dealt out over many windows and kept without its count, which its counter already tells
+    dealt = posted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    both = Window.partitionBy("list", "salt")
+    shared = dealt.withColumn("of", F.count(F.lit(1)).over(both)).where("hot OR of > 1").select("list", "id")
     nodes = shared.join(moved, "id", "left").select("list", F.coalesce("node", "id").alias("node")).distinct()
     lists = materialise(nodes.join(sizes, "node").select("list", "node", "n"))
     lonely = lists.groupBy("list").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("list")
     lists = materialise(lists.join(lonely, "list", "left_semi"))
 
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    wanted = lists.select(place.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in wanted.collect():  # at most FILTER_BITS / 64 rows
-        bits[r.word] = r.bits
-    sets = rows.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    sets = stored(sets.mapInArrow(_sets(size, bits.view(np.uint64)), "node bigint, set binary"), "sets")
-
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
-        members = _labelled(lists, labels)
-        pairs = materialise(star_pairs(members, turn, percent) if turn < STAR_ROUNDS else crossing_pairs(members, percent))
-        found = materialise(verified(pairs, sets, percent))
+        lists = _labelled(lists.select("list", "node", "n"), labels)
+        pairs = materialise(star_pairs(lists, turn, percent) if turn < STAR_ROUNDS else crossing_pairs(lists, percent))
+        found = materialise(verified(pairs, rows, size, percent))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     out = known.join(labels.withColumnRenamed("label", "component"), "node", "left")

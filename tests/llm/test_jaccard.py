@@ -101,6 +101,16 @@ def test_shingles_match_words():
         assert len(shingle_set(text)) == len(shingles(text))
 
 
+def test_word_hashes_do_not_depend_on_place(monkeypatch):
+    want = jaccard.word_hashes("Ab cd ab\u00e9 cd xyz")
+    assert want[1] == want[3] and len(set(want.tolist())) == 4
+    long = " ".join(f"w{k}" for k in range(90_000)) + " " + "z" * 300_000 + " tail w5 w6"
+    whole = jaccard.word_hashes(long)
+    assert len(whole) == 90_004 and whole[5] == whole[-2] and whole[6] == whole[-1]
+    assert (whole[:90_000] == np.concatenate([jaccard.word_hashes(f"w{k}") for k in range(90_000)])).all()
+    assert len(jaccard.word_hashes("q" * 600_000)) == 1 and len(jaccard.word_hashes(" " * 600_000)) == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(1, 40)] + [(100, 101)], "x bigint, y bigint")
     got = {r.node: r.label for r in components(edges).collect()}
