@@ -34,7 +34,7 @@ SHINGLE = 5
 PERCENT = 75
 COUNTERS = 1 << 17
 FILTER_BITS = 1 << 22
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: a list is hot when its counter is so many times the mean
 HOT, SALTS = 8, 64
 #: members tested against one copy of a hub's set
@@ -171,6 +171,7 @@ def _post(size: int, percent: int, lengths: np.ndarray, hot: float):
                 if ids:
                     yield pa.RecordBatch.from_pydict({
                         "list": pa.array(np.concatenate(lists)), "id": pa.array(np.repeat(np.array(ids, np.int64), counts)),
+                        "at": pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts])),
                         "hot": pa.array(np.concatenate(long))})
     return run
 
@@ -258,7 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (list, node, n) of the lists that hold more than one component, with their labels."""
+    """Members (list, node, n, at) of the lists that hold more than one component, with their labels."""
     if labels is None:
         return members.withColumn("label", F.col("node"))
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -277,15 +278,21 @@ def _enough(shared: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("shared") >= overlap - need + 1)
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _can_link(m: str, i: str, n: str, j: str, percent: int) -> Column:
+    """Whether sets of m and n shingles that share the one at places i and j may reach the similarity.
+
+    In the common order at most ``least(i, j)`` shared ones come before it, and
+    it and what follows are at most ``least(m - i, n - j)``.
+    """
+    most = F.least(i, j) + F.least(F.col(m) - F.col(i), F.col(n) - F.col(j))
+    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (most * (100 + percent) >= (F.col(m) + F.col(n)) * percent)
 
 
 def star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each member with one hub of its lists: of those it shares enough short lists with, the one it shares most with."""
     rank = F.xxhash64(F.lit(turn), "node")
-    hubs = members.groupBy("list").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "label")).alias("hub"))
-    met = members.join(hubs, "list").where((F.col("hub.label") != F.col("label")) & _sizes_fit("n", "hub.n", percent))
+    hubs = members.groupBy("list").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "label", "at")).alias("hub"))
+    met = members.join(hubs, "list").where((F.col("hub.label") != F.col("label")) & _can_link("n", "at", "hub.n", "hub.at", percent))
     pairs = met.select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("hub.node").alias("y"), F.col("hub.n").alias("n")).distinct()
     # the pair's other lists, where a third document is the hub, count as well
     own = pairs.join(members.select(F.col("node").alias("x"), "list"), "x")
@@ -303,9 +310,9 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     counted = members.groupBy("list", "label").agg(F.count(F.lit(1)).alias("of"))
     main = counted.groupBy("list").agg(F.max_by("label", F.struct("of", "label")).alias("main"))
     marked = members.join(main, "list")
-    x = marked.where("label <> main").select("list", F.col("node").alias("x"), F.col("n").alias("m"), F.col("label").alias("lx"))
-    y = marked.select("list", F.col("node").alias("y"), "n", F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("inner"))
-    met = x.join(y, "list").where("lx <> ly AND (inner OR x < y)").where(_sizes_fit("m", "n", percent))
+    x = marked.where("label <> main").select("list", F.col("node").alias("x"), F.col("n").alias("m"), F.col("at").alias("i"), F.col("label").alias("lx"))
+    y = marked.select("list", F.col("node").alias("y"), "n", F.col("at").alias("j"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("inner"))
+    met = x.join(y, "list").where("lx <> ly AND (inner OR x < y)").where(_can_link("m", "i", "n", "j", percent))
     # a pair may come either way round, from one list to the next
     turn = F.col("x") < F.col("y")
     turned = met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), F.when(turn, F.col("n")).otherwise(F.col("m")).alias("m"),
@@ -338,19 +345,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     moved = known.where("any AND id <> node").select("id", "node").distinct()
     sizes = known.where("any AND id = node").groupBy("node").agg(F.max("n").alias("n"))
 
-    posted = rows.mapInArrow(_post(size, percent, lengths, hot), "list bigint, id bigint, hot boolean")
+    posted = rows.mapInArrow(_post(size, percent, lengths, hot), "list bigint, id bigint, at int, hot boolean")
     # a hot list is dealt out over many windows and kept without its count, which its counter already tells
     dealt = posted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
     both = Window.partitionBy("list", "salt")
-    shared = dealt.withColumn("of", F.count(F.lit(1)).over(both)).where("hot OR of > 1").select("list", "id")
-    nodes = shared.join(moved, "id", "left").select("list", F.coalesce("node", "id").alias("node")).distinct()
-    lists = materialise(nodes.join(sizes, "node").select("list", "node", "n"))
+    shared = dealt.withColumn("of", F.count(F.lit(1)).over(both)).where("hot OR of > 1").select("list", "id", "at")
+    nodes = shared.join(moved, "id", "left").select("list", F.coalesce("node", "id").alias("node"), "at").distinct()
+    lists = materialise(nodes.join(sizes, "node").select("list", "node", "n", "at"))
     lonely = lists.groupBy("list").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("list")
     lists = materialise(lists.join(lonely, "list", "left_semi"))
 
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
-        lists = _labelled(lists.select("list", "node", "n"), labels)
+        lists = _labelled(lists.select("list", "node", "n", "at"), labels)
         pairs = materialise(star_pairs(lists, turn, percent) if turn < STAR_ROUNDS else crossing_pairs(lists, percent))
         found = materialise(verified(pairs, rows, size, percent))
         links = found if links is None else links.unionByName(found)
