@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoband.llm.common import documents, stored, table
+from chronoband.llm.common import documents, stored, table, text_or_empty
 from chronoband.llm.decontaminate import contamination
 from chronoband.llm.jaccard import near_duplicates
 from chronoband.llm.lines import keep_bitmaps, without_lines
@@ -23,16 +23,22 @@ LINE_DOCUMENTS = 10
 END_ID, WINDOW = 2, 4096
 
 
-def _without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is not rejected; null keys are compared as values.  The rejected are the fewer, so they travel."""
-    ids = rejected.select(F.col(key).alias("rejected_key")).distinct()
-    return docs.join(ids, docs[key].eqNullSafe(ids["rejected_key"]), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``row_key``: the id and a hash of the text, which tells rows apart that share an id or have none."""
+    return docs.withColumn("row_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty("text")).alias("tag")))
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``row_key`` is not rejected; null ids are compared as values.  The rejected are the fewer, so they travel."""
+    keys = rejected.select(F.col("row_key.id").alias("rejected_id"), F.col("row_key.tag").alias("rejected_tag")).distinct()
+    same = docs["doc_id"].eqNullSafe(keys["rejected_id"]) & (F.xxhash64(text_or_empty("text")) == keys["rejected_tag"])
+    return docs.join(keys, same, "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; all labels teach."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scores = fit_toxicity(docs, labels).score(docs)
+    scores = fit_toxicity(docs, labels).score(_keyed(docs), key="row_key")
     return _without(docs, scores.where(F.col("score") >= TOXIC))
 
 
@@ -53,7 +59,8 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Of rows that share an id one stays, the one whose text has the smallest hash.
     """
     groups = near_duplicates(docs)
-    left = _without(docs, groups.where(F.col("component_id") != F.col("doc_id")))
+    others = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("repeated_key")).agg(
         F.count(F.lit(1)).alias("rows")).where("rows > 1").select("repeated_key")
     shared = left.join(repeated, left["doc_id"] == repeated["repeated_key"], "left_semi")
@@ -65,7 +72,7 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of a benchmark item."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination(_keyed(docs), table(spark, sf_dir, "benchmark"), key="row_key")
     return _without(docs, found.where("contaminated"))
 
 

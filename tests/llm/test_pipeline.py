@@ -104,6 +104,19 @@ def test_run_is_the_stages_in_a_row(spark, made):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"] and got.count() > 100
 
 
+def test_rejected_rows_take_no_others_along(spark, made):
+    folder, items = made
+    docs, rng = spark.read.parquet(f"{folder}/documents.parquet"), random.Random(7)
+    clean, other = sentence(rng), sentence(rng)
+    toxic, leaked = f"{sentence(rng)} {BAD[0]} {BAD[1]}", f"{sentence(rng)} {items[0]}"
+    more = [(None, clean), (None, toxic), (None, leaked), (None, None), (500, clean), (500, toxic), (500, leaked), (500, other), (501, toxic)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in more], KIND))
+    for stage, bad in ((corpus_pipeline.toxicity, toxic), (corpus_pipeline.decontamination, leaked)):
+        left = [r for r in rows(stage(spark, docs, folder)) if r[0] is None or r[0] >= 500]
+        want = [(i, t, "en", "s", 1) for i, t in more if t != bad]
+        assert [r for r in left if r[:2] in more] == sorted(want, key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     for name, kind in (("documents", KIND), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
