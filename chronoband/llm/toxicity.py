@@ -34,7 +34,8 @@ FEATURES = 20_000
 LEAST_POSITIVE = 3
 SLOTS = 1 << 18
 KNOWN_TOKENS = 200_000
-LONGEST_DECODED = 120
+#: characters after which the search puts its readings aside
+STRETCH = 120
 
 #: fixed values: signs and the letters they resemble, and signs that part letters
 ALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
@@ -42,10 +43,12 @@ ALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 PARTING = " .-_*~'/"
 #: channel costs in nats: a look-alike for a letter, a parting dropped or kept, a repeated letter dropped
 AS_LETTER, PARTED, PARTING_KEPT, REPEATED = 1.0, 0.3, 2.5, 0.7
-EDGES = ".,;:?!\"'()[]{}<>#%&*|$-_=+~/\\"
+EDGES = ".,;:?!\"'()[]{}<>#%&*|$-_=+~/\\“”„‘’«»…–—"
+#: edges that resemble no letter
+SOFT = "".join(c for c in EDGES if c not in ALIKE)
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _PARTED = re.compile(r"\w(?:[.\-_*~'/]\w){2,}$")
-_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+_SPACED = re.compile(rf"(?<!\S)[{re.escape(EDGES)}]*(?:\S ){{3,}}\S[{re.escape(EDGES)}]*(?!\S)")
 _AGAIN = re.compile(r"(\S)(?: \1)+(?!\S)")
 
 
@@ -105,8 +108,10 @@ class Decoder:
         return self.memory[key]
 
     def _best(self, token: str) -> str:
-        paths = {"  ": (0.0, "")}  # last two characters: score, reading
+        paths = {"  ": (0.0, "", None)}  # last two characters: score, reading since the last stretch, what was read before
         for k, c in enumerate(token):
+            if k and k % STRETCH == 0:  # long readings are chained, not copied letter by letter
+                paths = {context: (score, "", (reading, before)) for context, (score, reading, before) in paths.items()}
             options = [(c, PARTING_KEPT if c in PARTING else 0.0)]
             if c in ALIKE:
                 options += [(letter, AS_LETTER) for letter in ALIKE[c]]
@@ -114,8 +119,8 @@ class Decoder:
                 options.append(("", PARTED))
             elif k and token[k - 1] == c:
                 options.append(("", REPEATED))
-            following: dict[str, tuple[float, str]] = {}
-            for context, (score, reading) in paths.items():
+            following: dict[str, tuple] = {}
+            for context, (score, reading, before) in paths.items():
                 for out, cost in options:
                     if out:
                         new, gain = context[1] + out, self._logp(context, out)
@@ -125,21 +130,24 @@ class Decoder:
                         new, gain = context, 0.0
                     total = score + gain - cost
                     if new not in following or total > following[new][0]:
-                        following[new] = (total, reading + out)
+                        following[new] = (total, reading + out, before)
             paths = following
-        return max((score + self._logp(context, " "), reading) for context, (score, reading) in paths.items())[1]
+        _, _, reading, before = max((score + self._logp(context, " "), context, reading, before)
+                                    for context, (score, reading, before) in paths.items())
+        parts = [reading]
+        while before:
+            reading, before = before
+            parts.append(reading)
+        return "".join(reversed(parts))
 
     def __call__(self, token: str) -> list[str]:
-        out = []
-        for a in range(0, len(token), LONGEST_DECODED):
-            out += self._best(token[a:a + LONGEST_DECODED]).split()
-        return out
+        return self._best(token).split()
 
 
 def disguised(token: str) -> bool:
-    if _RUN.search(token) or _PARTED.match(token):
-        return True
     core = token.strip(EDGES)
+    if _RUN.search(token) or _PARTED.match(core):
+        return True
     return any(c in ALIKE for c in token) and any(c.isalpha() for c in core) and not core.isalpha()
 
 
@@ -155,20 +163,29 @@ class Reader:
         if found is None:
             if len(self.known) > KNOWN_TOKENS:
                 self.known.clear()
-            found = (token.strip(EDGES),)
+            core, inner = token.strip(EDGES), token.strip(SOFT)
+            found = (core,)
             if disguised(token):
-                found += tuple(w.strip(EDGES) for w in self.decode(token))
-            elif token[:1] in ALIKE and token[1:].isalpha():
-                found += tuple(self.decode(token))
+                found += tuple(w.strip(EDGES) for w in self.decode(inner))
+                if core not in ("", inner):
+                    found += tuple(w.strip(EDGES) for w in self.decode(core))
+            elif core.isalpha() and token[:1] in EDGES:
+                sign = token[token.index(core) - 1]
+                if sign in ALIKE:
+                    found += tuple(self.decode(sign + core))
             found = self.known[token] = tuple(dict.fromkeys(w for w in found if w))
         return found
 
     def spaced(self, text: str, tokens: set[str]) -> list[str]:
         """Words written with blanks between their letters."""
-        if sum(len(t) == 1 for t in tokens) < 3:
+        single = sum(len(t) == 1 for t in tokens)
+        if not single or single < 3 and single + sum(len(t) > 1 and not t.isalpha() and len(t.strip(EDGES)) == 1 for t in tokens) < 3:
             return []
-        spans = {_AGAIN.sub(r"\1", m[0]) for m in _SPACED.finditer(" ".join(text.split()))}
-        return [w for s in spans if s.count(" ") > 1 for w in self.decode(s)]
+        spans = set()
+        for m in _SPACED.finditer(" ".join(text.split())):
+            spans |= {_AGAIN.sub(r"\1", m[0].strip(edges + " ")) for edges in (SOFT, EDGES)}
+        found = (w.strip(EDGES) for s in spans if s.count(" ") > 1 for w in self.decode(s))
+        return [w for w in found if w]
 
     def __call__(self, text: str) -> set[str]:
         text = text.lower()

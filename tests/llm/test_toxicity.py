@@ -55,6 +55,25 @@ def test_disguises(spark, classifier, shown):
     assert scores(spark, classifier, [text(rng, [shown])])[0] >= 0.3
 
 
+ENDS = ["{}.", "{},", "{}?", '"{}"', "'{}'", "“{}”", '"{}."', "({});", "{}!", "{}..."]
+
+
+def test_disguises_next_to_punctuation(classifier):
+    read = Reader(classifier.characters.value)
+    for shown in ("id1ot", "1d10t", "i d i o t", "i.d.i.o.t", "i-d-i-o-t", "i_d_i_o_t", "iiidiooot", "!diot"):
+        missed = [end for end in ENDS if "idiot" not in read("the er " + end.format(shown) + " on the")]
+        assert not missed, (shown, missed)
+    assert all("moron" in read("the " + end.format("m o r o n")) for end in ENDS)
+
+
+@pytest.mark.parametrize("sign", [" ", ".", "-"])
+def test_long_runs_are_read_across_every_place(classifier, sign):
+    read = Reader(classifier.characters.value)
+    missed = [k for k in range(50, 64) if "idiot" not in "".join(read.decode(sign.join("th" * (k // 2) + "e" * (k % 2) + "idiot" + "the" * 9)))]
+    assert not missed
+    assert len("".join(read.decode("i.d.i.o.t." * 5000))) > 20_000
+
+
 def test_clean_texts_stay_clean(spark, classifier):
     rng = random.Random(9)
     clean = [text(rng, extra) for extra in (["THE!!"], ["3d"], ["a", "a", "a", "a"], ["+1"], ["$$$"], ["2024"], ["on***"])]
