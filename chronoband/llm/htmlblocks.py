@@ -10,7 +10,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody "
                   "td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template textarea select iframe object canvas svg math title button".split())
+HIDDEN = frozenset("script style noscript template textarea select iframe object canvas svg annotation annotation-xml title button".split())
+#: the hidden ones whose content is plain text up to their end tag, or to the end of the page
+RAW = frozenset("script style textarea iframe title".split())
+FOREIGN = frozenset(("svg", "math"))
 #: an opening tag of the first kind ends an open one of the second
 ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}}
@@ -22,7 +25,7 @@ _MARKUP = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
-_CLOSING = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in HIDDEN}
+_CLOSING = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 class Block:
@@ -44,35 +47,34 @@ def blocks(page: str | None) -> list[Block]:
     """Text blocks in page order: references decoded, white space one blank, ends trimmed, empty ones left out.
 
     Inline tags do not part a block and a line break is white space.  Unfinished
-    tags, comments and hidden elements at the end of a cut page are dropped.
+    tags, comments and raw text at the end of a cut page are dropped.  Text in
+    another hidden element is left out if the element's own end tag comes; one
+    that is never ended hides nothing and is not in the path.
     """
     page = page or ""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    pieces: list[str] = []
-    linked = anchors = at = 0
+    # texts (text, in a link, hidden by) and ends of blocks (None, open tags, hidden by); the last is 0 or the number of the innermost hidden element
+    items: list[tuple] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    outer, ended = [0], [False]  # by number of the hidden element: the one around it, whether its end tag came
+    now = anchors = at = 0
+    pending = False
 
     def flush() -> None:
-        nonlocal linked
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            if text:
-                leaf = next((t for t, _ in reversed(stack) if t in BLOCK), "body")
-                path = tuple(x for t, own in stack for x in (t, *("." + n for n in own)))
-                out.append(Block(path, leaf, text, min(linked, len(text))))
-            pieces.clear()
-        linked = 0
+        nonlocal pending
+        if pending:
+            items.append((None, tuple(stack), now))
+            pending = False
 
     def add(raw: str) -> None:
-        nonlocal linked
-        text = html.unescape(raw) if "&" in raw else raw
-        pieces.append(text)
-        if anchors:
-            linked += len(text)
+        nonlocal pending
+        items.append((html.unescape(raw) if "&" in raw else raw, anchors > 0, now))
+        pending = True
 
     def close(k: int) -> None:
-        nonlocal anchors
-        anchors -= sum(t == "a" for t, _ in stack[k:])
+        nonlocal anchors, now
+        for t, _, hidden in stack[k:]:
+            anchors -= t == "a"
+        now = next((outer[hidden] for _, _, hidden in stack[k:] if hidden), now)
         del stack[k:]
 
     while True:
@@ -92,42 +94,70 @@ def blocks(page: str | None) -> list[Block]:
         tag, ending = tag.lower(), m["end"] or m["end2"]
         if ending:
             if tag == "br":
-                pieces.append(" ")
+                add(" ")
                 continue
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if tag in BLOCK:
                 flush()
             if k is not None:
-                if any(t in BLOCK for t, _ in stack[k:]):
+                if stack[k][2]:
+                    ended[stack[k][2]] = pending = True  # ends of blocks inside it do not count
+                elif any(t in BLOCK for t, _, _ in stack[k:]):
                     if tag not in BLOCK:
                         continue  # an inline end tag does not close blocks
                     flush()
                 close(k)
             continue
-        if tag in HIDDEN:
-            if tag in ("title", "button"):
-                flush()
-            end = _CLOSING[tag].search(page, at)
-            at = end.end() if end else len(page)
+        rest = m["rest"] or m["rest2"] or ""
+        if tag in ("title", "button"):
+            flush()
+        if tag in RAW:
+            foreign = any(t in FOREIGN for t, _, _ in stack)
+            if not (rest.endswith("/") and (foreign or tag == "iframe")):
+                end = _CLOSING[tag].search(page, at)
+                at = end.end() if end else at if foreign else len(page)
             continue
         if tag == "br":
-            pieces.append(" ")
+            add(" ")
             continue
         if tag in BLOCK:
             flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), None)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][2]), None)
             if k is not None and stack[k][0] == "p":
                 close(k)  # a block ends an open paragraph and what is open inside it
             if tag in ENDED:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in BARRIER.get(tag, ()):
+                    if stack[k][2] or stack[k][0] in BARRIER.get(tag, ()):
                         break
                     if stack[k][0] in ENDED[tag]:
                         close(k)
                         break
-        if tag not in VOID and not (m["rest"] or m["rest2"] or "").endswith("/"):
+        if tag not in VOID and not rest.endswith("/"):
             if tag == "a":
                 anchors += 1
-            stack.append((tag, names(m["rest"] or m["rest2"] or "")))
+            if tag in HIDDEN:
+                outer.append(now)
+                ended.append(False)
+                now = len(outer) - 1
+            stack.append((tag, names(rest), now if tag in HIDDEN else 0))
     flush()
+    for k in range(1, len(outer)):  # what is around comes first
+        ended[k] = ended[k] or ended[outer[k]]
+    out: list[Block] = []
+    pieces: list[str] = []
+    linked = 0
+    for text, more, hidden in items:
+        if ended[hidden]:
+            continue
+        if text is not None:
+            pieces.append(text)
+            linked += len(text) if more else 0
+            continue
+        text = " ".join("".join(pieces).split())
+        if text:
+            shown = [(t, own) for t, own, unended in more if not unended]
+            leaf = next((t for t, _ in reversed(shown) if t in BLOCK), "body")
+            path = tuple(x for t, own in shown for x in (t, *("." + n for n in own)))
+            out.append(Block(path, leaf, text, min(linked, len(text))))
+        pieces, linked = [], 0
     return out

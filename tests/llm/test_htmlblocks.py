@@ -25,6 +25,27 @@ def test_blocks(page, texts):
     assert [b.text for b in blocks(page)] == texts
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    *[(f"<article><p>a</p><{t} x='1'/><p>b</p><p>c</p></article>d", ["a", "b", "c", "d"]) for t in ("svg", "math", "iframe", "object", "canvas")],
+    *[(f"<article><p>a</p><{t}>x<p>b</p><p>c</p></article>d", ["a", "x", "b", "c", "d"]) for t in ("button", "object", "noscript")],
+    *[(f"<p>a<{t}>x</p><p>b</p><p>c <{t}>no</{t}></p>d", ["ax" if t != "button" else "a", *["x"] * (t == "button"), "b", "c", "d"])
+      for t in ("button", "object", "select", "canvas", "svg")],
+    ("<p>Choose <select><option>x<option>y</select> one</p>z", ["Choose one", "z"]),
+    ("<p>Choose <select><option>x<option>y</select></p>z", ["Choose", "z"]),
+    ("<p>a</p><button><div>no</div></button><object><object>no</object>no<p>no</p></object><p>b", ["a", "b"]),
+    ("<p>for <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>", ["for x=2 holds"]),
+    ("<p>a<svg><title/><style/><g>no</g></svg> b</p><p>c", ["a b", "c"]),
+    ("<p>a</p><iframe>no<p>no</p>", ["a"]), ("<p>a<br>b<svg>no<br>no</svg><a>c</a></p>", ["a bc"]),
+])
+def test_hidden_elements_hide_only_their_own(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_unended_elements_leave_no_trace():
+    page = blocks("<article><button class=x>go<p>b <a>c</a></p></article><p>d</p>")
+    assert [b.path for b in page] == [("article",), ("article", "p"), ("p",)] and [b.linked for b in page] == [0, 1, 0]
+
+
 def test_paths_and_links():
     page = blocks('<nav class="siteNav main-menu"><a href="x">go</a></nav><article><p>a <a>b</a></p></article>')
     assert page[0].path == ("nav", ".site", ".nav", ".main", ".menu") and page[0].linked == 2
