@@ -37,6 +37,8 @@ FILTER_BITS = 1 << 22
 STAR_ROUNDS = 2
 #: a list is hot when its counter is so many times the mean
 HOT, SALTS = 8, 64
+#: above so many keys with several texts the join is left to shuffle
+BROADCAST_KEYS = 200_000
 #: members tested against one copy of a hub's set
 PER_HUB = 256
 
@@ -320,6 +322,23 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     return _enough(turned.groupBy("x", "y", "m", "n").agg(F.count(F.lit(1)).alias("shared")), percent).select("x", "y")
 
 
+def text_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_key") -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a column ``out`` that differs where texts of one key differ, and (key_of, out) of the keys it stands for.
+
+    A key with one text stands for itself, a null one stays null; a key with
+    several has a 64-bit hash of key and text for each.  None if there is none.
+    """
+    own, tag = F.col(key).cast("bigint"), F.xxhash64(text_or_empty(text))
+    several = docs.where(F.col(key).isNotNull()).groupBy(own.alias("key_of")).agg(F.min(tag).alias("lo"), F.max(tag).alias("hi"))
+    several = materialise(several.where("lo <> hi").select("key_of"))
+    n = several.count()
+    if not n:
+        return docs.withColumn(out, own), None
+    marked = docs.join(F.broadcast(several) if n <= BROADCAST_KEYS else several, own == F.col("key_of"), "left")
+    marked = marked.withColumn(out, F.when(F.col("key_of").isNull(), own).otherwise(F.xxhash64(own, text_or_empty(text))))
+    return marked.drop("key_of"), marked.where("key_of IS NOT NULL").select("key_of", out).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id (the smallest key reachable by links, its own included).
 
@@ -330,6 +349,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     gives a null component and links nobody.  The key must be an integer.  An
     empty table gives an empty result.
     """
+    rows, shared = text_keys(docs.select(F.col(key).alias("own_key"), F.col(text).alias("own_text")), "own_key", "own_text")
+    found = text_groups(rows, "text_key", "own_text", size, percent)
+    if shared is None:
+        return found.withColumnRenamed("text_key", key)
+    found = materialise(found.join(shared, "text_key", "left").withColumn("key_of", F.coalesce("key_of", "text_key")))
+    # the texts of one key belong together
+    sides = shared.select("text_key").join(found.select("text_key", "key_of", "component_id").distinct(), "text_key")
+    least = sides.groupBy("key_of").agg(F.min("component_id").alias("y"))
+    merged = components(sides.join(least, "key_of").select(F.col("component_id").alias("x"), "y"))
+    whole = found.join(merged, found["component_id"] == merged["node"], "left").withColumn("whole", F.coalesce("label", "component_id"))
+    whole = materialise(whole.select("key_of", "n_shingles", "whole"))
+    smallest = whole.where("whole IS NOT NULL").groupBy("whole").agg(F.min("key_of").alias("component_id"))
+    return whole.join(smallest, "whole", "left").select(F.col("key_of").alias(key), "n_shingles", "component_id")
+
+
+def text_groups(docs: DataFrame, key: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """As ``near_duplicates``, for keys that have one text each."""
     rows = docs.select(F.col(key).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
     seen = materialise(rows.mapInArrow(_inspect(size), "kind int, id bigint, a bigint, b bigint, n bigint"))
     info = seen.where("kind = 0").select("id", "a", "b", "n")

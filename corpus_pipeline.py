@@ -8,12 +8,12 @@ the cluster shares and hands the files to the next.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoband.llm.common import documents, stored, table, text_or_empty
+from chronoband.llm.common import documents, materialise, stored, table, text_or_empty
 from chronoband.llm.decontaminate import contamination
-from chronoband.llm.jaccard import near_duplicates
+from chronoband.llm.jaccard import text_groups, text_keys
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
 from chronoband.llm.toxicity import fit as fit_toxicity
@@ -54,19 +54,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; rows without an id or words are in no group and stay.
+    """One document of each group of linked texts, the one with the smallest id; rows without an id or words are in no group and stay.
 
-    Of rows that share an id one stays, the one whose text has the smallest hash.
+    Texts that share an id are linked by their words only; of rows with the same id and text one stays.
     """
-    groups = near_duplicates(docs)
-    others = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("repeated_key")).agg(
-        F.count(F.lit(1)).alias("rows")).where("rows > 1").select("repeated_key")
-    shared = left.join(repeated, left["doc_id"] == repeated["repeated_key"], "left_semi")
-    single = left.join(repeated, left["doc_id"] == repeated["repeated_key"], "left_anti")
-    first = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"))
-    one = shared.select(F.struct("*").alias("row")).withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
+    keyed, shared = text_keys(docs)
+    groups = text_groups(keyed, "text_key", "text").where("component_id IS NOT NULL AND n_shingles > 0")
+    groups = groups.groupBy("text_key", "component_id").agg(F.count(F.lit(1)).alias("rows"))
+    groups = groups.withColumn("id", F.col("text_key")) if shared is None else groups.join(shared, "text_key", "left").withColumn(
+        "id", F.coalesce("key_of", "text_key")).drop("key_of")
+    groups = materialise(groups)
+    first = groups.groupBy("component_id").agg(F.min(F.struct("id", "text_key"))["text_key"].alias("first"))
+    others = groups.join(first, "component_id").where("text_key <> first").select("text_key")
+    left = keyed.join(others, "text_key", "left_anti").select(*docs.columns, "text_key")
+    repeated = groups.where("rows > 1").select("text_key")
+    single = left.join(repeated, "text_key", "left_anti").select(*docs.columns)
+    rows = left.join(repeated, "text_key", "left_semi").select("text_key", F.struct(*docs.columns).alias("row"))
+    one = rows.groupBy("text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return single.unionByName(one)
 
 

@@ -85,6 +85,17 @@ def test_repeated_rows_null_keys_and_long_text(spark):
     assert got == {(1, 2, 1), (1, 1, 1), (7, 1, 1), (None, 2, None), (3, n, 3), (4, n + 1, 3), (5, 0, 5)}
 
 
+def test_unrelated_texts_of_one_key(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = fresh(200), fresh(40), fresh(60)
+    near = b + " end"
+    rows = [(3, a), (5, a), (5, b), (6, near), (7, c), (8, c + " end"), (8, ""), (9, None), (9, fresh(30)), (None, b), (None, c), (2, fresh(9)), (2, near)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id)
+                 for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.doc_id is not None)
+    assert got == brute(rows) and {c for i, _, c in got if i in (3, 5, 6)} == {2}
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

@@ -117,6 +117,15 @@ def test_rejected_rows_take_no_others_along(spark, made):
         assert [r for r in left if r[:2] in more] == sorted(want, key=str)
 
 
+def test_unrelated_texts_of_one_id_stay(spark, made):
+    rng = random.Random(8)
+    a, b, c = sentence(rng, 60), sentence(rng, 40), sentence(rng, 50)
+    more = [(3, a), (5, a), (5, b), (6, b + " end"), (5, c), (5, c), (7, ""), (7, c + " end"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in more], KIND)
+    left = [r[:2] for r in rows(corpus_pipeline.near_duplicate_documents(spark, docs, made[0]))]
+    assert left == sorted([(3, a), (5, b), (5, c), (7, ""), (None, a)], key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     for name, kind in (("documents", KIND), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
