@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 
 from chronoband.llm.blocklstm import main_text
 from chronoband.llm.common import documents, table
+from chronoband.llm.conversations import repair_summary
 from chronoband.llm.decontaminate import BETWEEN_WORDS, SPAN, contamination
 from chronoband.llm.exact import exact_duplicates
+from chronoband.llm.filteraudit import filter_audit
 from chronoband.llm.jaccard import near_duplicates
 from chronoband.llm.langid import fit as fit_languages
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
+from chronoband.llm.simhash import simhash_groups
 from chronoband.llm.tokenfile import read_tokens, write_tokens
 from chronoband.llm.toxicity import fit as fit_toxicity
 from chronoband.llm.warc import read_archives, write_archives
@@ -151,6 +154,66 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults drawn from a checksum of their keys; a null prints, and counts as a role or a text, as one space."""
+    shown = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(shown["conv_id"], F.lit(":"), shown["turn"]).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", shown["role"].alias("role"), shown["text"].alias("text"), kind.alias("_kind")).where("_kind <> 0")
+    text = F.when(F.col("_kind") == 1, F.lit("")).when(F.col("_kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_kind") == 4, F.lit("user")).otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("_kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("_copy")).drop("_copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_summary(damaged(turns), turns)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (SELECT part, fails, n, good, toxic, filter_order,
+             list_min(list_transform(string_split(fails, ''), lambda q: strpos(filter_order, q))) AS gone
+      FROM m, o WHERE fails <> ''),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter
+      FROM (SELECT DISTINCT part FROM m), o, (SELECT unnest(range(1, 6))::INT AS step)),
+c AS (
+  SELECT s.part, s.filter_order, s.step, s.letter, coalesce(sum(n) FILTER (WHERE gone = step), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE gone < step AND contains(fails, letter)), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = letter), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE gone = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE gone = step), 0) AS toxic_lost
+  FROM s LEFT JOIN r ON r.part = s.part AND r.filter_order = s.filter_order GROUP BY ALL),
+t AS (SELECT part, sum(n) AS total FROM m GROUP BY part)
+SELECT c.part, filter_order, step,
+       (total - sum(removed) OVER (PARTITION BY c.part, filter_order ORDER BY step))::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY c.part, letter))::BIGINT AS shapley
+FROM c JOIN t ON t.part = c.part
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_main_text": op1_main_text,
     "op2_line_dedup": op2_line_dedup,
@@ -162,10 +225,14 @@ QUERIES: dict[str, Query] = {
     "op8_web_archive": op8_web_archive,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_simhash": op11_simhash,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_web_archive": OP8_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
