@@ -25,6 +25,7 @@ from chronoband.plans.registry import query
 from chronoband.session import scratch_path
 from chronoband.sources import binary as B
 from chronoband.sources import labels as L
+from chronoband.sources import recorder as R
 from chronoband.sources import sinks as W
 from chronoband.sources import tables as S
 from chronoband.streaming import live as V
@@ -39,14 +40,17 @@ def _land(df, folder, name, encode, header):
     def write(batches):
         fs, inner = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
         fs.create_dir(inner)
-        path = f"{inner}/{name}{TaskContext.get().partitionId():05d}.BIN"
+        task = TaskContext.get()
+        path = f"{inner}/{name}{task.partitionId():05d}.BIN"
+        own = f"{path}.{task.taskAttemptId()}"
         n = 0
-        with fs.open_output_stream(path) as f:
+        with fs.open_output_stream(own) as f:
             f.write(header)
             for b in batches:
                 for row in b.itertuples(index=False):
                     f.write(encode(row))
                     n += 1
+        fs.move(own, path)  # a repeated task puts the same whole file in place
         yield pd.DataFrame({"n": [n]})
     df.mapInPandas(write, "n long").agg(F.sum("n")).first()
 
@@ -70,7 +74,14 @@ def _count_cells(df, ts="ts"):
 
 @query("s1_spectrum_files", COUNTS)
 def spectrum_scan(spark, d):
-    return _count_cells(B.read_spectrum(B.listed(spark, spectrum_files(spark, d), "S*.bin")))
+    return _count_cells(R.read_recorder(spark, spectrum_files(spark, d), "spectrum", "S*.bin"))
+
+
+@query("s1_spectrum_time_range", COUNTS.replace("FROM cells", "FROM cells WHERE vec_id BETWEEN 40 AND 160"))
+def spectrum_range(spark, d):
+    """The bounds reach the reading tasks; the unread columns are never decoded."""
+    x = R.read_recorder(spark, spectrum_files(spark, d), "spectrum", "S*.bin", columns=["ts", "power"])
+    return _count_cells(x.where(F.col("ts").between(40.0, 160.0)))
 
 
 @query("s4_many_files_in_blocks", COUNTS)
@@ -78,6 +89,11 @@ def spectrum_blocks(spark, d):
     return _count_cells(B.read_spectrum(B.listed(spark, spectrum_files(spark, d), "*.bin"), block=4096))
 
 
+@query("s4_many_files_in_ranges", COUNTS)
+def spectrum_ranges(spark, d):
+    return _count_cells(R.read_recorder(spark, spectrum_files(spark, d), "spectrum", "*.bin", block=4096))
+
+
 def aux_files(spark, d):
     folder = scratch_path(spark, "aux-files")
     kinds = {"signup": 0x10, "click": 0x11, "view": 0x12, "purchase": 0x13, "error": 0x12}  # five types, four kinds of record
@@ -89,24 +105,24 @@ def aux_files(spark, d):
         return bytes([tag]) + body
     s = I.series(spark, d).select("event_id", "us", "event_type")
     _land(s.repartition(4, "event_id"), folder, "A", encode, struct.pack("<8sII", b"AUXDATA", 1, 0))
-    return B.listed(spark, folder, "a*.bin")
+    return folder
 
 
 @query("s2_aux_files", SER + """ SELECT CASE event_type WHEN 'error' THEN 'view' ELSE event_type END AS kind, round(us / 1e6, 6) AS ts, (event_id % 1000)::DOUBLE AS first_value,
  CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 1 WHEN 'signup' THEN 3 WHEN 'click' THEN 5 ELSE 6 END::INT AS width FROM series""")
 def aux_scan(spark, d):
     kind = F.when(F.col("tag") == 0x10, "signup").when(F.col("tag") == 0x11, "click").when(F.col("tag") == 0x12, "view").otherwise("purchase")
-    return B.read_aux(aux_files(spark, d), block=4096).select(kind.alias("kind"), F.round("ts", 6).alias("ts"), F.get("v", 0).alias("first_value"), F.size("v").alias("width"))
+    return R.read_recorder(spark, aux_files(spark, d), "aux", "a*.bin", block=4096).select(kind.alias("kind"), F.round("ts", 6).alias("ts"), F.get("v", 0).alias("first_value"), F.size("v").alias("width"))
 
 
 @query("s3_demultiplexed_pulse", SER + """ SELECT round(us / 1e6, 6) AS ts, (event_id % 1000)::INT AS red, -(event_id % 1000)::INT AS ir, CASE WHEN event_id % 1000 >= 500 THEN event_id % 1000 - 500 END::SMALLINT AS heart_rate_bpm, (event_id % 1000 % 100)::TINYINT AS spo2_percent FROM series WHERE event_type = 'click'""")
 def demultiplexed(spark, d):
-    return B.demultiplexed(B.read_aux(aux_files(spark, d)))["pulse"].drop("file_source").withColumn("ts", F.round("ts", 6))
+    return B.demultiplexed(B.read_aux(B.listed(spark, aux_files(spark, d), "a*.bin"), block=4096))["pulse"].drop("file_source").withColumn("ts", F.round("ts", 6))
 
 
 @query("s3_demultiplexed_motion", SER + " SELECT round(us / 1e6, 6) AS ts, (event_id % 1000)::DOUBLE AS acc_x, (event_id % 1000 + 5)::DOUBLE AS gyr_z FROM series WHERE event_type = 'purchase'")
 def demultiplexed_motion(spark, d):
-    return B.demultiplexed(B.read_aux(aux_files(spark, d)))["motion"].select(F.round("ts", 6).alias("ts"), "acc_x", "gyr_z")
+    return B.demultiplexed(R.read_recorder(spark, aux_files(spark, d), "aux"))["motion"].select(F.round("ts", 6).alias("ts"), "acc_x", "gyr_z")
 
 
 def _hex(spark, d):

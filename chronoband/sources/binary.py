@@ -1,10 +1,10 @@
 """Recorder files: spectrum records and tagged auxiliary records.
 
-Files are listed without reading them, cut into blocks of whole records, and
-the blocks are decoded in parallel, so one long recording is many tasks.  Only
-files beyond ``BLOCK_BYTES`` need the walk over record headers that finds the
-cuts.  Files with a wrong header end up in the reject table instead of failing
-the job.
+``recorder`` has the data source that reads files in one pass.  Here is the
+strict form: files are listed without reading them, cut into blocks of whole
+records by tasks that each find the borders of one range, and the blocks are
+decoded in parallel.  Files with a wrong header end up in the reject table
+instead of failing the job.
 """
 
 from __future__ import annotations
@@ -14,36 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 64 << 20
-
-# fixed values: file layout, little-endian
-SPECTRUM_MAGIC = b"SPECDATA"
-SPECTRUM_HEADER = 20
-SKIPPED_COUNT = 0xFFFF
-AUX_MAGIC = b"AUXDATA"
-AUX_HEADER = 16
-TAG_ENVIRONMENT, TAG_PULSE, TAG_SKIN, TAG_MOTION = 0x10, 0x11, 0x12, 0x13
-AUX_RECORDS = {
-    TAG_ENVIRONMENT: "<dfff",
-    TAG_PULSE: "<diihBB",
-    TAG_SKIN: "<df",
-    TAG_MOTION: "<dffffff",
-}
+from chronoband.sources.recorder import (AUX_RECORDS, AUX_SCHEMA, BLOCK_BYTES, LAYOUTS, SKIPPED_COUNT, SPECTRUM_SCHEMA, TAG_ENVIRONMENT, TAG_MOTION,
+                                         TAG_PULSE, TAG_SKIN, Layout, Walk, first_border, has_header, open_file)
 
 BLOCK_SCHEMA = "path string, start long, stop long, error string"
-SPECTRUM_SCHEMA = "file_source string, ts double, num_points int, power array<int>"
-AUX_SCHEMA = "file_source string, tag int, ts double, v array<double>"
-
-
-def open_file(path: str):
-    """Any file system Arrow knows; Spark writes local paths with one slash."""
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    fs, inner = pafs.FileSystem.from_uri(uri)
-    return fs.open_input_file(inner)
+FOUND_SCHEMA = "path string, length long, k long, start long, stop long, whole boolean, error string"
 
 
 def listed(spark: SparkSession, folder: str | list[str], pattern: str = "*") -> DataFrame:
@@ -53,62 +31,64 @@ def listed(spark: SparkSession, folder: str | list[str], pattern: str = "*") ->
             .load(folder).select("path", "length").dropDuplicates(["path"]))
 
 
-def _spectrum_step(f, at: int) -> int | None:
-    f.seek(at)
-    head = f.read(10)
-    if len(head) < 10:
-        return None
-    n = struct.unpack_from("<H", head, 8)[0]
-    return at + 10 + (0 if n == SKIPPED_COUNT else 4 * n)
-
-
-def _aux_step(f, at: int) -> int | None:
-    f.seek(at)
-    tag = f.read(1)
-    if not tag or tag[0] not in AUX_RECORDS:
-        return None
-    return at + 1 + struct.calcsize(AUX_RECORDS[tag[0]])
-
-
-def _cutter(magic: bytes, header: int, step, block: int):
-    def cuts(path: str, size: int) -> list[tuple]:
-        rows = []
-        with open_file(path) as f:
-            head = f.read(header)
-            if len(head) < header or not head.rstrip(b"\0").startswith(magic):
-                return [(path, 0, 0, "bad header")]
-            if size - header <= block:
-                return [(path, header, size, None)]
-            start = at = header
-            while at is not None and at < size:
-                nxt = step(f, at)
-                if nxt is None or nxt > size:
-                    break
-                at = nxt
-                if at - start >= block:
-                    rows.append((path, start, at, None))
-                    start = at
-            if at > start:
-                rows.append((path, start, at, None))
-        return rows
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _found(layout: Layout, block: int):
+    """Each byte range of a file (path, length, k): where its records start and end, and whether they go on to the next range."""
+    def row(path: str, size: int, k: int) -> tuple:
+        try:
+            with open_file(path) as f:
+                if not has_header(f, layout):
+                    return path, size, k, 0, 0, False, "bad header"
+                low = layout.header + k * block
+                start = low if k == 0 else first_border(f, size, layout, low)
+                if start is None:
+                    return path, size, k, low, low, False, None
+                walk = Walk(f, size, layout, start, low + block).to_end()
+                return path, size, k, start, walk.end, walk.whole, None
+        except OSError as e:  # an unreadable file is a reject, not the end of the job
+            return path, size, k, 0, 0, False, f"unreadable: {type(e).__name__}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, size in zip(b["path"], b["length"]):
-                try:
-                    rows += cuts(path, int(size))
-                except OSError as e:  # an unreadable file is a reject, not the end of the job
-                    rows.append((path, 0, 0, f"unreadable: {type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=["path", "start", "stop", "error"])
-    return cut
+            rows = [row(path, int(size), int(k)) for path, size, k in zip(b["path"], b["length"], b["k"])]
+            yield pd.DataFrame(rows, columns=["path", "length", "k", "start", "stop", "whole", "error"])
+    return run
+
+
+def _chained(layout: Layout, block: int):
+    """Ranges of one file in order: each must start where the one before it ended, else it is walked again from there."""
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("k")
+        first = b.iloc[0]
+        if pd.notna(first["error"]):
+            return pd.DataFrame([(first["path"], 0, 0, first["error"])], columns=["path", "start", "stop", "error"])
+        rows, at = [], layout.header
+        for path, size, k, start, stop, whole in zip(b["path"], b["length"], b["k"], b["start"], b["stop"], b["whole"]):
+            if start != at:
+                with open_file(path) as f:
+                    walk = Walk(f, int(size), layout, at, layout.header + (int(k) + 1) * block).to_end()
+                start, stop, whole = at, walk.end, walk.whole
+            if stop > start:
+                rows.append((path, start, stop, None))
+            at = stop
+            if not whole:
+                break
+        return pd.DataFrame(rows, columns=["path", "start", "stop", "error"])
+    return run
 
 
 def blocks(files: DataFrame, kind: str, block: int = BLOCK_BYTES) -> DataFrame:
-    magic, header, step = ((SPECTRUM_MAGIC, SPECTRUM_HEADER, _spectrum_step) if kind == "spectrum"
-                           else (AUX_MAGIC, AUX_HEADER, _aux_step))
-    spread = files.repartition(F.col("path"))
-    return spread.mapInPandas(_cutter(magic, header, step, block), BLOCK_SCHEMA)
+    """(path, start, stop, error): whole records from border to border, as a reader would meet them that stops for good at the first damage.
+
+    All ranges of a file are searched at once.  The first starts behind the
+    header, a later one has to start where the one before it ended; the file's
+    ranges (a row per ``block`` bytes) are held against each other, so no border
+    rests on a guess.
+    """
+    layout = LAYOUTS[kind]
+    last = F.greatest(F.floor((F.col("length") - layout.header - 1) / block), F.lit(0))
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("k"))
+    found = ranges.repartition("path", "k").mapInPandas(_found(layout, block), FOUND_SCHEMA)
+    return found.groupBy("path").applyInPandas(_chained(layout, block), BLOCK_SCHEMA)
 
 
 def spectrum_records(data: bytes) -> tuple[list, list, list]:
