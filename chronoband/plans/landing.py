@@ -24,6 +24,7 @@ from chronoband.plans.alignment import AKIMA_ABCD, AKIMA_D, HERMITE, HORNER, NEI
 from chronoband.plans.registry import query
 from chronoband.session import scratch_path
 from chronoband.sources import binary as B
+from chronoband.sources import committed as C
 from chronoband.sources import labels as L
 from chronoband.sources import recorder as R
 from chronoband.sources import sinks as W
@@ -260,24 +261,35 @@ def table_sink(spark, d):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("s19_matrix_sink", "SELECT count(*)::BIGINT AS n_rows FROM embeddings")
+@query("s19_matrix_sink", f"WITH {I.CELLS}, p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings) SELECT position, vec_id AS key, bin, round(x, 6) + 0.0 AS x FROM cells JOIN p USING (vec_id)")
 def matrix_sink(spark, d):
-    return W.matrix_files(I.spectra(spark, d), ["vec_id"], "power").agg(F.sum("n_rows").alias("n_rows"))
+    """Written through the commit protocol, read back from the ``.npy`` files."""
+    path = scratch_path(spark, "matrix")
+    C.write_matrix(I.spectra(spark, d), path, "vec_id", "power")
+    x = C.read_matrix(spark, path).select("position", "key", F.posexplode("features").alias("bin", "x"))
+    return x.select("position", "key", F.col("bin").cast("long").alias("bin"), I.rounded(F.col("x").cast("double")).alias("x"))
 
 
-@query("s20_record_sink", "SELECT event_type, count(*) * 2 AS n FROM events GROUP BY 1")
+@query("s20_record_sink", "SELECT event_id, event_type, round(value, 6) + 0.0 AS value, 2::BIGINT AS n FROM events")
 def record_sink(spark, d):
+    """Two trials; the second is sent twice and stands once."""
     path = scratch_path(spark, "records")
-    for _ in range(2):
-        W.append_records(I.series(spark, d).select("event_id", "event_type"), path)
-    return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    for trial in ("first", "second", "second"):
+        C.append_trial(I.series(spark, d).select("event_id", "event_type", "value"), path, trial)
+    x = C.read_records(spark, path, "event_id long, event_type string, value double")
+    return x.groupBy("event_id", "event_type", I.rounded(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s21_trainer_batches", "SELECT CASE WHEN vec_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, 52::INT AS n_spectrum, 12::INT AS n_aux FROM embeddings GROUP BY 1")
+@query("s21_trainer_batches", f"WITH {I.CELLS} SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, md5(vec_id || ':42') AS shuffle_key, CASE WHEN bin < 52 THEN 'spectrum' ELSE 'aux' END AS part, CASE WHEN bin < 52 THEN bin ELSE bin - 52 END AS i, round(x, 6) + 0.0 AS x FROM cells")
 def trainer_batches(spark, d):
     s = I.spectra(spark, d).withColumn("split", F.when(F.col("vec_id") % 3 == 0, "test").otherwise("train")).withColumnRenamed("power", "features")
-    b = W.feature_batches(s, "late_fusion", "vec_id", 52)
-    return b.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("spectrum")).alias("n_spectrum"), F.max(F.size("aux")).alias("n_aux"))
+    path = scratch_path(spark, "batches")
+    W.write_table(W.feature_batches(s.withColumn("label", F.lit(0.0)), "late_fusion", "vec_id", 52), path)
+    b, parts = spark.read.parquet(path), []
+    for part in ("spectrum", "aux"):
+        x = b.select("vec_id", "split", "shuffle_key", F.lit(part).alias("part"), F.posexplode(part).alias("i", "x"))
+        parts.append(x.select("vec_id", "split", "shuffle_key", "part", F.col("i").cast("long").alias("i"), I.rounded(F.col("x")).alias("x")))
+    return parts[0].unionByName(parts[1])
 
 
 # ---- filters -----------------------------------------------------------------------

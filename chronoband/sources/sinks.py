@@ -46,7 +46,7 @@ def feature_batches(df: DataFrame, layout: str, key: str, n_spectrum: int | None
 
 
 def matrix_files(df: DataFrame, order: Sequence[str], features: str) -> DataFrame:
-    """NumPy ``.npy`` content, one file per partition in row order, ready to be stored."""
+    """NumPy ``.npy`` content as rows, one per Arrow batch; ``committed.write_matrix`` stores one file per partition."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
