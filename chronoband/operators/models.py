@@ -31,27 +31,47 @@ def train_and_score(df: DataFrame, features: str, label: str, split: str = "spli
     return est.fit(d.filter(F.col(split) == "train")).transform(d).drop("_v")
 
 
+def _with_past(df: DataFrame, keys: list[str], order: Sequence, label: str, n_history: int, peak: int) -> DataFrame:
+    """Place in the segment (``_p`` of ``_m``) and the labels before the row, oldest first (``_h``)."""
+    d = indexed(df, keys, order, "_p", "_m", peak)
+    past = lambda w: F.collect_list(label).over(w.rowsBetween(-n_history, -1))
+    return materialise(framed(d, keys, order, n_history, 0, {"_h": past}, peak, "_p"))   # read by fit, seeds and roll-out
+
+
 def rolling_prediction(df: DataFrame, group: Sequence[str], segment: str, order: Sequence, inputs: str, label: str,
                        n_history: int, split: str = "split", peak: int | None = None) -> DataFrame:
     """Linear model of inputs and the last labels, then predictions fed back.
 
     The model is fitted on train rows with true histories.  In every segment the
     first ``n_history`` rows are given; a shorter segment starts from a constant.
-    Feeding back a linear model is a linear recurrence, so long segments run in
-    chunks (see ``recurrence``).
     """
     keys = [*group, segment]
     if peak is None:
         peak = group_sizes(df, keys)[0]
-    d = indexed(df, keys, order, "_p", "_m", peak)
-    past = lambda w: F.collect_list(label).over(w.rowsBetween(-n_history, -1))
-    d = materialise(framed(d, keys, order, n_history, 0, {"_h": past}, peak, "_p"))   # read by fit, seeds and roll-out
+    d = _with_past(df, keys, order, label, n_history, peak)
     width = d.select(F.max(F.size(inputs))).first()[0]
     seen = d.filter((F.col("_p") > n_history) & (F.col(split) == "train"))
     fit = LinearRegression(regParam=1e-6, solver="normal", featuresCol="_v", labelCol=label).fit(
         seen.withColumn("_v", array_to_vector(F.concat(inputs, F.reverse("_h")))))
     coef = [float(x) for x in fit.coefficients]
-    drive = A.dot(F.col(inputs), A.literal(coef[:width])) + F.lit(float(fit.intercept))
+    return _rolled(d, df.columns, keys, order, inputs, label, coef[:width], coef[width:], float(fit.intercept), peak)
+
+
+def rolled(df: DataFrame, group: Sequence[str], segment: str, order: Sequence, inputs: str, label: str, weights: Sequence[float],
+           feedback: Sequence[float], intercept: float, peak: int | None = None) -> DataFrame:
+    """``rolling_prediction`` with a model that is there: weights of the inputs, feedback of the last labels (newest first)."""
+    keys = [*group, segment]
+    if peak is None:
+        peak = group_sizes(df, keys)[0]
+    d = _with_past(df, keys, order, label, len(feedback), peak)
+    return _rolled(d, df.columns, keys, order, inputs, label, weights, feedback, intercept, peak)
+
+
+def _rolled(d: DataFrame, columns: list[str], keys: list[str], order: Sequence, inputs: str, label: str, weights: Sequence[float],
+            feedback: Sequence[float], intercept: float, peak: int) -> DataFrame:
+    """Feeding back a linear model is a linear recurrence, so long segments run in chunks (see ``recurrence``)."""
+    n_history = len(feedback)
+    drive = A.dot(F.col(inputs), A.literal(list(weights))) + F.lit(intercept)
     given = (F.col("_m") >= n_history) & (F.col("_p") <= n_history)
     first = d.filter(given).groupBy(*keys).agg(F.transform(
         F.reverse(F.array_sort(F.collect_list(F.struct("_p", F.col(label).alias("y"))))), lambda s: s["y"]).alias("_seed"))
@@ -59,7 +79,7 @@ def rolling_prediction(df: DataFrame, group: Sequence[str], segment: str, order:
         "_seed", F.coalesce("_seed", F.array_repeat(F.lit(EMPTY_HISTORY_VALUE), n_history)))
     run = run.withColumn("_q", F.col("_p") - F.when(F.col("_m") >= n_history, n_history).otherwise(0))
     run = run.withColumn("_seed", F.col("_seed").cast("array<double>"))
-    rolled = recurrence(run, keys, order, drive, coef[width:], F.col("_seed"), "y_pred", "_q", peak)
-    keep = [*df.columns, "y_pred", "given"]
+    rolled = recurrence(run, keys, order, drive, feedback, F.col("_seed"), "y_pred", "_q", peak)
+    keep = [*columns, "y_pred", "given"]
     return rolled.withColumn("given", F.lit(False)).select(*keep).unionByName(
         d.filter(given).withColumn("y_pred", F.col(label).cast("double")).withColumn("given", F.lit(True)).select(*keep))

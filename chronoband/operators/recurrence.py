@@ -4,7 +4,9 @@ Exponential smoothing and self-fed linear prediction both have this shape.  The
 map over a run of rows is affine in its start state, so a large group is cut
 into chunks: each chunk first reports its end state from a zero start, the
 chunk table (one row per chunk) is folded, and every chunk then runs from its
-true start.  Inside a task rows stream in Arrow batches.
+true start.  Inside a task rows stream in Arrow batches: short runs go side by
+side, one NumPy step for all of them; of long runs blocks of 64 rows are affine
+maps as well, and a batch is a few matrix products.
 """
 
 from __future__ import annotations
@@ -21,28 +23,124 @@ from chronoband.operators.ordered import group_sizes, indexed, matched
 from chronoband.session import rows_per_chunk
 
 
+BLOCK = 64
+#: runs up to so many rows are stepped side by side, longer ones in blocks
+SIDE_BY_SIDE = 512
+
+
+def responses(coef: Sequence[float], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block of ``size`` steps as an affine map: values = driven @ inputs + started @ state (newest value first)."""
+    k = len(coef)
+    impulse = np.zeros(size)
+    for t in range(size):
+        impulse[t] = float(t == 0) + sum(a * impulse[t - j] for j, a in enumerate(coef, 1) if t >= j)
+    driven = np.zeros((size, size))
+    for t in range(size):
+        driven[t, :t + 1] = impulse[t::-1]
+    started = np.zeros((size, k))
+    for i in range(k):
+        values = [0.0] * k
+        values[k - 1 - i] = 1.0  # oldest first
+        for t in range(size):
+            values.append(sum(a * values[-j] for j, a in enumerate(coef, 1)))
+        started[:, i] = values[k:]
+    return driven, started
+
+
+def stepped(u: np.ndarray, new: np.ndarray, starts: list, coef: Sequence[float], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrence row by row; what the blocks must equal, and the way rows take that are not finite."""
+    out, held = np.empty(len(u)), list(state)
+    for i in range(len(u)):
+        if new[i]:
+            held = list(starts[i])
+        s = u[i]
+        for a, v in zip(coef, held, strict=True):
+            s += a * v
+        out[i] = s
+        held = [s, *held[:-1]]
+    return out, np.array(held)
+
+
+def side_by_side(u: np.ndarray, heads: np.ndarray, states: np.ndarray, coef: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """All runs one row further at each step, with the row loop's own arithmetic; ``states`` is the state before each run."""
+    n = np.diff(np.append(heads, len(u)))
+    longest_first = np.argsort(-n, kind="stable")
+    heads, n, held = heads[longest_first], n[longest_first], [states[longest_first, j] for j in range(len(coef))]
+    out = np.empty(len(u))
+    last = states[-1]
+    final = int(np.flatnonzero(longest_first == len(n) - 1)[0])
+    for step in range(int(n[0])):
+        live = int(np.searchsorted(-n, -step, side="left"))  # runs longer than ``step``
+        s = u[heads[:live] + step]
+        for a, v in zip(coef, held, strict=True):
+            s = s + a * v[:live]
+        out[heads[:live] + step] = s
+        held = [s, *[v[:live] for v in held[:-1]]]
+        if step == n[final] - 1:
+            last = np.array([v[final] for v in held])
+    return out, last
+
+
+def blocked(u: np.ndarray, new: np.ndarray, starts: list, coef: Sequence[float], state: np.ndarray,
+            maps: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of many runs at once: (values, state after the last row).
+
+    Runs are cut into blocks, all blocks are driven from zero by one matrix
+    product, states are handed from full block to block inside a run, and a
+    second product adds what they contribute.  ``starts[i]`` is the state before
+    row i, read where ``new[i]`` is set; ``state`` is the one before the batch.
+    """
+    driven, started = maps
+    size, k, n = len(driven), len(coef), len(u)
+    rows = np.arange(n)
+    first = np.maximum.accumulate(np.where(new, rows, 0))  # first row of a row's run in this batch
+    cut = (rows - first) % size == 0
+    block, head = np.cumsum(cut) - 1, np.flatnonzero(cut)
+    inputs = np.zeros((len(head), size))
+    inputs[block, rows - head[block]] = u
+    values = inputs @ driven.T
+    states = np.empty((len(head), k))
+    carry = started[:-k - 1:-1]  # the newest k values of a full block from its state
+    for b, at in enumerate(head.tolist()):
+        if new[at]:
+            states[b] = starts[at]
+        elif b == 0:
+            states[b] = state
+        else:
+            states[b] = values[b - 1, :-k - 1:-1] + carry @ states[b - 1]
+    values += states @ started.T
+    out = values[block, rows - head[block]]
+    before = states[-1][::-1]  # oldest first
+    last = np.concatenate([before, out[head[-1]:]])[-k:][::-1]
+    return out, last
+
+
+def with_values(b: pd.DataFrame, values: np.ndarray) -> pd.DataFrame:
+    return b.drop(columns=[c for c in ("_u", "_new", "_start") if c in b]).assign(_s=values)
+
+
 def _stream(coef: list[float], seeded: bool):
     """Task body: rows sorted by (key, rn); ``_new`` marks the first row of a run."""
     k, cs = len(coef), [float(c) for c in coef]
+    maps = responses(cs, max(BLOCK, k))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = [0.0] * k
+        state = np.zeros(k)
         for b in batches:
+            if not len(b):
+                continue
             u, new = b["_u"].to_numpy(float), b["_new"].to_numpy(bool)
-            starts = b["_start"].to_list() if seeded else None
-            out = np.empty(len(b))
-            for i in range(len(b)):
-                if new[i]:
-                    s0 = starts[i] if seeded else None
-                    state = list(s0) if s0 is not None else [0.0] * k
-                s = u[i]
-                for a, v in zip(cs, state):
-                    s += a * v
-                out[i] = s
-                state = [s, *state[:-1]]
-            b = b.drop(columns=["_u", "_new"] + (["_start"] if seeded else []))
-            b["_s"] = out
-            yield b
+            zero = np.zeros(k)
+            starts = [zero if s is None else s for s in b["_start"]] if seeded else [zero] * len(b)
+            heads = np.unique(np.append(0, np.flatnonzero(new)))
+            if np.diff(np.append(heads, len(b))).max() <= SIDE_BY_SIDE:
+                before = np.array([starts[h] if new[h] else state for h in heads], dtype=float).reshape(len(heads), k)
+                out, state = side_by_side(u, heads, before, cs)
+                yield with_values(b, out)
+                continue
+            plain = np.isfinite(u).all() and np.isfinite(state).all() and all(np.isfinite(starts[i]).all() for i in np.flatnonzero(new))
+            out, state = blocked(u, new, starts, cs, state, maps) if plain else stepped(u, new, starts, cs, state)
+            yield with_values(b, out)
     return run
 
 

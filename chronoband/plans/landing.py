@@ -488,6 +488,24 @@ def rolling(spark, d):
     return ML.rolling_prediction(s, ["exp_id"], "segment", ["us", "event_id"], "x", "value", 3).select("event_id", "segment", "y_pred", "given")
 
 
+WEIGHT, FEEDBACK, INTERCEPT = 0.0493827160493827, [0.4938271604938271, 0.1975308641975309, 0.0987654320987654], 1.0
+
+
+@query("r2_rolling_given_model", SER + f""", p AS (SELECT event_id, exp_id, us // 604800000000 AS week, value, {INTERCEPT} + {WEIGHT} * (event_id % 24) AS drive,
+  row_number() OVER w AS p, count(*) OVER (PARTITION BY exp_id, us // 604800000000) AS m FROM series WINDOW w AS (PARTITION BY exp_id, us // 604800000000 ORDER BY us, event_id)),
+ r AS (WITH RECURSIVE q AS (
+  SELECT event_id, exp_id, week, p, m >= 3 AS given, CASE WHEN m >= 3 THEN value ELSE drive + 5 * {sum(FEEDBACK)} END AS y, CASE WHEN m >= 3 THEN value ELSE drive + 5 * {sum(FEEDBACK)} END AS h1, 5.0::DOUBLE AS h2, 5.0::DOUBLE AS h3 FROM p WHERE p = 1
+  UNION ALL SELECT n.event_id, n.exp_id, n.week, n.p, n.p <= 3 AND n.m >= 3, n.y, n.y, q_h1, q_h2
+  FROM (SELECT p.*, q.h1 AS q_h1, q.h2 AS q_h2, CASE WHEN p.p <= 3 AND p.m >= 3 THEN p.value ELSE drive + {FEEDBACK[0]} * q.h1 + {FEEDBACK[1]} * q.h2 + {FEEDBACK[2]} * q.h3 END AS y
+        FROM q JOIN p ON p.exp_id = q.exp_id AND p.week = q.week AND p.p = q.p + 1) n) SELECT * FROM q)
+ SELECT event_id, given, round(y, 6) + 0.0 AS y_pred FROM r""")
+def rolling_given(spark, d):
+    """A model that is there, fed back through every week of every series."""
+    s = I.series(spark, d).withColumn("week", F.floor(F.col("us") / F.lit(604_800_000_000))).withColumn("x", F.array((F.col("event_id") % 24).cast("double")))
+    out = ML.rolled(s, ["exp_id"], "week", ["us", "event_id"], "x", "value", [WEIGHT], FEEDBACK, INTERCEPT)
+    return out.select("event_id", "given", I.rounded(F.col("y_pred")).alias("y_pred"))
+
+
 # ---- live ------------------------------------------------------------------------------
 
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
