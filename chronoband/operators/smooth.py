@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoband.functions import arrays as A
-from chronoband.operators.ordered import framed, group_sizes, indexed
+from chronoband.operators.array_windows import smoothed_rows
+from chronoband.operators.ordered import attach, framed, indexed, matched, quantiles
 from chronoband.operators.recurrence import ema
 
 # ---- time axis: scalar series, past only -----------------------------------
@@ -209,29 +210,99 @@ def collect_bins(df: DataFrame, keys: Sequence[str], value: str = "x", out: str
     return df.groupBy(*keys).agg(F.transform(cells, lambda c: c["x"]).alias(out))
 
 
+def bin_arrays(stats: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per group from one per (group, bin): an array over the bins of each column."""
+    packed = F.array_sort(F.collect_list(F.struct("bin", *columns)))
+    return stats.groupBy(*group).agg(packed.alias("_b")).select(*group, *[F.col(f"_b.{c}").alias(c) for c in columns])
+
+
+def _marked(df: DataFrame, group: Sequence[str], power: str, how: str, threshold: float, peak: int) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """Rows with per-bin statistics as arrays, and the test of a value at a bin.  Cells are only aggregated, rows keep their arrays."""
+    from chronoband.operators.outliers import IQR_FACTOR
+
+    cells = explode_bins(df, group, power)
+    if how == "zscore":
+        stats = cells.groupBy(*group, "bin").agg(F.avg("x").alias("_mu"), F.stddev_pop("x").alias("_sd"))
+        d = attach(df, bin_arrays(stats, group, ["_mu", "_sd"]), group)
+        return d, lambda x, i: F.abs((x - F.get("_mu", i)) / (F.get("_sd", i) + 1e-8)) > threshold
+    q = quantiles(cells, [*group, "bin"], "x", [0.25, 0.75], "_q", peak)
+    q = q.select(*group, "bin", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3"))
+    d = attach(df, bin_arrays(q, group, ["_q1", "_q3"]), group)
+    lo, hi = (lambda i: F.get("_q1", i)), (lambda i: F.get("_q3", i))
+    return d, lambda x, i: (x < lo(i) - IQR_FACTOR * (hi(i) - lo(i))) | (x > hi(i) + IQR_FACTOR * (hi(i) - lo(i)))
+
+
+def _repaired(d: DataFrame, group: Sequence[str], power: str, bad: Callable[[Column, Column], Column], how: str, peak: int) -> DataFrame:
+    """Outliers replaced by the mean or median of the bin's normal values, or all values of the bin clipped to their bounds."""
+    from chronoband.operators.outliers import IQR_FACTOR
+
+    normal = explode_bins(d.withColumn("_n", F.transform(power, lambda x, i: F.when(~bad(x, i), x))), group, "_n").where("x IS NOT NULL")
+    if how == "mean":
+        stats = normal.groupBy(*group, "bin").agg(F.avg("x").alias("_v"))
+    elif how == "median":
+        stats = quantiles(normal, [*group, "bin"], "x", [0.5], "_q", peak).select(*group, "bin", F.col("_q")[0].alias("_v"))
+    else:
+        q = quantiles(normal, [*group, "bin"], "x", [0.25, 0.75], "_q", peak)
+        lo, hi = F.col("_q")[0], F.col("_q")[1]
+        stats = q.select(*group, "bin", (lo - IQR_FACTOR * (hi - lo)).alias("_lo"), (hi + IQR_FACTOR * (hi - lo)).alias("_hi"))
+        hit = d.select(*group, F.posexplode(F.transform(power, bad)).alias("bin", "x")).groupBy(*group, "bin").agg(F.bool_or("x").alias("_any"))
+        stats = matched(hit, stats, [*group, "bin"], "left")
+        d = attach(d, bin_arrays(stats, group, ["_any", "_lo", "_hi"]), group)
+        return d.withColumn(power, F.transform(power, lambda x, i: F.when(
+            F.get("_any", i), F.least(F.greatest(x, F.get("_lo", i)), F.get("_hi", i))).otherwise(x)))
+    # a bin without normal values has no row; its place is kept
+    every = d.select(*group, F.posexplode(power).alias("bin", "x")).groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("_c"))
+    d = attach(d, bin_arrays(matched(every, stats, [*group, "bin"], "left"), group, ["_v"]), group)
+    return d.withColumn(power, F.transform(power, lambda x, i: F.when(bad(x, i), F.get("_v", i)).otherwise(x)))
+
+
 def smooth_spectra(df: DataFrame, group: Sequence[str], order: Sequence[str], time_method: str = "none",
                    time_args: Mapping | None = None, frequency_method: str = "none",
                    frequency_args: Mapping | None = None, outliers: str | None = None, threshold: float = 3.0,
                    repair_how: str | None = None, power: str = "power") -> DataFrame:
-    """Outliers, then time, then frequency; the order is part of the result."""
-    from chronoband.operators.outliers import flag, repair
+    """Outliers, then time, then frequency; the order is part of the result.
 
+    Spectra of one width without gaps keep their rows: bins are aggregated for
+    statistics and smoothed as arrays.  Ragged spectra, spectra with missing
+    bins and repair along the rows go bin by bin; rows without bins drop out.
+    """
     keys = [*dict.fromkeys([*group, *order])]
     for name, known in ((time_method, TIME_METHODS), (frequency_method, FREQUENCY_METHODS)):
         if name != "none" and name not in known:
             raise ValueError(f"unknown smoothing: {name}")
+    if repair_how not in (None, "interpolate", "median", "mean", "clip"):
+        raise ValueError(f"unknown repair: {repair_how}")
     out = df.select(*keys, A.doubles(power).alias(power))
     if outliers or time_method != "none":
-        peak = group_sizes(df, group)[0]
-        long, series = explode_bins(out, keys, power), [*group, "bin"]
-        if outliers:
-            long = flag(long, series, "x", outliers, threshold, peak)
-            if repair_how:
-                long = repair(long, series, order, "x", "outlier", repair_how, peak).drop("x").withColumnRenamed("repaired", "x")
-        if time_method != "none":
-            long = TIME_METHODS[time_method](long, series, order, "x", out="_s", peak=peak, **(time_args or {}))
-            long = long.drop("x").withColumnRenamed("_s", "x")
-        out = collect_bins(long, keys, "x", power)
+        width = F.size(power)
+        gap = width.isNull() | (width < 1) | F.exists(power, lambda x: x.isNull() | F.isnan(x))
+        counts = out.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(width).alias("lo"), F.max(width).alias("hi"), F.bool_or(gap).alias("gap"))
+        peak, lo, hi, gaps = counts.agg(F.max("n"), F.min("lo"), F.max("hi"), F.bool_or("gap")).first()
+        peak = int(peak or 0)
+        if lo == hi and not gaps and not (outliers and repair_how == "interpolate"):
+            if outliers in ("zscore", "iqr") and repair_how:
+                marked, bad = _marked(out, group, power, outliers, threshold, peak)
+                out = _repaired(marked, group, power, bad, repair_how, peak).select(*keys, power)
+            if time_method != "none":
+                out = smoothed_rows(out, group, order, power, time_method, time_args or {}, peak)
+        else:
+            out = _smooth_cells(out, group, order, keys, time_method, time_args, outliers, threshold, repair_how, power, peak)
     if frequency_method != "none":
         out = out.withColumn(power, FREQUENCY_METHODS[frequency_method](F.col(power), **(frequency_args or {})))
     return out
+
+
+def _smooth_cells(df: DataFrame, group: Sequence[str], order: Sequence[str], keys: list[str], time_method: str, time_args: Mapping | None,
+                  outliers: str | None, threshold: float, repair_how: str | None, power: str, peak: int) -> DataFrame:
+    """Every bin a series of its own."""
+    from chronoband.operators.outliers import flag, repair
+
+    long, series = explode_bins(df, keys, power), [*group, "bin"]
+    if outliers:
+        long = flag(long, series, "x", outliers, threshold, peak)
+        if repair_how:
+            long = repair(long, series, order, "x", "outlier", repair_how, peak).drop("x").withColumnRenamed("repaired", "x")
+    if time_method != "none":
+        long = TIME_METHODS[time_method](long, series, order, "x", out="_s", peak=peak, **(time_args or {}))
+        long = long.drop("x").withColumnRenamed("_s", "x")
+    return collect_bins(long, keys, "x", power)
