@@ -1,14 +1,15 @@
-"""Components and clusters of spectra, on Spark ML."""
+"""Components and clusters of spectra."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from chronoband.functions import spectrum as P
 from chronoband.operators.histories import fixed_sample
 from chronoband.operators.normalise import scale_for_distance
+from chronoband.operators.ordered import matched
 from chronoband.session import materialise
 
 # fixed value: most rows a silhouette is computed on
@@ -28,8 +30,8 @@ def two_components(df: DataFrame, features: str = "features", out: str = "pc") -
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(d)
     load = model.pc.toArray()
     sign = np.sign(load[np.abs(load).argmax(axis=0), range(load.shape[1])])
-    means = df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()  # one per bin
-    centre = np.array([r.m for r in means]) @ load if means else np.zeros(load.shape[1])
+    mean = d.select(Summarizer.mean(F.col("_v")).alias("m")).first().m
+    centre = mean.toArray() @ load if mean is not None else np.zeros(load.shape[1])
     p = vector_to_array(F.col("_p"))
     parts = [(p[j] - F.lit(float(centre[j]))) * F.lit(float(sign[j])) for j in range(2)]
     return model.transform(d).withColumn(out, F.array(*parts)).drop("_v", "_p")
@@ -41,53 +43,163 @@ def centroid_distance(df: DataFrame, split: str, pc: str = "pc") -> DataFrame:
     return df.agg(F.sqrt(sq).alias("pca_centroid_distance"))
 
 
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (rows x centres) by one matrix product."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :], 0.0)
+
+
+def _lloyd(centres: np.ndarray):
+    """One Lloyd step of all restarts: per task a row (restart, cluster, rows, cost, sums) for every centre that got rows.  ``centres`` is restarts x k x bins."""
+    restarts, k, width = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, cost, sums = np.zeros(restarts * k, np.int64), np.zeros(restarts * k), np.zeros((restarts * k, width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            far = _squares(x, centres.reshape(-1, width)).reshape(len(x), restarts, k)
+            near = far.argmin(axis=2)
+            at = near + np.arange(restarts) * k                      # rows x restarts, a place of its own for each (restart, cluster)
+            rows += np.bincount(at.ravel(), minlength=restarts * k)
+            cost += np.bincount(at.ravel(), np.take_along_axis(far, near[:, :, None], axis=2).ravel(), restarts * k)
+            member = np.zeros((len(x), restarts * k))
+            member[np.arange(len(x))[:, None], at] = 1.0
+            sums += member.T @ x
+        used = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(used.astype(np.int32)), "n": pa.array(rows[used]), "cost": pa.array(cost[used]),
+                                          "sums": pa.array(sums[used].tolist(), pa.list_(pa.float64()))})
+    return run
+
+
+def lloyd_step(x: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(new centres, cost of each restart); a centre without rows stays.  The driver gets one row per (restart, cluster)."""
+    restarts, k, width = centres.shape
+    parts = x.mapInArrow(_lloyd(centres), "at int, n long, cost double, sums array<double>")
+    cells = parts.select("at", F.posexplode("sums").alias("i", "s")).groupBy("at", "i").agg(F.sum("s").alias("s"))
+    sums = cells.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("cells"))
+    total = parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+    new, cost = centres.copy().reshape(-1, width), np.zeros(restarts * k)
+    for r in total.join(sums, "at").collect():  # at most restarts x k rows
+        new[r["at"]] = np.array([c.s for c in r.cells]) / r.n
+        cost[r["at"]] = r.cost
+    return new.reshape(centres.shape), cost.reshape(restarts, k).sum(axis=1)
+
+
+def kmeans_centres(df: DataFrame, k: int, seed: int = 42, restarts: int = 12, iterations: int = 60, features: str = "features",
+                   tol: float = 1e-6) -> np.ndarray:
+    """Centres of the cheapest of several runs from random rows; all runs take their steps together, in one pass over the rows.
+
+    Runs that stand still keep their centres.  Fewer different rows than centres
+    give repeated ones, of which only the first gets rows.
+    """
+    x = materialise(df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x")))  # every step reads it
+    first = x.select("x").distinct().orderBy(F.xxhash64(F.lit(seed), "x"), "x").limit(restarts * k).collect()
+    if not first:
+        return np.empty((0, 0))
+    start = np.array([r.x for r in first])
+    centres = start[np.arange(restarts * k) % len(start)].reshape(restarts, k, -1)
+    moving = np.ones(restarts, dtype=bool)
+    for _ in range(iterations):
+        new, _ = lloyd_step(x, centres[moving])
+        still = np.isclose(new, centres[moving], rtol=1e-5, atol=tol).all(axis=(1, 2))
+        centres[moving] = np.where(still[:, None, None], centres[moving], new)
+        moving[np.flatnonzero(moving)[still]] = False
+        if not moving.any():
+            break
+    cost = lloyd_step(x, centres)[1]
+    return centres[int(cost.argmin())]
+
+
 def kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 12, iterations: int = 60,
            features: str = "features", out: str = "cluster") -> DataFrame:
-    """Cheapest of several seeded runs."""
-    d = materialise(df).withColumn("_v", array_to_vector(F.col(features)))  # every iteration reads it
-    best = None
-    for i in range(max(restarts, 1)):
-        model = KMeans(k=k, seed=seed + i, maxIter=iterations, initMode="random", tol=1e-6, featuresCol="_v", predictionCol=out).fit(d)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1].transform(d).drop("_v")
+    """``df`` with the cluster (from 0) of each row under the cheapest of several seeded runs; null where features are."""
+    centres = kmeans_centres(df, k, seed, restarts, iterations, features)
+
+    @F.pandas_udf(T.IntegerType())
+    def nearest(x: pd.Series) -> pd.Series:
+        return pd.Series(_squares(np.stack(x.to_numpy()).astype(float), centres).argmin(axis=1)) if len(x) else pd.Series([], dtype="int32")
+    if not centres.size:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    somewhere = F.coalesce(F.col(features).cast("array<double>"), F.array_repeat(F.lit(0.0), centres.shape[1]))
+    return df.withColumn(out, F.when(F.col(features).isNotNull(), nearest(somewhere)))
+
+
+#: rows of a block; a tile is a block against a block
+BLOCK_ROWS = 512
+
+
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per row of the first block and cluster of the second: sum and number of distances, without the row itself."""
+    for b in batches:
+        for keys, own, x, others, theirs, y in zip(b["keys"], b["own"], b["x"], b["others"], b["theirs"], b["y"]):
+            x, y = np.stack(x), np.stack(y)
+            far = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) + 1e-12) if x.size * len(y) <= 1 << 24 else np.stack(
+                [np.sqrt(((y - row) ** 2).sum(axis=1) + 1e-12) for row in x])
+            keys, others = np.asarray(keys), np.asarray(others)
+            counted = keys[:, None] != others[None, :]
+            kinds, at = np.unique(np.asarray(theirs), return_inverse=True)
+            member = np.zeros((len(y), len(kinds)))
+            member[np.arange(len(y)), at] = 1.0
+            sums, n = np.where(counted, far, 0.0) @ member, counted @ member
+            yield pd.DataFrame({"key": np.repeat(keys, len(kinds)), "own": np.repeat(np.asarray(own), len(kinds)), "cluster": np.tile(kinds, len(x)),
+                                "total": sums.ravel(), "n": n.ravel().astype(np.int64)})
+
+
+def pair_sums(df: DataFrame, key: str, features: str = "features", cluster: str = "cluster", seed: int = 42,
+              most: int | None = SILHOUETTE_ROWS, block: int = BLOCK_ROWS) -> DataFrame:
+    """Per row and cluster: sum and number of the Euclidean distances to the other rows: key, own, cluster, total, n.
+
+    ``most`` rows, the same ones every time, or all.  Rows are dealt to blocks by
+    a hash of their key, every pair of blocks is a tile of its own task's work;
+    pairs of rows exist only inside a tile.  The key is unique and has no nulls.
+    """
+    d = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("own")).where("x IS NOT NULL AND own IS NOT NULL")
+    if most is not None:
+        chosen = fixed_sample(d.select("key"), "key", most, seed)       # only keys meet in one place
+        d = d.join(chosen, "key", "left_semi")
+    d = materialise(d)
+    blocks = max(1, -(-d.count() // block))
+    dealt = d.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    packed = materialise(dealt.groupBy("block").agg(F.collect_list(F.struct("key", "own", "x")).alias("rows")).select(
+        "block", F.col("rows.key").alias("keys"), F.col("rows.own").alias("own"), F.col("rows.x").alias("x")))
+    right = packed.select(F.col("block").alias("other"), F.col("keys").alias("others"), F.col("own").alias("theirs"), F.col("x").alias("y"))
+    tiles = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(right, "other")
+    tiles = tiles.select("keys", "own", "x", "others", "theirs", "y").repartition(min(blocks * blocks, 4096))
+    kind = lambda c: d.schema[c].dataType
+    out = T.StructType([T.StructField("key", kind("key")), T.StructField("own", kind("own")), T.StructField("cluster", kind("own")),
+                        T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+    parts = tiles.mapInPandas(_tiles, out)
+    return parts.groupBy("key", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def silhouette(df: DataFrame, key: str, features: str = "features", cluster: str = "cluster", seed: int = 42,
-               most: int = SILHOUETTE_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette on at most ``most`` rows (that sample is the
-    measure's definition).  The sample goes to every task as one bounded array;
-    each task scores its own rows against it, so no pairs are formed."""
-    s = fixed_sample(df.select(key, features, cluster), key, most, seed)
-    rows = s.select(features, cluster).collect()     # bounded by ``most``
-    x = np.array([r[0] for r in rows], float)
-    lab = np.array([r[1] for r in rows])
-    shared = df.sparkSession.sparkContext.broadcast((x, lab))
-
-    def score(batches):
-        ref, labels = shared.value
-        kinds = np.unique(labels)
-        for b in batches:
-            if not len(b):
-                continue
-            mine, own = np.stack(b[features].to_numpy()), b[cluster].to_numpy()
-            out = np.zeros(len(b))
-            for i in range(len(b)):
-                dist = np.sqrt(((ref - mine[i]) ** 2).sum(axis=1) + 1e-12)
-                same = labels == own[i]
-                n = same.sum()
-                # the row meets itself once, at the distance the offset gives
-                a = (dist[same].sum() - np.sqrt(1e-12)) / (n - 1) if n > 1 else 0.0
-                others = [dist[labels == c].mean() for c in kinds if c != own[i]]
-                near = min(others) if others else np.inf
-                top = max(a, near)
-                out[i] = (near - a) / top if top > 0 and np.isfinite(top) else 0.0
-            yield pd.DataFrame({"s": out})
-    scored = s.mapInPandas(score, T.StructType([T.StructField("s", T.DoubleType())]))
-    single = len(set(lab.tolist())) < 2
-    return scored.agg(F.lit(None).cast("double").alias("silhouette") if single else F.avg("s").alias("silhouette"),
-                      F.count(F.lit(1)).alias("n_rows"))
+               most: int | None = SILHOUETTE_ROWS) -> DataFrame:
+    """Mean Euclidean silhouette of at most ``most`` rows (all with None), and their number; null with fewer than two clusters."""
+    sums = pair_sums(df, key, features, cluster, seed, most)
+    same, mean = F.col("cluster") == F.col("own"), F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    per = sums.groupBy("key").agg(F.coalesce(F.max(F.when(same, mean)), F.lit(0.0)).alias("a"), F.min(F.when(~same, mean)).alias("b"))
+    top = F.greatest("a", "b")
+    score = F.when(F.col("b").isNotNull(), F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0))
+    return per.agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def cluster_report(df: DataFrame, key: str, phase: str, experiment: str, k: int = 4, seed: int = 42, features: str = "features") -> DataFrame:
+    """Clusters held against phases and experiments, and their silhouette: kind, cluster, name, value.
+
+    Shares are of a cluster's rows and cover the names that occur in it.
+    """
+    d = materialise(kmeans(df, k, seed, features=features).select(key, phase, experiment, features, "cluster"))
+
+    def table(kind: str, name: str) -> DataFrame:
+        n = d.groupBy("cluster", F.col(name).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        whole = n.groupBy("cluster").agg(F.sum("n").alias("all"))
+        return matched(n, whole, ["cluster"]).select(F.lit(kind).alias("kind"), "cluster", "name", (F.col("n") / F.col("all")).alias("value"))
+    scored = silhouette(d, key, features, "cluster", seed)
+    whole = scored.select(F.inline(F.array(F.struct(F.lit("silhouette").alias("name"), F.col("silhouette").alias("value")),
+                                           F.struct(F.lit("n_rows").alias("name"), F.col("n_rows").cast("double").alias("value")))))
+    whole = whole.select(F.lit("whole").alias("kind"), F.lit(None).cast("int").alias("cluster"), "name", "value")
+    return table("phase", phase).unionByName(table("experiment", experiment)).unionByName(whole)
 
 
 def cluster_features(df: DataFrame, n_points: int, extra: Sequence[str], power: str = "power", n_bands: int = 24) -> DataFrame:

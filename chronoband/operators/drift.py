@@ -1,8 +1,13 @@
-"""Distances between the distributions of a base side and other sides.
+"""Distances between the distribution of a base and those of other sides.
 
-All sides share one table of distinct values with one counter per side, so the
-base is read, shuffled and sorted once however many targets it is compared to.
-Cumulative shares, widths and pooled quantile edges all come from that table.
+Everything is long: a row per key, side and distinct value.  The base is sorted
+once and gets prefix integrals of its distribution function F and of F squared.
+A target is placed on it by as-of passes: between two of its values its own
+function is a constant g, so the integrals of ``|F - g|`` and ``(F - g)**2`` are
+differences of prefix integrals, split where F passes g.  Quantiles of base and
+target together come from ranks looked up on both.  The work is the rows of the
+base plus those of all targets, and the plan is the same for two targets and for
+every day of ten years.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronoband.functions import arrays as A
 from chronoband.functions.tails import ks_pvalue
-from chronoband.operators.ordered import attach, framed, group_sizes, indexed, scanned
+from chronoband.operators.ordered import attach, framed, group_sizes, indexed, matched, scanned
 from chronoband.operators.rhythm import PHASES
 from chronoband.session import materialise
 
@@ -23,93 +28,143 @@ PSI_FLOOR = 1e-6
 SHARE_FLOOR = 1e-6
 
 
-def distances(df: DataFrame, keys: Sequence[str], value: str, side: str, base: str, targets: Sequence[str],
+def distances(df: DataFrame, keys: Sequence[str], value: str, side: str, base: str, targets: Sequence[str] | None = None,
               bins: int = PSI_BINS) -> DataFrame:
     """One row per key and target present: sizes, KS statistic and asymptotic p,
-    Wasserstein-1, energy distance, population stability index."""
+    Wasserstein-1, energy distance, population stability index.
+
+    Targets are the sides named, or all but the base.  Rows without a value or a
+    side are left out; keys need both sides.
+    """
     keys = list(keys)
-    ks = range(len(targets))
-    d = df.filter(F.col(side).isin(base, *targets) & F.col(value).isNotNull())
-    counts = d.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
-        F.count_if(F.col(side) == base).alias("b"), *[F.count_if(F.col(side) == t).alias(f"c{k}") for k, t in enumerate(targets)])
-    counts = materialise(counts)                    # read by every step below
+    known = F.col(side).isNotNull() if targets is None else F.col(side).isin(base, *targets)
+    d = df.filter(known & F.col(value).isNotNull())
+    counts = materialise(d.groupBy(*keys, F.col(side).cast("string").alias("target"), F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("c")))                  # read by every step below
     peak = group_sizes(counts, keys)[0]
-    totals = counts.groupBy(*keys).agg(F.sum("b").alias("nb"), *[F.sum(f"c{k}").alias(f"n{k}") for k in ks])
-    run = indexed(counts, keys, ["v"], "_at", "_size", peak)
-    run = scanned(run, keys, ["v"], total={"cum_b": F.col("b"), **{f"cum_c{k}": F.col(f"c{k}") for k in ks}}, peak=peak, rn="_at")
-    run = framed(run, keys, ["v"], 0, 1, {"_next": lambda w: F.lead("v").over(w)}, peak, "_at")
-    run = attach(run, totals, keys)
-
-    def gap(k):
-        return F.abs(F.col("cum_b") / F.col("nb") - F.col(f"cum_c{k}") / F.col(f"n{k}"))
-    width = F.coalesce(F.col("_next") - F.col("v"), F.lit(0.0))
-    aggs = [F.max("nb").alias("nb")]
-    for k in ks:
-        aggs += [F.max(f"n{k}").alias(f"n{k}"), F.max(gap(k)).alias(f"ks{k}"), F.sum(gap(k) * width).alias(f"w{k}"),
-                 F.sum(gap(k) * gap(k) * width).alias(f"e{k}")]
-    wide = run.groupBy(*keys).agg(*aggs)
-    rows = F.array(*[F.struct(
-        F.lit(t).alias("target"), F.lit(k).alias("_k"), F.col("nb").alias("n_base"), F.col(f"n{k}").alias("n_target"),
-        F.col(f"ks{k}").alias("ks_stat"), F.col(f"w{k}").alias("wasserstein"),
-        F.sqrt(2 * F.col(f"e{k}")).alias("energy_distance")) for k, t in enumerate(targets)])
-    out = wide.select(*keys, F.inline(rows)).filter((F.col("n_base") > 0) & (F.col("n_target") > 0))
+    own = F.col("target") == base
+    base_rows = materialise(_prefixed(counts.filter(own).select(*keys, "v", F.col("c").alias("b")), keys, peak))
+    ends = base_rows.groupBy(*keys).agg(F.max("nb").alias("nb"), F.max("v").alias("v_end"), F.max("i1").alias("i1_end"), F.max("i2").alias("i2_end"))
+    placed = materialise(_placed(base_rows, ends, counts.filter(~own), keys, peak))
+    queries = _crossings(placed, keys).unionByName(_pooled_ranks(placed, keys, bins, peak), allowMissingColumns=True)
+    found = materialise(_by_rank(base_rows, queries, keys, peak))
+    out = _integrals(found.filter("j IS NULL"), keys)
     out = out.withColumn("ks_pvalue", ks_pvalue(F.col("ks_stat"), F.col("n_base"), F.col("n_target")))
-    psi = _psi(run, counts, totals, keys, len(targets), bins, peak)
-    return out.join(psi, [*keys, "_k"], "left").withColumn("psi", F.coalesce("psi", F.lit(0.0))).drop("_k")
-
-
-def _psi(run: DataFrame, counts: DataFrame, totals: DataFrame, keys: list[str], n_targets: int, bins: int, peak: int) -> DataFrame:
-    """Edges are quantiles of base and target together; a row of the running table
-    knows which edge ranks it holds, so only edge rows are expanded."""
-    def holder(k):
-        pooled, own = F.col("cum_b") + F.col(f"cum_c{k}"), F.col("b") + F.col(f"c{k}")
-        n = F.col("nb") + F.col(f"n{k}")
-        first, last = pooled - own, pooled - 1      # ranks of this value, from 0
-        edge_no = lambda rank: rank * bins / (n - 1)
-        # edges whose lower (floor) or upper (ceiling) rank is this value
-        lo_a, lo_b = F.ceil(edge_no(first)), F.ceil(edge_no(last + 1)) - 1
-        hi_a, hi_b = F.floor(edge_no(first - 1)) + 1, F.floor(edge_no(last))
-        return F.when((own > 0) & (F.col(f"n{k}") > 0) & (n > 1), F.struct(
-            F.lit(k).alias("k"), n.alias("n"),
-            F.greatest(lo_a, F.lit(0)).alias("la"), F.least(lo_b, F.lit(bins)).alias("lb"),
-            F.greatest(hi_a, F.lit(0)).alias("ha"), F.least(hi_b, F.lit(bins)).alias("hb")))
-    held = F.filter(F.array(*[holder(k) for k in range(n_targets)]),
-                    lambda s: s.isNotNull() & ((s["la"] <= s["lb"]) | (s["ha"] <= s["hb"])))
-    hit = run.select(*keys, "v", F.explode_outer(held).alias("s")).filter("s IS NOT NULL")
-
-    def span(a, b, tag):
-        return F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda j: F.struct(j.alias("j"), F.lit(tag).alias("t"))))
-    none = F.array().cast("array<struct<j:bigint,t:string>>")
-    marks = F.concat(F.coalesce(span(F.col("s.la"), F.col("s.lb"), "lo"), none), F.coalesce(span(F.col("s.ha"), F.col("s.hb"), "hi"), none))
-    hit = hit.select(*keys, F.col("s.k").alias("_k"), F.col("s.n").alias("n"), "v", F.inline_outer(marks))
-    edges = hit.groupBy(*keys, "_k", "j").agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("t") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("t") == "hi", F.col("v"))).alias("hi"))
-    part = F.pmod((F.col("n") - 1) * F.col("j"), F.lit(bins)) / F.lit(float(bins))
-    edge = F.col("lo") + (F.col("hi") - F.col("lo")) * part
-    # at most bins + 1 edges per key and target
-    edges = edges.groupBy(*keys, "_k").agg(F.array_sort(F.collect_set(edge)).alias("_e"))
-    edges = edges.select(*keys, "_k", F.element_at("_e", -1).alias("_last"), F.size("_e").alias("_edges"), F.explode_outer("_e").alias("v"))
-    cols = ["b", *[f"c{k}" for k in range(n_targets)]]
-    both = counts.withColumn("_kind", F.lit(1)).unionByName(edges.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    both = both.na.fill(0, cols)
-    seen = scanned(both, keys, ["v", "_kind", "_k"], total={f"cum_{c}": F.col(c) for c in cols}, peak=peak * 2 + 1)
-    seen = attach(seen.filter(F.col("_kind") == 0), totals, keys)
-    mine, size = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for k in range(n_targets):
-        mine = F.when(F.col("_k") == k, F.col(f"cum_c{k}")).otherwise(mine)
-        size = F.when(F.col("_k") == k, F.col(f"n{k}")).otherwise(size)
-    closed = F.col("v") == F.col("_last")           # the last bin includes its right edge
-    below = F.struct("v", F.when(closed, F.col("nb")).otherwise(F.col("cum_b")).alias("b"), F.when(closed, size).otherwise(mine).alias("c"))
-    per = seen.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(below)).alias("x"), F.max("_edges").alias("_edges"),
-                                        F.max("nb").alias("nb"), F.max(size).alias("nt"))
+    psi = _psi(base_rows, placed, found.filter("j IS NOT NULL"), keys, bins, peak)
+    return matched(out, psi, [*keys, "target"], "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
+
+
+def _prefixed(rows: DataFrame, keys: list[str], peak: int) -> DataFrame:
+    """Base values with running counts ``cb`` and the integrals of F and F squared from the first value up to each."""
+    d = attach(rows, rows.groupBy(*keys).agg(F.sum("b").alias("nb")), keys, "inner")
+    d = indexed(d, keys, ["v"], "_at", "_size", peak)
+    d = scanned(d, keys, ["v"], total={"cb": F.col("b")}, peak=peak, rn="_at")
+    d = framed(d, keys, ["v"], 1, 0, {"_before": lambda w: F.lag("v").over(w)}, peak, "_at")
+    level, width = (F.col("cb") - F.col("b")) / F.col("nb"), F.coalesce(F.col("v") - F.col("_before"), F.lit(0.0))
+    d = scanned(d, keys, ["v"], total={"i1": level * width, "i2": level * level * width}, peak=peak, rn="_at")
+    return d.select(*keys, "v", "b", "cb", "nb", "i1", "i2")
+
+
+def _placed(base_rows: DataFrame, ends: DataFrame, rows: DataFrame, keys: list[str], peak: int) -> DataFrame:
+    """Target values with their running counts ``ct`` and what the base has at them: counts below and up to, both integrals; ``next`` is the same of the next value."""
+    both = [*keys, "target"]
+    t = attach(attach(rows, rows.groupBy(*both).agg(F.sum("c").alias("nt")), both, "inner"), ends, keys, "inner")
+    t = indexed(t, both, ["v"], "_at", "_size", peak)
+    t = scanned(t, both, ["v"], total={"ct": F.col("c")}, peak=peak, rn="_at")
+    here = F.struct("v", "b", "cb", "i1", "i2")
+    union = t.withColumn("_kind", F.lit(1)).unionByName(base_rows.select(*keys, "v", here.alias("_base"), F.lit(0).alias("_kind")), allowMissingColumns=True)
+    seen = scanned(union, keys, ["v", "_kind", "target"], last={"_p": F.col("_base")}, peak=peak).filter("_kind = 1")
+    p, gap = F.col("_p"), F.col("v") - F.col("_p.v")
+    level = p["cb"] / F.col("nb")
+    zero = lambda c, z: F.coalesce(c, F.lit(z))
+    seen = seen.select(*both, "v", "c", "ct", "nt", "nb", "v_end", "i1_end", "i2_end", "_at",
+                       zero(p["cb"], 0).cast("long").alias("upto"), zero(p["cb"] - F.when(gap == 0, p["b"]).otherwise(0), 0).cast("long").alias("below"),
+                       zero(p["i1"] + level * gap, 0.0).alias("i1"), zero(p["i2"] + level * level * gap, 0.0).alias("i2"))
+    return framed(seen, both, ["v"], 0, 1, {"next": lambda w: F.lead(F.struct("v", "below", "i1", "i2")).over(w)}, peak, "_at")
+
+
+def _crossings(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Every target value asks for the base value at which F reaches its own share (the rank of that base value)."""
+    rank = F.ceil(F.col("ct") * F.col("nb") / F.col("nt") - 1e-9) - 1
+    return placed.withColumn("rank", F.greatest(rank, F.lit(0)).cast("long")).withColumn("j", F.lit(None).cast("int"))
+
+
+def _pooled_ranks(placed: DataFrame, keys: list[str], bins: int, peak: int) -> DataFrame:
+    """The ranks next to each edge among base and target together: a value of the target, or else the base rank to look up."""
+    both = [*keys, "target"]
+    size = placed.groupBy(*both).agg((F.max("nb") + F.max("nt")).alias("n"))
+    j = size.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(bins))))
+    step = (F.col("n") - 1) * F.col("j")
+    lower, rest = F.floor(step / bins), F.pmod(step, F.lit(bins))
+    j = j.select(*both, "n", "j", rest.alias("rest"), F.explode(F.array(F.lit(0), F.lit(1))).alias("upper"), lower.alias("_lower"))
+    ask = j.withColumn("at", (F.col("_lower") + F.when(F.col("rest") > 0, F.col("upper")).otherwise(0)).cast("long")).drop("_lower")
+    start = (F.col("below") + F.col("ct") - F.col("c")).alias("at")
+    held = placed.select(*both, start, F.struct("v", (F.col("upto") + F.col("ct") - 1).alias("last"), "ct").alias("_held"), F.lit(0).alias("_kind"))
+    union = ask.withColumn("_kind", F.lit(1)).unionByName(held, allowMissingColumns=True)
+    seen = scanned(union, both, ["at", "_kind", "j", "upper"], last={"_p": F.col("_held")}, peak=peak + 2 * (bins + 1)).filter("_kind = 1")
+    mine = F.when(F.col("at") <= F.col("_p.last"), F.col("_p.v"))
+    return seen.select(*both, "j", "upper", "rest", mine.alias("value"), F.greatest(F.col("at") - F.coalesce(F.col("_p.ct"), F.lit(0)), F.lit(0)).alias("rank"))
+
+
+def _by_rank(base_rows: DataFrame, queries: DataFrame, keys: list[str], peak: int) -> DataFrame:
+    """Queries with the base value that holds their rank and the integrals up to it."""
+    held = base_rows.select(*keys, (F.col("cb") - F.col("b")).alias("rank"), F.struct("v", "i1", "i2").alias("_held"), F.lit(0).alias("_kind"))
+    union = queries.withColumn("_kind", F.lit(1)).unionByName(held, allowMissingColumns=True)
+    seen = scanned(union, keys, ["rank", "_kind", "target", "v", "j", "upper"], last={"_q": F.col("_held")}, peak=2 * peak + 1)
+    return seen.filter("_kind = 1").drop("_kind", "_held")
+
+
+def _integrals(found: DataFrame, keys: list[str]) -> DataFrame:
+    g, a, b, q = F.col("ct") / F.col("nt"), F.col("v"), F.col("next.v"), F.col("_q.v")
+    d1, d2 = F.col("next.i1") - F.col("i1"), F.col("next.i2") - F.col("i2")
+    cross = F.least(F.greatest(q, a), b)
+    at_cross = F.when(q <= a, F.col("i1")).when(q >= b, F.col("next.i1")).otherwise(F.col("_q.i1"))
+    inner_w = g * (cross - a) - (at_cross - F.col("i1")) + (F.col("next.i1") - at_cross) - g * (b - cross)
+    inner_e = d2 - 2 * g * d1 + g * g * (b - a)
+    # before a target's first value its share is nought, behind its last one it is one
+    first, last = F.col("ct") == F.col("c"), F.col("next").isNull()
+    rest = F.greatest(F.col("v_end") - a, F.lit(0.0))
+    r1 = F.when(rest > 0, F.col("i1_end") - F.col("i1")).otherwise(0.0)
+    r2 = F.when(rest > 0, F.col("i2_end") - F.col("i2")).otherwise(0.0)
+    w = F.when(last, rest - r1).otherwise(inner_w) + F.when(first, F.col("i1")).otherwise(0.0)
+    e = F.when(last, rest - 2 * r1 + r2).otherwise(inner_e) + F.when(first, F.col("i2")).otherwise(0.0)
+    share = lambda c: F.col(c) / F.col("nb")
+    gap = F.greatest(F.abs(share("upto") - g), F.when(~last, F.abs(share("next.below") - g)), F.when(first, share("below")))
+    return found.groupBy(*keys, "target").agg(
+        F.max("nb").alias("n_base"), F.max("nt").alias("n_target"), F.max(gap).alias("ks_stat"), F.sum(F.greatest(w, F.lit(0.0))).alias("wasserstein"),
+        F.sqrt(2 * F.sum(F.greatest(e, F.lit(0.0)))).alias("energy_distance"))
+
+
+def _psi(base_rows: DataFrame, placed: DataFrame, ranks: DataFrame, keys: list[str], bins: int, peak: int) -> DataFrame:
+    """Shares of base and target between the edges; the last bin includes its right edge."""
+    both = [*keys, "target"]
+    value = F.coalesce("value", F.col("_q.v"))
+    pick = lambda upper: F.max(F.when(F.col("upper") == upper, value))
+    edge = ranks.groupBy(*both, "j").agg(pick(0).alias("lo"), pick(1).alias("hi"), F.max("rest").alias("rest"))
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("rest") / F.lit(float(bins)))
+    packed = edge.groupBy(*both).agg(F.array_sort(F.collect_set(at)).alias("_e"))       # at most bins + 1 edges
+    edges = packed.select(*both, F.size("_e").alias("_edges"), F.element_at("_e", -1).alias("_last"), F.explode("_e").alias("v"))
+
+    def below(rows: DataFrame, by: list[str], running: str, out: str, source: DataFrame) -> DataFrame:
+        """How many of ``rows`` are smaller than each edge: edges stand before the equal values."""
+        union = source.withColumn("_kind", F.lit(0)).unionByName(rows.select(*by, "v", F.col(running).alias("_run"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+        tie = [c for c in ("target",) if c not in by]
+        seen = scanned(union, by, ["v", "_kind", *tie], last={"_p": F.col("_run")}, peak=2 * peak + bins + 1)
+        return seen.filter("_kind = 0").withColumn(out, F.coalesce("_p", F.lit(0)).cast("long")).drop("_kind", "_run", "_p")
+    counted = below(placed, both, "ct", "_t", below(base_rows, keys, "cb", "_b", edges))
+    totals = placed.groupBy(*both).agg(F.max("nb").alias("nb"), F.max("nt").alias("nt"))
+    counted = matched(counted, totals, both)
+    closed = F.col("v") == F.col("_last")
+    part = F.struct("v", F.when(closed, F.col("nb")).otherwise(F.col("_b")).alias("b"), F.when(closed, F.col("nt")).otherwise(F.col("_t")).alias("c"))
+    per = counted.groupBy(*both).agg(F.array_sort(F.collect_list(part)).alias("x"), F.max("_edges").alias("_edges"), F.max("nb").alias("nb"), F.max("nt").alias("nt"))
 
     def term(i):
         share = lambda f, n: F.greatest((F.get(F.col("x"), i + 1)[f] - F.get(F.col("x"), i)[f]) / n, F.lit(PSI_FLOOR))
         return A.let(F.struct(share("b", F.col("nb")).alias("p"), share("c", F.col("nt")).alias("q")),
                      lambda s: (s["q"] - s["p"]) * F.ln(s["q"] / s["p"]))
     psi = F.when(F.col("_edges") < 3, F.lit(0.0)).otherwise(
-        A.total(F.transform(F.sequence(F.lit(0), F.size("x") - 2), term)))
-    return per.select(*keys, "_k", psi.alias("psi"))
+        A.total(F.transform(F.sequence(F.lit(0), F.greatest(F.size("x") - 2, F.lit(0))), term)))
+    return per.select(*both, psi.alias("psi"))
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -118,15 +173,18 @@ def unpivot(df: DataFrame, ids: Sequence[str], variables: Sequence[str]) -> Data
 
 
 def shift_report(df: DataFrame, split: str, day: str, variables: Sequence[str], day_variables: Sequence[str]) -> DataFrame:
-    """Train against validation and test, and train against every other day."""
-    whole = distances(unpivot(df, [split], variables), ["variable"], "value", split, "train", ["val", "test"])
-    days = [r[0] for r in df.filter(F.col(split) != "train").select(day).distinct().collect()]  # one per civil day
-    whole = whole.withColumn("scope", F.lit("global"))
-    if not days:
-        return whole
-    side = df.withColumn("_side", F.when(F.col(split) == "train", "train").otherwise(F.col(day)))
-    each = distances(unpivot(side, ["_side"], day_variables), ["variable"], "value", "_side", "train", sorted(days))
-    return whole.unionByName(each.withColumn("scope", F.lit("by_date")))
+    """Train against validation and test, and train against every other day: scope, variable, target, target_split and the distances.
+
+    A day's split is the one its samples have (the first in order, should they differ).
+    """
+    whole = unpivot(df.filter(F.col(split).isin("train", "val", "test")), [split], variables).select(
+        F.lit("global").alias("scope"), "variable", F.col(split).alias("_side"), "value")
+    side = df.withColumn("_side", F.when(F.col(split) == "train", F.lit("train")).otherwise(F.concat(F.lit("day "), F.col(day).cast("string"))))
+    each = unpivot(side, ["_side"], day_variables).select(F.lit("by_date").alias("scope"), "variable", "_side", "value")
+    found = distances(whole.unionByName(each), ["scope", "variable"], "value", "_side", "train")
+    days = df.filter(F.col(split) != "train").groupBy(F.concat(F.lit("day "), F.col(day).cast("string")).alias("target")).agg(F.min(split).alias("_split"))
+    named = matched(found, days, ["target"], "left")
+    return named.withColumn("target_split", F.coalesce("_split", "target")).withColumn("target", F.regexp_replace("target", "^day ", "")).drop("_split")
 
 
 def phase_js(df: DataFrame, keys: Sequence[str], split: str, phase: str) -> DataFrame:
@@ -146,6 +204,20 @@ def phase_js(df: DataFrame, keys: Sequence[str], split: str, phase: str) -> Data
     return n.select(*keys, F.sqrt(F.greatest(div / 2, F.lit(0.0))).alias("phase_js_distance"))
 
 
+def split_shift(df: DataFrame, strategy: str, split: str, value: str, phase: str, pc: str | None = None) -> DataFrame:
+    """A row per strategy: the distances of train and test, of their phase shares and, with components ``pc``, of their centroids.
+
+    Centroids are of the samples that have components.
+    """
+    out = distances(df, [strategy], value, split, "train", ["test"])
+    out = matched(out, phase_js(df, [strategy], split, phase), [strategy], "left")
+    if pc is None:
+        return out
+    side = lambda s, j: F.avg(F.when(F.col(split) == s, F.col(pc)[j]))
+    apart = F.sqrt(sum((F.pow(side("train", j) - side("test", j), 2) for j in range(2)), F.lit(0.0)))
+    return matched(out, df.groupBy(strategy).agg(apart.alias("pca_centroid_distance")), [strategy], "left")
+
+
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence) -> DataFrame:
     d = indexed(df, list(keys), [value, *tie], "_rn", "_n")
     return d.withColumn("ecdf", F.col("_rn") / F.col("_n")).drop("_rn", "_n")

@@ -110,27 +110,45 @@ def union_recordings(parts: Sequence[DataFrame], keys: Sequence[str], out: str =
 
 
 def summary_json(samples: DataFrame, distances: DataFrame, effects: DataFrame, split_shift: DataFrame, exp: str,
-                 label: str, phase: str, error: str, top: int = 20) -> DataFrame:
-    """One row holding the diagnostic summary; every input is an aggregate already."""
+                 label: str, phase: str, error: str, top: int = 20, days: DataFrame | None = None, clusters: DataFrame | None = None,
+                 audit_rows: DataFrame | None = None) -> DataFrame:
+    """One row holding the diagnostic summary; every input is an aggregate already.
+
+    ``days`` is a ``day_summary`` by day and split, ``clusters`` has (name,
+    value), ``audit_rows`` a row per recording.
+    """
     q = quantiles(samples, [], error, [0.5, 0.95], "_q")
     base = samples.agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct(exp).alias("n_experiments"),
                        F.min(label).alias("lo"), F.max(label).alias("hi"))
     ratio = samples.groupBy(phase).agg(F.count(F.lit(1)).alias("n"))
-    ratio = ratio.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(phase, "n")))).alias("phase_counts"))
+    ratio = ratio.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(phase, F.lit("")).alias("phase"), "n")))).alias("phase_counts"))
     worst = split_shift.agg(F.max_by("strategy", F.struct("wasserstein", "strategy")).alias("worst_split"))
     best = effects.orderBy(F.col("abs_effect").desc(), "bin").limit(top).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("abs_effect")).alias("rank"), "bin", "effect"))).alias("e"))
+        F.array_sort(F.collect_list(F.struct((-F.col("abs_effect")).alias("rank"), "bin", "effect"))).alias("effects"))
     shift = distances.filter("scope = 'global'").groupBy("variable").agg(
         F.max_by(F.struct("target", "psi", "wasserstein"), F.struct("psi", "target")).alias("s"))
     shift = shift.agg(F.array_sort(F.collect_list(F.struct("variable", F.col("s.target").alias("target_split"),
-                                                           F.col("s.psi").alias("psi"), F.col("s.wasserstein").alias("wasserstein")))).alias("s"))
+                                                           F.col("s.psi").alias("psi"), F.col("s.wasserstein").alias("wasserstein")))).alias("shifts"))
     d = base
-    for part in (q, ratio, worst, best.withColumnRenamed("e", "effects"), shift.withColumnRenamed("s", "shifts")):
+    for part in (q, ratio, worst, best, shift):
         d = attach(d, part, [])
-    return d.select(F.to_json(F.struct(
+    fields = [
         "n_samples", "n_experiments", F.array("lo", "hi").alias("label_range"), F.col("_q")[0].alias("align_error_median"),
         F.col("_q")[1].alias("align_error_p95"),
         F.transform_values("phase_counts", lambda k, v: v / F.col("n_samples")).alias("phase_ratio"),
         F.col("worst_split").alias("worst_split_by_wasserstein"),
         F.transform("effects", lambda e: F.struct(e["bin"].alias("spectral_index"), e["effect"].alias("effect"))).alias("top_effects"),
-        F.col("shifts").alias("global_top_shift_variables"))).alias("summary"))
+        F.col("shifts").alias("global_top_shift_variables")]
+    if days is not None:
+        mean_of = lambda s: F.avg(F.when(F.col("split") == s, F.col("label_mean")))
+        n = days.groupBy("split").agg(F.sum("n_samples").alias("n"))
+        n = n.where("split IS NOT NULL").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("split_counts"))
+        d = attach(attach(d, days.agg(F.countDistinct("day").alias("days"), mean_of("train").alias("train_mean"), mean_of("test").alias("test_mean")), []), n, [])
+        fields.append(F.struct("days", "split_counts", F.col("train_mean").alias("train_label_mean"), F.col("test_mean").alias("test_label_mean")).alias("day_highlights"))
+    if clusters is not None:
+        d = attach(d, clusters.where("value IS NOT NULL").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("cluster_stats")), [])
+        fields.append("cluster_stats")
+    if audit_rows is not None:
+        d = attach(d, audit_rows.agg(F.array_sort(F.collect_list(F.struct("*"))).alias("audit_rows")), [])
+        fields.append("audit_rows")
+    return d.select(F.to_json(F.struct(*fields)).alias("summary"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoband.functions import spectrum as P
 from chronoband.operators import clusters as L
 from chronoband.operators import drift as D
 from chronoband.operators import metrics as M
@@ -19,6 +20,7 @@ from chronoband.plans.features import THIRDS
 from chronoband.plans.registry import query
 from chronoband.plans.rhythm import PHASE, phased
 from chronoband.plans.splitting import CUT, N, THREE
+from chronoband.session import materialise
 
 SER = f"WITH {I.SERIES}"
 DAYED = "dayed AS (SELECT *, strftime(make_timestamp(us), '%Y-%m-%d') AS day FROM {src})"
@@ -86,14 +88,34 @@ def ks_p(spark, d):
         "variable", "target", I.rounded(F.col("ks_stat")).alias("ks_stat"), I.rounded(F.col("ks_pvalue")).alias("ks_pvalue"))
 
 
-@query("d6_shift_by_split_and_day", SPLIT_DAYS + _distance_sql("""SELECT scope, variable, target, side, v FROM (
- SELECT 'global' AS scope, 'value' AS variable, tg AS target, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, value AS v FROM sd CROSS JOIN (SELECT unnest(['val', 'test']) AS tg) WHERE split IN ('train', tg)
- UNION ALL SELECT 'global', 'v2', tg, CASE WHEN split = 'train' THEN 0 ELSE 1 END, v2 FROM sd CROSS JOIN (SELECT unnest(['val', 'test']) AS tg) WHERE split IN ('train', tg)
- UNION ALL SELECT 'by_date', 'value', z.day, CASE WHEN split = 'train' THEN 0 ELSE 1 END, value FROM sd CROSS JOIN (SELECT DISTINCT day FROM sd WHERE split <> 'train') z WHERE split = 'train' OR sd.day = z.day)""", "scope, variable")
-       + f" SELECT scope, variable, target, {DIST_OUT} " + DIST_FROM.format(k="scope, variable"))
+POWERS = ["spec_total_power", "spec_low_power", "spec_mid_power", "spec_high_power"]
+SHIFT_VARIABLES, DAY_VARIABLES = ["value", "slope", *POWERS], ["value", "slope", "spec_total_power"]
+
+
+def split_days_with_power(spark, d):
+    """Split samples, with the band powers of their spectrum where they have one."""
+    power = I.spectra(spark, d).select(F.col("vec_id").alias("_id"), P.third_powers(F.col("power")).alias("_p"))
+    power = power.select("_id", *[F.col(f"_p.{c}").alias(f"spec_{c}_power") for c in ("total", "low", "mid", "high")])
+    s = split_days(spark, d)
+    return s.join(power, s["event_id"] == power["_id"], "left").drop("_id")
+
+
+def _structs(names: list[str]) -> str:
+    return ", ".join(f"{{'variable': '{n}', 'v': {n}::DOUBLE}}" for n in names)
+
+
+SHIFT_SQL = SPLIT_DAYS + f""", {I.CELLS}, {THIRDS.replace("th AS", "tp AS")}, sp AS (SELECT sd.*, total AS spec_total_power, low AS spec_low_power, mid AS spec_mid_power, high AS spec_high_power FROM sd LEFT JOIN tp ON vec_id = event_id)""" + _distance_sql(f"""
+ SELECT 'global' AS scope, variable, tg AS target, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, v FROM (SELECT split, unnest([{_structs(SHIFT_VARIABLES)}], recursive := true) FROM sp)
+  CROSS JOIN (SELECT unnest(['val', 'test']) AS tg) WHERE split IN ('train', tg) AND v IS NOT NULL
+ UNION ALL SELECT 'by_date', variable, z.day, CASE WHEN split = 'train' THEN 0 ELSE 1 END, v FROM (SELECT split, day, unnest([{_structs(DAY_VARIABLES)}], recursive := true) FROM sp) x
+  CROSS JOIN (SELECT DISTINCT day FROM sd WHERE split <> 'train') z WHERE (split = 'train' OR x.day = z.day) AND v IS NOT NULL""", "scope, variable")
+
+
+@query("d6_shift_by_split_and_day", SHIFT_SQL + f", dy AS (SELECT day, min(split) AS day_split FROM sd WHERE split <> 'train' GROUP BY 1) SELECT scope, variable, target, coalesce(day_split, target) AS target_split, {DIST_OUT} "
+       + DIST_FROM.format(k="scope, variable") + " LEFT JOIN dy ON dy.day = target")
 def shift(spark, d):
-    r = D.shift_report(split_days(spark, d), "split", "day", ["value", "v2"], ["value"])
-    return _distances(r, ["scope", "variable"])
+    r = D.shift_report(split_days_with_power(spark, d), "split", "day", SHIFT_VARIABLES, DAY_VARIABLES)
+    return _distances(r, ["scope", "variable", "target_split"])
 
 
 STRATS = SER + ", " + DAYED.format(src="series") + f""", r1 AS (SELECT event_id, row_number() OVER (ORDER BY md5(event_id || ':42'), event_id) AS rn, {N} AS n FROM series), s1 AS (SELECT event_id, {CUT} FROM r1),
@@ -115,17 +137,31 @@ def strategies(spark, d):
     return wide.select("event_id", "value", "phase", F.inline(pairs))
 
 
-@query("d7_split_shift", STRATS + _distance_sql("SELECT strategy, 'test' AS target, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, value AS v FROM al JOIN series USING (event_id)", "strategy")
-       + f" SELECT strategy, target, {DIST_OUT} " + DIST_FROM.format(k="strategy"))
+PHASE_JS = """, sh AS (SELECT strategy, p.phase, greatest(count(*) FILTER (split = 'train' AND ph.phase = p.phase) / count(*) FILTER (split = 'train')::DOUBLE, 1e-6) AS p,
+ greatest(count(*) FILTER (split = 'test' AND ph.phase = p.phase) / count(*) FILTER (split = 'test')::DOUBLE, 1e-6) AS q FROM al JOIN ph USING (event_id) CROSS JOIN (SELECT unnest(['rise', 'flat', 'fall']) AS phase) p GROUP BY 1, 2),
+sn AS (SELECT strategy, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM sh WINDOW w AS (PARTITION BY strategy)),
+js AS (SELECT strategy, round(sqrt(greatest(sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2, 0)), 6) + 0.0 AS phase_js_distance FROM sn GROUP BY 1)"""
+PHASED_STRATS = PHASE + STRATS.replace("WITH " + I.SERIES, "")
+
+
+@query("d7_split_shift", PHASED_STRATS + PHASE_JS + _distance_sql("SELECT strategy, 'test' AS target, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, value AS v FROM al JOIN series USING (event_id)", "strategy")
+       + f" SELECT strategy, target, {DIST_OUT}, phase_js_distance " + DIST_FROM.format(k="strategy") + " JOIN js USING (strategy)")
 def split_shift(spark, d):
-    r = D.distances(strategies(spark, d), ["strategy"], "value", "split", "train", ["test"])
-    return _distances(r.orderBy(F.col("wasserstein").desc()), ["strategy"])
+    r = D.split_shift(strategies(spark, d), "strategy", "split", "value", "phase")
+    return _distances(r.withColumn("phase_js_distance", I.rounded(F.col("phase_js_distance"))), ["strategy", "phase_js_distance"])
 
 
-@query("d5_phase_js_distance", PHASE + STRATS.replace("WITH " + I.SERIES, "") + """, sh AS (SELECT strategy, p.phase, greatest(count(*) FILTER (split = 'train' AND ph.phase = p.phase) / count(*) FILTER (split = 'train')::DOUBLE, 1e-6) AS p,
- greatest(count(*) FILTER (split = 'test' AND ph.phase = p.phase) / count(*) FILTER (split = 'test')::DOUBLE, 1e-6) AS q FROM al JOIN ph USING (event_id) CROSS JOIN (SELECT unnest(['rise', 'flat', 'fall']) AS phase) p GROUP BY 1, 2),
-sn AS (SELECT strategy, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM sh WINDOW w AS (PARTITION BY strategy))
-SELECT strategy, round(sqrt(greatest(sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2, 0)), 6) + 0.0 AS phase_js_distance FROM sn GROUP BY 1""")
+@query("d7_split_shift_report")
+def split_shift_report(spark, d):
+    """All columns of the report, the distance of the centroids in component space among them."""
+    pc = L.two_components(_scaled(spark, d)).select(F.col("vec_id").alias("_id"), "pc")
+    s = strategies(spark, d)
+    s = s.join(pc, s["event_id"] == pc["_id"], "left").drop("_id")
+    r = D.split_shift(s, "strategy", "split", "value", "phase", "pc").orderBy(F.desc_nulls_last("wasserstein"), "strategy")
+    return _distances(r, ["strategy", "ks_pvalue", "phase_js_distance", "pca_centroid_distance"])
+
+
+@query("d5_phase_js_distance", PHASED_STRATS + PHASE_JS + " SELECT * FROM js")
 def phase_js(spark, d):
     return D.phase_js(strategies(spark, d), ["strategy"], "split", "phase").select("strategy", I.rounded(F.col("phase_js_distance")).alias("phase_js_distance"))
 
@@ -290,11 +326,14 @@ def master_table(spark, d):
 
 @query("a17_diagnostic_summary")
 def summary(spark, d):
-    s = split_days(spark, d)
+    s = materialise(split_days_with_power(spark, d))    # read by every part of the summary
     err = nearest_error(s, I.knots(spark, d), ["exp_id"], "t", "kt", "align_error", ["event_id"])
-    dist = D.shift_report(s, "split", "day", ["value", "v2"], ["value"])
-    shift_ = D.distances(strategies(spark, d), ["strategy"], "value", "split", "train", ["test"])
-    return R.summary_json(err, dist, effects(spark, d), shift_, "exp_id", "value", "phase", "align_error")
+    dist = D.shift_report(s, "split", "day", SHIFT_VARIABLES, DAY_VARIABLES)
+    shift_ = D.split_shift(strategies(spark, d), "strategy", "split", "value", "phase")
+    audit_ = R.audit(I.targets(spark, d), I.knots(spark, d), ["exp_id"], "t", "kt", "y", ["event_id"], ["kid"])
+    days = R.day_summary(s, ["day", "split"], "value", "slope", "spec_total_power")
+    clusters = cluster_report(spark, d).where("kind = 'whole'")
+    return R.summary_json(err, dist, effects(spark, d), shift_, "exp_id", "value", "phase", "align_error", days=days, clusters=clusters, audit_rows=audit_)
 
 
 # ---- components and clusters --------------------------------------------------------
@@ -331,21 +370,34 @@ def silhouette(spark, d):
     return s.select(I.rounded(F.col("silhouette")).alias("silhouette"), "n_rows")
 
 
-@query("j10_pairwise_distance_sample", """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5(vec_id || ':7'), vec_id LIMIT 300),
-p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, a.vec_id = b.vec_id AS self, sqrt(list_distance(a.v, b.v) ** 2 + 1e-12) AS d FROM s a CROSS JOIN s b),
-g AS (SELECT vec_id, la, lb, avg(d) FILTER (NOT self) AS m, count(*) FILTER (NOT self) AS n FROM p GROUP BY 1, 2, 3),
-r AS (SELECT vec_id, coalesce(max(m) FILTER (la = lb AND n > 0), 0) AS a, min(m) FILTER (la <> lb) AS b FROM g GROUP BY 1)
-SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette, count(*) AS n_rows FROM r""")
+@query("j10_pairwise_distance_sample", """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5(vec_id || ':7'), vec_id LIMIT 2000)
+SELECT a.label AS own, b.label AS cluster, count(*)::BIGINT AS n, round(sum(sqrt(list_distance(a.v, b.v) ** 2 + 1e-12)) / count(*), 6) + 0.0 AS mean_distance
+FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY 1, 2""")
 def pairwise(spark, d):
-    s = L.silhouette(I.spectra(spark, d), "vec_id", "power", "label", seed=7, most=300)
-    return s.select(I.rounded(F.col("silhouette")).alias("silhouette"), "n_rows")
+    """Distances of the sample's pairs, summed per pair of labels."""
+    s = L.pair_sums(I.spectra(spark, d), "vec_id", "power", "label", seed=7)
+    t = s.groupBy("own", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+    return t.select("own", "cluster", "n", I.rounded(F.col("total") / F.col("n")).alias("mean_distance"))
+
+
+@query("j10_pairwise_distances", """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.label AS own, b.label AS cluster, count(*)::BIGINT AS n, round(sum(sqrt(list_distance(a.v, b.v) ** 2 + 1e-12)) / count(*), 6) + 0.0 AS mean_distance
+FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY 1, 2""")
+def all_pairs(spark, d):
+    """The same over every row of the table."""
+    t = L.pair_sums(I.spectra(spark, d), "vec_id", "power", "label", most=None).groupBy("own", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return t.where("n > 0").select("own", "cluster", "n", I.rounded(F.col("total") / F.col("n")).alias("mean_distance"))
+
+
+def _clustered(spark, d):
+    """Phased samples with spectrum, label, slope and alignment error as features."""
+    err = nearest_error(master(spark, d), I.knots(spark, d), ["exp_id"], "t", "kt", "align_error", ["event_id"])
+    return L.cluster_features(err.withColumn("align_error", F.coalesce("align_error", F.lit(0.0))), I.BINS, ["smooth", "slope", "align_error"])
 
 
 @query("d12_cluster_report")
 def cluster_report(spark, d):
-    m = master(spark, d)
-    k = L.kmeans(L.cluster_features(m, I.BINS, ["smooth", "slope"]), 4)
-    return D.crosstab(k, "cluster", "phase", D.PHASES)
+    return L.cluster_report(_clustered(spark, d), "event_id", "phase", "exp_id")
 
 
 # ---- unions and set operations --------------------------------------------------------
