@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoband.functions import arrays as A
 from chronoband.functions import clinical as C
-from chronoband.operators.ordered import attach, group_sizes, indexed, quantiles
+from chronoband.operators.ordered import attach, column_quantiles, group_sizes, indexed
 
 TINY = 1e-8
 
@@ -19,19 +19,14 @@ def regression(df: DataFrame, keys: Sequence[str] = (), true: str = "y_true", pr
     d = df.withColumn("_e", F.col(pred) - F.col(true)).withColumn("_a", F.abs("_e"))
     peak = group_sizes(d, keys)[0]
     y, e, a = F.col(true), F.col("_e"), F.col("_a")
-    base = d.groupBy(*keys).agg(
-        F.avg("_a").alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        (1 - F.avg(e * e) / F.when(F.var_pop(true) > 0, F.var_pop(true))).alias("r2"),
-        F.corr(true, pred).alias("pearson_corr"),
-        (F.avg(F.abs(e / (y + TINY))) * 100).alias("mape"),
-        (F.avg(a / (F.abs(y) + TINY)) * 100).alias("mape_abs"),
-        F.avg("_e").alias("mean_error"), F.stddev_pop("_e").alias("std_error"),
-        F.max("_a").alias("max_error"), F.min("_a").alias("min_error"),
-        F.count(F.lit(1)).alias("n_samples"))
-    q1 = quantiles(d, keys, "_e", [0.5], "_q", peak).select(*keys, F.col("_q")[0].alias("median_error"))
-    q2 = quantiles(d, keys, "_a", [0.25, 0.5, 0.75, 0.95], "_q", peak).select(
-        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(("q25_error", "q50_error", "q75_error", "q95_error"))])
-    return attach(attach(base, q1, keys), q2, keys)
+    also = {
+        "mae": F.avg("_a"), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)),
+        "r2": 1 - F.avg(e * e) / F.when(F.var_pop(true) > 0, F.var_pop(true)), "pearson_corr": F.corr(true, pred),
+        "mape": F.avg(F.abs(e / (y + TINY))) * 100, "mape_abs": F.avg(a / (F.abs(y) + TINY)) * 100,
+        "mean_error": F.avg("_e"), "std_error": F.stddev_pop("_e"), "max_error": F.max("_a"), "min_error": F.min("_a"),
+        "n_samples": F.count(F.lit(1))}
+    wanted = {"median_error": ("_e", 0.5), "q25_error": ("_a", 0.25), "q50_error": ("_a", 0.5), "q75_error": ("_a", 0.75), "q95_error": ("_a", 0.95)}
+    return column_quantiles(d, keys, wanted, peak, also)
 
 
 def with_zone(df: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:

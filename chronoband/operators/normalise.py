@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoband.functions import arrays as A
 from chronoband.functions import fusion as U
-from chronoband.operators.ordered import attach, indexed, matched, quantiles
+from chronoband.operators.ordered import attach, column_quantiles, indexed, matched
 
 SCALERS = ("standard", "minmax", "robust")
 
@@ -57,12 +57,12 @@ def scale_columns(df: DataFrame, columns: Sequence[str], how: str, fit_on: Colum
         raise ValueError(f"unknown scaler: {how}")
     base = df.filter(fit_on) if fit_on is not None else df
     if how == "robust":
+        marks = {f"_{tag}_{c}": (c, p) for c in columns for tag, p in (("a", 0.25), ("m", 0.5), ("b", 0.75))}
+        d = attach(df, column_quantiles(base, [], marks), [])
         for c in columns:
-            q = quantiles(base, [], c, [0.25, 0.5, 0.75], "_q")
-            df = attach(df, q, [])
-            span = F.col("_q")[2] - F.col("_q")[0]
-            df = df.withColumn(c, (F.col(c) - F.col("_q")[1]) / F.when(span == 0, 1.0).otherwise(span)).drop("_q")
-        return df
+            span = F.col(f"_b_{c}") - F.col(f"_a_{c}")
+            d = d.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(span == 0, 1.0).otherwise(span))
+        return d.drop(*marks)
     aggs = []
     for c in columns:
         if how == "standard":

@@ -261,9 +261,39 @@ def quantiles(df: DataFrame, group: Sequence[str], value: Column | str, probs: S
     return picked.select(*group, F.array(*vals).alias(out))
 
 
+def column_quantiles(df: DataFrame, group: Sequence[str], wanted: Mapping[str, tuple[Column | str, float]], peak: int | None = None,
+                     also: Mapping[str, Column] | None = None) -> DataFrame:
+    """Exact quantiles of many columns: one row per group with a column per name, and the aggregates ``also``.
+
+    Small groups take one aggregation, so one exchange for all columns and
+    probabilities.  For a large group the cells are put in one long table
+    (group, column, value) that is collapsed to counts and sorted once.
+    """
+    group, also = list(group), dict(also or {})
+    columns: list[Column | str] = []
+    places = {}
+    for name, (c, p) in wanted.items():
+        at = next((k for k, x in enumerate(columns) if x is c or isinstance(c, str) and isinstance(x, str) and x == c), None)
+        if at is None:
+            at = len(columns)
+            columns.append(c)
+        places[name] = (at, float(p))
+    probs = [[p for k, p in places.values() if k == at] for at in range(len(columns))]
+    values = [_as_column(c).cast("double") for c in columns]
+    if is_small(df, group, peak):
+        arrays = [F.percentile(v, F.array(*[F.lit(p) for p in ps])).alias(f"_q{at}") for at, (v, ps) in enumerate(zip(values, probs, strict=True))]
+        d = df.groupBy(*group).agg(*[c.alias(n) for n, c in also.items()], *arrays)
+        return d.select(*group, *also, *[F.col(f"_q{at}")[probs[at].index(p)].alias(n) for n, (at, p) in places.items()])
+    cells = df.select(*group, F.inline(F.array(*[F.struct(F.lit(at).alias("_col"), v.alias("_x")) for at, v in enumerate(values)])))
+    every = sorted({p for ps in probs for p in ps})
+    found = quantiles(cells, [*group, "_col"], "_x", every)
+    wide = found.groupBy(*group).agg(*[F.max(F.when(F.col("_col") == at, F.col("q")[every.index(p)])).alias(n) for n, (at, p) in places.items()])
+    if not also:
+        return wide
+    return attach(df.groupBy(*group).agg(*[c.alias(n) for n, c in also.items()]), wide, group)
+
+
 def with_quantiles(df: DataFrame, group: Sequence[str], value: Column | str, names: Mapping[str, float],
                    peak: int | None = None) -> DataFrame:
     """Per-group quantiles as named columns on every row."""
-    q = quantiles(df, group, value, list(names.values()), "_q", peak)
-    q = q.select(*group, *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
-    return attach(df, q, list(group))
+    return attach(df, column_quantiles(df, group, {k: (value, p) for k, p in names.items()}, peak), list(group))

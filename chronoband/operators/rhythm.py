@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoband.operators.ordered import attach, framed, group_sizes, indexed, quantiles, scanned
+from chronoband.operators.ordered import attach, column_quantiles, framed, group_sizes, indexed, quantiles, scanned
 from chronoband.operators.smooth import centred_median
 
 PHASES = ("rise", "flat", "fall")
@@ -145,7 +145,6 @@ def without_bias(df, group, values: Sequence[str], suffix="_centred", peak=None)
     """Value minus the median of its axis."""
     if peak is None:
         peak = group_sizes(df, group)[0]
-    for v in values:
-        q = quantiles(df, group, v, [0.5], "_q", peak)
-        df = attach(df, q, group).withColumn(v + suffix, F.col(v) - F.col("_q")[0]).drop("_q")
-    return df
+    middle = column_quantiles(df, group, {f"_m_{v}": (v, 0.5) for v in values}, peak)
+    d = attach(df, middle, list(group))
+    return d.select(*df.columns, *[(F.col(v) - F.col(f"_m_{v}")).alias(v + suffix) for v in values])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoband.operators.ordered import attach, group_sizes, indexed, quantiles
+from chronoband.operators.ordered import attach, column_quantiles, indexed, quantiles
 
 # fixed values: converter counts at which the pulse signal clips
 CLIP_LOW, CLIP_HIGH = 2, 4093
@@ -28,18 +28,8 @@ def _sample_std(c: str | Column) -> Column:
 
 def _per_bucket(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
                 ranks: Mapping[str, tuple[str, float]]) -> DataFrame:
-    peak = group_sizes(df, keys)[0]
-    out = df.groupBy(*keys).agg(*[c.alias(k) for k, c in aggs.items()])
-    by_column: dict[str, dict[str, float]] = {}
-    for name, (column, p) in ranks.items():
-        by_column.setdefault(column, {})[name] = p
-    for column, wanted in by_column.items():
-        q = quantiles(df, keys, column, list(wanted.values()), "_q", peak)
-        out = attach(out, q, keys)
-        for i, name in enumerate(wanted):
-            out = out.withColumn(name, F.coalesce(F.col("_q")[i], F.lit(0.0)))
-        out = out.drop("_q")
-    return out
+    out = column_quantiles(df, keys, ranks, also=aggs)
+    return out.select(*[c if c not in ranks else F.coalesce(c, F.lit(0.0)).alias(c) for c in out.columns])
 
 
 def ppg_features(df: DataFrame, keys: Sequence[str]) -> DataFrame:
