@@ -423,7 +423,7 @@ NUM2 = "((o_orderkey % 9 + 1)::DOUBLE + round((o_orderkey * 3 % 100) / 100.0, 2)
 @query("g1_log_metrics", f"""SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 > 0 THEN {NUM} END, 2) AS mae, round(CASE WHEN o_orderkey % 3 > 0 THEN {NUM2} END, 2) AS rmse,
  round(CASE WHEN o_orderkey % 3 = 0 THEN {NUM} END, 2) AS mean_mae, CASE WHEN o_orderkey % 3 = 0 THEN 0.5::DOUBLE END AS mean_r2, round({NUM}, 2) AS best_mae, 4::BIGINT AS best_epoch, round({NUM2}, 2) AS best_rmse FROM orders""")
 def log_metrics(spark, d):
-    x = logs(spark, d).select("o_orderkey", G.log_metrics(F.col("text")).alias("m"), G.best_test_marker(F.col("text")).alias("b"))
+    x = G.log_report(logs(spark, d), "text", "m", "b")
     return x.select("o_orderkey", F.col("m.MAE").alias("mae"), F.col("m.RMSE").alias("rmse"), F.col("m.Mean_MAE").alias("mean_mae"),
                     F.col("m.Mean_R2").alias("mean_r2"), F.col("b.mae").alias("best_mae"), F.col("b.epoch").alias("best_epoch"), F.col("b.rmse").alias("best_rmse"))
 

@@ -30,6 +30,10 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("v")).first()["v"]
 
 
+def report(spark, text):
+    return runs.log_report(spark.createDataFrame([(text,)], "text string"), "text").first()
+
+
 def test_names(spark):
     names = ["11201828_u1", "11141404_u1", "11211057_u1", "bad"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
@@ -255,19 +259,19 @@ def test_history_slope(spark):
 
 def test_run_mining(spark):
     text = "Test RMSE: 1.5\nTest MAE: 0.9\nval MAE = 3\n"
-    m = one(spark, runs.log_metrics(F.lit(text)))
+    m = report(spark, text)["metrics"]
     assert (m["RMSE"], m["MAE"], m["Mean_MAE"]) == (1.5, 0.9, None)
     assert one(spark, runs.metric_values(F.lit(text), "mae", "test")) == [0.9]
     assert one(spark, runs.metric_values(F.lit(text), "mae")) == [0.9, 3.0]
     odd = "Test RMSE: 0.93.\nTest MAE: nan\nTest MAE is 2,\nval/mae=1e-1 (test mae 4)\nTest R²: x\nMean of all RMSE: 9"
-    m = one(spark, runs.log_metrics(F.lit(odd)))
+    m = report(spark, odd)["metrics"]
     assert (m["RMSE"], m["MAE"], m["R2"], m["Mean_RMSE"]) == (0.93, 2.0, None, None)
     assert one(spark, runs.metric_values(F.lit(odd), "mae")) == [2.0, 0.1, 4.0]
     assert one(spark, runs.metric_values(F.lit(odd), "mae", "val")) == [0.1]
-    assert one(spark, runs.log_metrics(F.lit("Mean RMSE: 3 MAE: 2. R²: .5")))["Mean_R2"] == 0.5
+    assert report(spark, "Mean RMSE: 3 MAE: 2. R²: .5")["metrics"]["Mean_R2"] == 0.5
     marker = "best_test_mae: 1.\nBEST_TEST_EPOCH: 7\nnote 3\nBEST_TEST_RMSE: 2e0\nBEST_TEST_LOSS: 4\nBEST_TEST_MAE: 9\n"
-    assert tuple(one(spark, runs.best_test_marker(F.lit(marker)))) == (1.0, 7, 2.0, 4.0)
-    assert one(spark, runs.best_test_marker(F.lit("BEST_TEST_MAE: x"))) is None
+    assert tuple(report(spark, marker)["best"]) == (1.0, 7, 2.0, 4.0)
+    assert report(spark, "BEST_TEST_MAE: x")["best"] is None
     assert one(spark, runs.objective(A.literal([3, 1, 2]), "huber")) == 1 and one(spark, runs.objective(A.literal([3, 1, 2]), "r_2")) == 3
     cmd = spark.createDataFrame([("python main.py --model tcn --mode window --window_duration 30 --data_fusion --fusion_stage late "
                                   "--fusion_method_late gated_residual --aux_override --aux_override_value 0.5 --no_attention --epochs 9",)], "c string")
