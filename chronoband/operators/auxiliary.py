@@ -20,6 +20,9 @@ from chronoband.operators.outliers import filled
 from chronoband.operators.rhythm import without_bias
 
 MODES = ("raw", "engineered", "both", "segment_raw")
+MOTIONS = ("raw", "processed", "both")
+# fixed values: slots a second has for each column
+PULSE_SLOTS, MOTION_SLOTS = 256, 128
 MOTION_AXES = ("acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z")
 
 
@@ -84,9 +87,12 @@ def standard_sensors(tables: Mapping[str, DataFrame], group: Sequence[str], ts:
     """Sensors in their fixed feature order for the given modes.
 
     ``tables``: environment, pulse, skin, motion; absent ones are left out.
+    Segments are no sensors on a clock: see ``aligned_auxiliary``.
     """
-    if mode not in MODES:
-        raise ValueError(f"unknown aux feature mode: {mode}")
+    if mode not in MODES or mode == "segment_raw":
+        raise ValueError(f"no sensors for the aux feature mode: {mode}")
+    if motion not in MOTIONS:
+        raise ValueError(f"unknown motion features: {motion}")
     out: list[Sensor] = []
     if "environment" in tables:
         out.append(Sensor(tables["environment"], ts, {c: f"bme_{c}" for c in ("temperature_c", "pressure_hpa", "humidity_pct")}))
@@ -113,6 +119,58 @@ def standard_sensors(tables: Mapping[str, DataFrame], group: Sequence[str], ts:
     return out
 
 
+def scaled_arrays(df: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+    """Every place of an array column to its z-score in the group; only centred where the deviation is below 1e-8.
+
+    The arrays of a column have one length and no nulls.  Their cells are only
+    aggregated; rows keep their arrays.
+    """
+    d, group = df, list(group)
+    for a in arrays:
+        cells = df.select(*group, F.posexplode(a).alias("_i", "_x")).groupBy(*group, "_i").agg(F.avg("_x").alias("_mu"), F.stddev_pop("_x").alias("_sd"))
+        stats = cells.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", "_mu", "_sd"))).alias("_z"))
+        d = attach(d, stats, group)
+        z = F.transform(a, lambda x, i: (x - F.get("_z", i)["_mu"]) / F.when(F.get("_z", i)["_sd"] > 1e-8, F.get("_z", i)["_sd"]).otherwise(1.0))
+        d = d.withColumn(a, z).drop("_z")
+    return d
+
+
+def segment_features(targets: DataFrame, tables: Mapping[str, DataFrame], group: Sequence[str], ts: str, order: Sequence[str],
+                     pulse_slots: int = PULSE_SLOTS, motion_slots: int = MOTION_SLOTS, normalise: bool = True) -> DataFrame:
+    """The raw values of each target's own second as arrays of fixed length, ``ppg_<column>_seg`` and ``icm_<column>_seg``.
+
+    Pulse and motion only.  A second without values has zeros; one with more
+    than the slots is picked evenly.  Columns a table lacks are left out.
+    ``order`` is the order inside a second, columns of the sensor tables.
+    """
+    d, made, group = targets.withColumn("_second", F.floor(ts).cast("long")), [], list(group)
+    pulse, imu = tables.get("pulse"), tables.get("motion")
+    kinds = []
+    if pulse is not None:
+        kinds.append((pulse, "ppg", ["raw"] if "raw" in pulse.columns else [c for c in ("red", "ir") if c in pulse.columns], pulse_slots))
+    if imu is not None:
+        kinds.append((imu, "icm", [c for c in MOTION_AXES if c in imu.columns], motion_slots))
+    for table, prefix, columns, slots in kinds:
+        if not columns:
+            continue
+        keys = [*group, "_second"]
+        s = seconds.raw_slots(table.withColumn("_second", F.floor(ts).cast("long")), keys, order, columns, slots, prefix)
+        d = attach(d, s, keys)
+        for c in columns:
+            made.append(f"{prefix}_{c}_seg")
+            d = d.withColumn(made[-1], F.coalesce(f"{prefix}_{c}", F.array_repeat(F.lit(0.0), slots))).drop(f"{prefix}_{c}")
+    d = d.drop("_second")
+    return scaled_arrays(d, group, made) if normalise else d
+
+
+def aligned_auxiliary(targets: DataFrame, tables: Mapping[str, DataFrame], group: Sequence[str], ts: str, tie: Sequence[str], mode: str = "raw",
+                      motion: str = "raw", method: str = "pchip", normalise: bool = True, order: Sequence[str] | None = None) -> DataFrame:
+    """Auxiliary features of every target in one of the ``MODES``: a column per feature, or an array per column of segments."""
+    if mode == "segment_raw":
+        return segment_features(targets, tables, group, ts, order or [ts], normalise=normalise)
+    return align_sensors(targets, standard_sensors(tables, group, ts, mode, motion), group, ts, tie, method, normalise)
+
+
 def join_raw_slots(targets: DataFrame, raw: DataFrame, group: Sequence[str], ts: str, order: Sequence, value: str,
                    slots: int, out: str) -> DataFrame:
     """Raw values of the target's own second in fixed slots; zeros when it has none."""

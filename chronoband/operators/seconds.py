@@ -57,9 +57,15 @@ def imu_features(df: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
     )
 
 
-def raw_slots(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, slots: int, out: str = "slots") -> DataFrame:
+def raw_slots(df: DataFrame, keys: Sequence[str], order: Sequence, value: str | Sequence[str], slots: int, out: str = "slots") -> DataFrame:
     """Fixed number of raw values per bucket: all of them, zero-filled, or an even
-    pick when there are more.  Only picked rows are gathered."""
+    pick when there are more.  Only picked rows are gathered.
+
+    Several values are picked alike in one pass; their arrays are named
+    ``out_value``.
+    """
+    several = not isinstance(value, str)
+    names = {v: f"{out}_{v}" if several else out for v in (value if several else [value])}
     d = indexed(df, keys, order, "_rn", "_n")
     p, n = F.col("_rn") - 1, F.col("_n")
     step = (n - 1) / F.lit(slots - 1)
@@ -71,7 +77,11 @@ def raw_slots(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, s
     picked = F.when(n <= slots, p).when(p == n - 1, F.lit(slots - 1).cast("long")).when(
         lands(near), near).when(lands(near + 1), near + 1)
     d = d.withColumn("_slot", picked).filter(F.col("_slot").isNotNull())
-    cells = F.map_from_entries(F.collect_list(F.struct("_slot", F.coalesce(F.col(value), F.lit(0.0)).alias("v"))))
+    cells = F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(*[
+        F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"v{k}") for k, v in enumerate(names)]).alias("v"))))
     d = d.groupBy(*keys).agg(cells.alias("_m"))
-    return d.select(*keys, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")),
-                                       lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias(out))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
+
+    def filled(k: int) -> Column:
+        return F.transform(places, lambda i: F.coalesce(F.col("_m")[i][f"v{k}"], F.lit(0.0)))
+    return d.select(*keys, *[filled(k).alias(o) for k, o in enumerate(names.values())])

@@ -9,6 +9,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from chronoband.functions import arrays as A
 from chronoband.functions import timekeys as K
 from chronoband.operators import auxiliary as X
 from chronoband.operators import models as ML
@@ -403,6 +404,67 @@ def aux_pchip(spark, d):
     return out.select("event_id", *[I.rounded(F.col(c), 5).alias(c) for c in ("f_a", "f_b")])
 
 
+def aux_tables(spark, d):
+    """The events as four sensors whose second is a day, so that a second has several samples."""
+    s = I.series(spark, d).withColumn("ts", F.col("t") / 24)
+    of = lambda kind, **columns: s.filter(F.col("event_type") == kind).select("exp_id", "ts", "event_id", *[c.alias(k) for k, c in columns.items()])
+    v = F.col("value")
+    return s.filter("event_type = 'view'").select("event_id", "exp_id", "us", "ts"), {
+        "environment": of("purchase", temperature_c=v, pressure_hpa=v * 2 + 1, humidity_pct=v / 4),
+        "pulse": of("click", raw=v, filter=v / 3, hr=v, hrv=v + 5, peak=F.col("event_id") % 2),
+        "skin": of("signup", temperature_c=v),
+        "motion": of("error", acc_x=v, acc_y=v + 1, acc_z=v * 2, gyr_x=v - 3, gyr_y=v / 2, gyr_z=v * 3)}
+
+
+MODE_FEATURES = {
+    "raw": {"bme_temperature_c": "pu", "bme_pressure_hpa": "pu", "bme_humidity_pct": "pu", "ppg_raw": "cl", "t117_temperature_c": "si",
+            **{f"icm_{a}": "er" for a in X.MOTION_AXES}},
+}
+
+
+@query("i9_mode_raw", f"WITH {I.SERIES}, {I.TARGETS}, {_pair('purchase', 'pu')}, {_pair('click', 'cl')}, {_pair('signup', 'si')}, {_pair('error', 'er')}, "
+       + "w AS (SELECT pu.event_id, pu.exp_id, pu.t, pu.v AS pu, cl.v AS cl, si.v AS si, er.v AS er FROM pu JOIN cl USING (event_id) JOIN si USING (event_id) JOIN er USING (event_id)), "
+       + f"f AS (SELECT event_id, exp_id, {', '.join(_FILL.format(c=c) for c in ('pu', 'cl', 'si', 'er'))} FROM w), "
+       + "z AS (SELECT event_id, " + ", ".join(f"round(({c} - avg({c}) OVER p) / CASE WHEN stddev_pop({c}) OVER p > 1e-8 THEN stddev_pop({c}) OVER p ELSE 1 END, 5) + 0.0 AS {c}" for c in ("pu", "cl", "si", "er")) + " FROM f WINDOW p AS (PARTITION BY exp_id)) "
+       + "SELECT event_id, " + ", ".join(f"{v} AS {k}" for k, v in MODE_FEATURES["raw"].items()) + " FROM z")
+def aux_raw(spark, d):
+    """Affine copies of a channel have its z-scores, which is what the SQL says."""
+    targets, tables = aux_tables(spark, d)
+    out = X.aligned_auxiliary(targets, tables, ["exp_id"], "ts", ["event_id"], "raw", method="linear")
+    return out.select("event_id", *[I.rounded(F.col(c), 5).alias(c) for c in MODE_FEATURES["raw"]])
+
+
+def _mode(mode, motion):
+    def run(spark, d):
+        targets, tables = aux_tables(spark, d)
+        out = X.aligned_auxiliary(targets, tables, ["exp_id"], "ts", ["event_id"], mode, motion, "linear")
+        return out.select("event_id", *[I.rounded(F.col(c), 5).alias(c) for c in out.columns if c not in targets.columns])
+    return run
+
+
+query("i9_mode_engineered")(_mode("engineered", "raw"))
+query("i9_mode_both")(_mode("both", "both"))
+SEGMENTS = ["ppg_raw", *[f"icm_{a}" for a in X.MOTION_AXES]]
+
+
+@query("i9_mode_segment_raw", f"""WITH {I.SERIES}, {I.TARGETS}, raw AS (SELECT exp_id, event_id, t / 24 AS ts, value AS v, event_type FROM series),
+x AS (SELECT exp_id, event_id, ts, unnest(CASE event_type WHEN 'click' THEN [{{'feature': 'ppg_raw', 'v': v}}] WHEN 'error' THEN [{{'feature': 'icm_acc_x', 'v': v}}, {{'feature': 'icm_acc_y', 'v': v + 1}}, {{'feature': 'icm_acc_z', 'v': v * 2}},
+  {{'feature': 'icm_gyr_x', 'v': v - 3}}, {{'feature': 'icm_gyr_y', 'v': v / 2}}, {{'feature': 'icm_gyr_z', 'v': v * 3}}] END, recursive := true) FROM raw WHERE event_type IN ('click', 'error')),
+l AS (SELECT exp_id, feature, floor(ts)::BIGINT AS sec, list(v ORDER BY ts, event_id) AS l FROM x GROUP BY ALL),
+g AS (SELECT t.event_id, t.exp_id, f.feature, s.slot, coalesce(l.l[s.slot + 1], 0) AS v FROM targets t CROSS JOIN (SELECT unnest({SEGMENTS}) AS feature) f CROSS JOIN (SELECT unnest(range(0, 64)) AS slot) s
+  LEFT JOIN l ON l.exp_id = t.exp_id AND l.feature = f.feature AND l.sec = floor(t.t / 24)::BIGINT),
+z AS (SELECT event_id, feature, slot, (v - avg(v) OVER p) / CASE WHEN stddev_pop(v) OVER p > 1e-8 THEN stddev_pop(v) OVER p ELSE 1 END AS z FROM g WINDOW p AS (PARTITION BY exp_id, feature, slot))
+SELECT event_id, feature, round(sum(z * (slot + 1)), 4) + 0.0 AS weighted, round(max(z), 4) + 0.0 AS highest FROM z GROUP BY 1, 2""")
+def aux_segments(spark, d):
+    """256 pulse and 128 motion slots per column; all are summed, those no second fills are nought."""
+    targets, tables = aux_tables(spark, d)
+    out = X.aligned_auxiliary(targets, tables, ["exp_id"], "ts", ["event_id"], "segment_raw", order=["ts", "event_id"])
+    parts = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"{n}_seg").alias("x")) for n in SEGMENTS])
+    x = out.select("event_id", F.inline(parts))
+    total = A.total(F.transform("x", lambda v, i: v * (i + 1)))
+    return x.select("event_id", "feature", I.rounded(total, 4).alias("weighted"), I.rounded(F.array_max("x"), 4).alias("highest"))
+
+
 # ---- logs and commands -----------------------------------------------------------------
 
 def logs(spark, d):
