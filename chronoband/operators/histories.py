@@ -62,19 +62,20 @@ def window_index(df: DataFrame, group: Sequence[str], order: Sequence, width: in
 
 def time_windows(df: DataFrame, group: Sequence[str], us: str, value: str, label: str, reach_us: int,
                  step_us: int | None = None, padding: str = "drop", zero: float = 0.0,
-                 peak: int | None = None) -> DataFrame:
+                 peak: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Values and labels of ``[t - reach, t)``, all at one length.
 
     With ``step_us`` the window is read at ``t - reach, t - reach + step, ...``
     (nearest sample).  Only empty windows count as missing; the others are cut
     to the newest values or padded with their own first one.  An empty window
     is padded instead of dropped when asked, with the padded label history.
+    ``tie`` orders rows of one time: it says which is a group's first.
     """
     _check(padding)
     if peak is None:
         peak = group_sizes(df, group)[0]
     keep = F.struct(F.col(us).alias("us"), F.col(value).alias("v"), F.col(label).alias("y"))
-    d = indexed(df, group, [us], "_pos", "_size", peak)
+    d = indexed(df, group, [us, *tie], "_pos", "_size", peak)
     if padding in ("repeat", "edge"):
         d = _first_of_group(d, group, value)
         y0 = d.filter(F.col("_pos") == 1).select(*group, F.col(label).alias("_edge_y"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -18,17 +19,49 @@ from chronoband.session import materialise
 MODELS = ("linear", "gbt")
 
 
-def train_and_score(df: DataFrame, features: str, label: str, split: str = "split", model: str = "linear", seed: int = 42) -> DataFrame:
-    """Fit on train, predict every row (``y_pred``)."""
-    d = df.withColumn("_v", array_to_vector(F.col(features)))
+def _estimator(model: str, label: str, seed: int):
     common = dict(featuresCol="_v", labelCol=label, predictionCol="y_pred")
     if model == "linear":
-        est = LinearRegression(regParam=1e-6, solver="normal", **common)
-    elif model == "gbt":
-        est = GBTRegressor(maxIter=10, maxDepth=4, seed=seed, **common)
-    else:
-        raise ValueError(f"unknown model: {model}")
-    return est.fit(d.filter(F.col(split) == "train")).transform(d).drop("_v")
+        return LinearRegression(regParam=1e-6, solver="normal", **common)
+    if model == "gbt":
+        return GBTRegressor(maxIter=10, maxDepth=4, seed=seed, **common)
+    raise ValueError(f"unknown model: {model}")
+
+
+def fitted(df: DataFrame, features: str, label: str, split: str = "split", model: str = "linear", seed: int = 42, path: str | None = None) -> PipelineModel:
+    """A pipeline fitted on the train rows that have features and a label; stored at ``path`` if one is given."""
+    train = df.filter((F.col(split) == "train") & F.col(features).isNotNull() & F.col(label).isNotNull())
+    made = Pipeline(stages=[_estimator(model, label, seed)]).fit(train.withColumn("_v", array_to_vector(F.col(features))))
+    if path is not None:
+        made.write().overwrite().save(path)
+    return made
+
+
+def scored(df: DataFrame, features: str, model: PipelineModel) -> DataFrame:
+    """``df`` with ``y_pred``; null where features are."""
+    width = next(s.numFeatures for s in model.stages if hasattr(s, "numFeatures"))
+    whole = F.coalesce(F.col(features).cast("array<double>"), F.array_repeat(F.lit(0.0), width))
+    out = model.transform(df.withColumn("_v", array_to_vector(whole))).drop("_v")
+    return out.withColumn("y_pred", F.when(F.col(features).isNotNull(), F.col("y_pred")))
+
+
+def train_and_score(df: DataFrame, features: str, label: str, split: str = "split", model: str = "linear", seed: int = 42) -> DataFrame:
+    """Fit on train, predict every row (``y_pred``)."""
+    return scored(df, features, fitted(df, features, label, split, model, seed))
+
+
+def compared(df: DataFrame, features: str, label: str, split: str = "split", models: Sequence[str] = MODELS, seed: int = 42, folder: str | None = None) -> DataFrame:
+    """Every model's prediction of every row: the rows of ``df`` once per model, with ``model`` and ``y_pred``.
+
+    Models are stored under ``folder`` and read back where one is given.
+    """
+    d, out = materialise(df), None      # read by every fit and every prediction
+    for m in models:
+        path = None if folder is None else f"{folder}/{m}"
+        made = fitted(d, features, label, split, m, seed, path)
+        rows = scored(d, features, made if path is None else PipelineModel.load(path)).withColumn("model", F.lit(m))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _with_past(df: DataFrame, keys: list[str], order: Sequence, label: str, n_history: int, peak: int) -> DataFrame:

@@ -73,7 +73,7 @@ b AS (SELECT g.*, s.us AS bus, s.value AS bv FROM g JOIN series s ON s.exp_id =
 @query("l6_time_window_grid", TW.format(grid=f"i AS pos, a.us - {3 * DAY} + i * {DAY // 2} AS gt", cross="CROSS JOIN generate_series(0, 5) AS q(i)")
        + " SELECT event_id, pos, round(arg_min(bv, abs(bus - gt) * 2 + CASE WHEN bus > gt THEN 1 ELSE 0 END), 6) + 0.0 AS v FROM b GROUP BY 1, 2")
 def time_grid(spark, d):
-    return _cells(H.time_windows(I.series(spark, d), EXP, "us", "value", "value", 3 * DAY, DAY // 2))
+    return _cells(H.time_windows(I.series(spark, d), EXP, "us", "value", "value", 3 * DAY, DAY // 2, tie=["event_id"]))
 
 
 @query("l6_time_window_padded", SER + f""", b AS (SELECT a.event_id, s.us AS bus, s.value AS bv, row_number() OVER (PARTITION BY a.event_id ORDER BY s.us DESC) AS back,
@@ -81,7 +81,7 @@ def time_grid(spark, d):
 w AS (SELECT max(m) AS width FROM b), p AS (SELECT unnest(range(width)) AS pos, width FROM w), e AS (SELECT DISTINCT event_id, m FROM b)
 SELECT e.event_id, p.pos, round(b.bv, 6) + 0.0 AS v FROM e CROSS JOIN p JOIN b ON b.event_id = e.event_id AND b.back = least(width - pos, e.m)""")
 def time_padded(spark, d):
-    return _cells(H.time_windows(I.series(spark, d), EXP, "us", "value", "value", DAY))
+    return _cells(H.time_windows(I.series(spark, d), EXP, "us", "value", "value", DAY, tie=["event_id"]))
 
 
 @query("l7_rf_image_index", SER + f""", f AS (SELECT exp_id, min(us) AS t0 FROM series GROUP BY 1)
@@ -131,7 +131,7 @@ def history_current(spark, d):
 @query("l9_history_from_window", TW.format(grid=f"i AS pos, a.us - {3 * DAY} + i * {DAY // 2} AS gt", cross="CROSS JOIN generate_series(0, 5) AS q(i)")
        + """ SELECT event_id, pos - 2 AS pos, round(arg_min(bv, abs(bus - gt) * 2 + CASE WHEN bus > gt THEN 1 ELSE 0 END), 6) + 0.0 AS v FROM b WHERE pos BETWEEN 2 AND 4 GROUP BY event_id, pos""")
 def history_window(spark, d):
-    x = H.time_windows(I.series(spark, d), EXP, "us", "value", "value", 3 * DAY, DAY // 2)
+    x = H.time_windows(I.series(spark, d), EXP, "us", "value", "value", 3 * DAY, DAY // 2, tie=["event_id"])
     return _cells(x.withColumn("h", H.history_from_window(F.col("label_history"), 3)), "h")
 
 

@@ -242,6 +242,32 @@ def profile(spark, d):
     return S.profile({t: I.table(spark, d, t) for t in PROFILED}).select("table", "n_rows", "n_columns")
 
 
+KEYS = {"customer": ["c_custkey"], "events": ["event_id"], "lineitem": ["l_orderkey", "l_linenumber"], "nation": ["n_nationkey"], "orders": ["o_orderkey"], "part": ["p_partkey"]}
+TYPED = {"events": [("event_id", True), ("event_type", False), ("value", True)], "nation": [("n_nationkey", True), ("n_name", False)], "customer": [("c_custkey", True), ("c_acctbal", True), ("c_mktsegment", False)]}
+
+
+@query("s17_column_profile", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", (SELECT count(*) FROM {t} WHERE {c} IS NULL) AS n_null, (SELECT min({c})::VARCHAR FROM {t}) AS lowest, (SELECT max({c})::VARCHAR FROM {t}) AS highest"
+    for t, cs in TYPED.items() for c, number in cs if not number))
+def column_profile(spark, d):
+    """The exact parts for text columns; distinct counts and medians are sketches and stand in ``s17_column_sketches``."""
+    p = S.column_profiles({t: I.table(spark, d, t).select(*[c for c, _ in TYPED[t]]) for t in TYPED}, {t: KEYS[t] for t in TYPED})
+    return p.where("median IS NULL").select("table", "column", "n_null", "lowest", "highest")
+
+
+@query("s17_column_sketches")
+def column_sketches(spark, d):
+    return S.column_profiles({t: I.table(spark, d, t) for t in PROFILED}, KEYS)
+
+
+@query("s17_decoded_preview", """WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: round((x::DOUBLE + 1) * 1000)::INT) AS p FROM embeddings ORDER BY vec_id LIMIT 50)
+SELECT vec_id, len(p)::BIGINT AS "count", len(p) * 4 AS data_len, 'i4' AS dtype, i - 1 AS place, p[i]::DOUBLE AS value FROM (SELECT *, unnest(range(1, 11)) AS i FROM h)""")
+def decoded_preview(spark, d):
+    """The first ten values of the blobs in the head of a table."""
+    x = S.decoded_preview(_hex(spark, d).withColumn("count", F.col("count").cast("long")), "data", "count", ["vec_id"], 50, 10)
+    return x.select("vec_id", "count", F.col("data_len").cast("long").alias("data_len"), "dtype", F.posexplode("preview").alias("place", "value")).withColumn("place", F.col("place").cast("long"))
+
+
 @query("s16_table_roles", "SELECT 'raw_ppg' AS \"table\", 'pulse' AS role, 'ts' AS time_column, (SELECT count(*) FROM events WHERE event_type = 'click') AS n_rows UNION ALL SELECT 'env_bme', 'environment', 'Time', (SELECT count(*) FROM events WHERE event_type = 'view')")
 def roles(spark, d):
     e = I.table(spark, d, "events")
@@ -536,11 +562,19 @@ def objective(spark, d):
 
 # ---- models --------------------------------------------------------------------------
 
+def _baselines(spark, d):
+    s = I.spectra(spark, d).withColumn("y", F.col("label").cast("double"))
+    return ML.compared(diagnostic_random(s, "vec_id"), "power", "y", folder=scratch_path(spark, "models")).filter("split = 'test'")
+
+
 @query("r1_baseline_regression")
 def baseline(spark, d):
-    s = I.spectra(spark, d).withColumn("y", F.col("label").cast("double"))
-    p = ML.train_and_score(diagnostic_random(s, "vec_id"), "power", "y")
-    return regression(p.filter("split = 'test'"), [], "y", "y_pred").select("n_samples", "mae", "rmse", "r2")
+    return regression(_baselines(spark, d), ["model"], "y", "y_pred").select("model", "n_samples", "mae", "rmse", "r2")
+
+
+@query("r1_baseline_predictions")
+def baseline_predictions(spark, d):
+    return _baselines(spark, d).select("model", "vec_id", "split", "y", I.rounded(F.col("y_pred")).alias("y_pred"))
 
 
 @query("r2_rolling_prediction")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoband.operators.align import keep_first
 from chronoband.operators.ordered import attach
+from chronoband.sources.binary import blob_type, payload, unpacked
 
 # fixed values: other names of sensor columns
 ALIASES: Mapping[str, Mapping[str, str]] = {
@@ -85,6 +87,56 @@ def profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: relative error of distinct counts and the accuracy of quantile sketches
+DISTINCT_ERROR, QUANTILE_ACCURACY = 0.02, 1000
+
+
+def column_profiles(tables: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None, head_rows: int = 5) -> DataFrame:
+    """A row per table and column: table, column, type, n_rows, n_null, n_distinct, lowest, highest, median, head.
+
+    One pass per table.  ``n_distinct`` and ``median`` come from sketches that
+    are merged between tasks (2 % and one thousandth of the ranks); ``median`` is
+    of numbers only.  ``head`` has the column's values in the first rows by the
+    order given for the table, kept by a bounded aggregate.  Nested columns and
+    binaries are shown by their text.
+    """
+    out = None
+    for name, df in tables.items():
+        aggs, rows = [F.count(F.lit(1)).alias("n")], []
+        by = [F.col(c) for c in (order or {}).get(name, ())]
+        shown = {c: F.col(f"`{c}`").cast("string") if not isinstance(df.schema[c].dataType, T.ArrayType | T.StructType | T.MapType) else F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns}
+        for i, f in enumerate(df.schema.fields):
+            c, number = F.col(f"`{f.name}`"), isinstance(f.dataType, T.NumericType)
+            plain = not isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType | T.BinaryType)
+            aggs += [F.count_if(c.isNull()).alias(f"null{i}"), F.approx_count_distinct(shown[f.name], DISTINCT_ERROR).alias(f"distinct{i}"),
+                     (F.min(c).cast("string") if plain else F.lit(None).cast("string")).alias(f"low{i}"),
+                     (F.max(c).cast("string") if plain else F.lit(None).cast("string")).alias(f"high{i}"),
+                     (F.percentile_approx(c, 0.5, QUANTILE_ACCURACY).cast("double") if number else F.lit(None).cast("double")).alias(f"median{i}")]
+            rows.append(F.struct(F.lit(name).alias("table"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"),
+                                 F.col(f"null{i}").alias("n_null"), F.col(f"distinct{i}").alias("n_distinct"), F.col(f"low{i}").alias("lowest"), F.col(f"high{i}").alias("highest"),
+                                 F.col(f"median{i}").alias("median"), _heads(i).alias("head")))
+        values = F.struct(*[shown[c].alias(f"c{i}") for i, c in enumerate(df.columns)])
+        if by:
+            top = df.select(F.struct(*by).alias("_by"), values.alias("_v")).orderBy("_by").limit(head_rows).agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("_by", "_v"))), lambda r: r["_v"]).alias("top"))
+        else:
+            top = df.select(values.alias("_v")).limit(head_rows).agg(F.collect_list("_v").alias("top"))
+        p = attach(df.agg(*aggs), top, []).select(F.inline(F.array(*rows)))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _heads(i: int) -> Column:
+    return F.transform("top", lambda r: r[f"c{i}"])
+
+
+def decoded_preview(df: DataFrame, data: str, count: str, order: Sequence[str], rows: int = 50, values: int = 10) -> DataFrame:
+    """The head of a table of packed arrays: its columns, ``data_len``, the guessed ``dtype`` and the first ``values`` of each."""
+    top = head(df, order, rows).withColumn("_blob", payload(F.col(data)))
+    top = top.withColumn("data_len", F.length("_blob")).withColumn("dtype", blob_type(F.col("data_len"), F.col(count)))
+    return top.withColumn("preview", F.slice(unpacked(F.col("_blob"), F.col("dtype")), 1, values)).drop("_blob")
+
+
 def head(df: DataFrame, order: Sequence, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
