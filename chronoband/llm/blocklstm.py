@@ -16,13 +16,14 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoband.llm.htmlblocks import Block, blocks
+from chronoband.llm.htmlblocks import Block, Open, blocks
 
 SAMPLE = 200
 SLOTS_PATH, SLOTS_WORDS, MEASURES, HIDDEN = 192, 48, 6, 24
@@ -46,20 +47,38 @@ class _Hashes(dict):
 
 
 _WORDS = _Hashes(SLOTS_WORDS)
-_PATHS: dict[tuple, np.ndarray] = {}
+_PATHS: dict[int, np.ndarray] = {}
+
+
+@lru_cache(maxsize=KNOWN)
+def _slots(name: str) -> int:
+    """The two slots of a name as bits of an integer."""
+    raw = name.encode("utf-8", "surrogatepass")
+    return 1 << zlib.crc32(raw) % SLOTS_PATH | 1 << zlib.crc32(b"again " + raw) % SLOTS_PATH
+
+
+def _path_bits(node: Open | None) -> int:
+    """Slots of all names above; an element adds its own to those of the element around it, so each is visited once."""
+    todo = []
+    while node is not None and node.bits is None:
+        todo.append(node)
+        node = node.around
+    bits = node.bits if node is not None else 0
+    for node in reversed(todo):
+        for name in node.parts:
+            bits |= _slots(name)
+        node.bits = bits
+    return bits
 
 
 def _path_row(block: Block) -> np.ndarray:
-    key = (block.path, block.leaf)
+    key = _path_bits(block.node) | _slots("leaf " + block.leaf)
     row = _PATHS.get(key)
     if row is None:
         if len(_PATHS) > 20_000:
             _PATHS.clear()
-        row = np.zeros(SLOTS_PATH, dtype=np.float32)
-        for name in (*block.path, "leaf " + block.leaf):
-            row[zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS_PATH] = 1
-            row[zlib.crc32(b"again " + name.encode("utf-8", "surrogatepass")) % SLOTS_PATH] = 1
-        _PATHS[key] = row
+        bits = np.frombuffer(key.to_bytes(-(-SLOTS_PATH // 8), "little"), np.uint8)
+        row = _PATHS[key] = np.unpackbits(bits, bitorder="little")[:SLOTS_PATH].astype(np.float32)
     return row
 
 

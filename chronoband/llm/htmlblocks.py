@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 #: fixed values of HTML: elements that end a run of text, elements without content, elements whose text is never shown
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -28,11 +29,37 @@ _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _CLOSING = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
+class Open:
+    """An open element: the one around it, tag, names, number as a hidden element (else 0), innermost block tag so far.
+
+    ``bits`` is the labeller's, a memo.
+    """
+    __slots__ = ("around", "bits", "hidden", "leaf", "names", "tag")
+
+    def __init__(self, around: Open | None, tag: str, own: tuple[str, ...], hidden: int):
+        self.around, self.tag, self.names, self.hidden, self.bits = around, tag, own, hidden, None
+        self.leaf = tag if tag in BLOCK and not hidden else around.leaf if around else "body"
+
+    @property
+    def parts(self) -> tuple[str, ...]:
+        """The tag and its names; a hidden element leaves no trace in the paths of what it does not hide."""
+        return () if self.hidden else (self.tag, *("." + n for n in self.names))
+
+
 class Block:
-    __slots__ = ("leaf", "linked", "path", "text")
+    __slots__ = ("leaf", "linked", "node", "text")
+
+    def __init__(self, node: Open | None, text: str, linked: int):
+        self.node, self.leaf, self.text, self.linked = node, node.leaf if node else "body", text, linked
 
-    def __init__(self, path: tuple[str, ...], leaf: str, text: str, linked: int):
-        self.path, self.leaf, self.text, self.linked = path, leaf, text, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tags and names above the block, outermost first."""
+        found, node = [], self.node
+        while node is not None:
+            found.append(node.parts)
+            node = node.around
+        return tuple(x for parts in reversed(found) for x in parts)
 
 
 def names(rest: str) -> tuple[str, ...]:
@@ -50,19 +77,27 @@ def blocks(page: str | None) -> list[Block]:
     tags, comments and raw text at the end of a cut page are dropped.  Text in
     another hidden element is left out if the element's own end tag comes; one
     that is never ended hides nothing and is not in the path.
+
+    Open elements are a linked list with an index by tag, and blocks point into
+    it, so the time is that of the page's length however deep it is nested.
     """
     page = page or ""
-    # texts (text, in a link, hidden by) and ends of blocks (None, open tags, hidden by); the last is 0 or the number of the innermost hidden element
+    # texts (text, in a link, hidden by) and ends of blocks (None, innermost open element, hidden by); the last is 0 or the number of the innermost hidden element
     items: list[tuple] = []
-    stack: list[tuple[str, tuple[str, ...], int]] = []
+    stack: list[Open] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is
+    walls: list[int] = []                             # where blocks and hidden elements are
+    solid: list[int] = []                             # where blocks are
+    veils: list[int] = []                             # where hidden elements are
     outer, ended = [0], [False]  # by number of the hidden element: the one around it, whether its end tag came
     now = anchors = at = 0
     pending = False
+    unclosed: set[str] = set()   # raw elements without another end tag on the page
 
     def flush() -> None:
         nonlocal pending
         if pending:
-            items.append((None, tuple(stack), now))
+            items.append((None, stack[-1] if stack else None, now))
             pending = False
 
     def add(raw: str) -> None:
@@ -72,10 +107,18 @@ def blocks(page: str | None) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal anchors, now
-        for t, _, hidden in stack[k:]:
-            anchors -= t == "a"
-        now = next((outer[hidden] for _, _, hidden in stack[k:] if hidden), now)
-        del stack[k:]
+        while len(stack) > k:
+            node = stack.pop()
+            places[node.tag].pop()
+            anchors -= node.tag == "a"
+            if node.hidden:
+                now = outer[node.hidden]
+            for kept in (walls, solid, veils):
+                if kept and kept[-1] == len(stack):
+                    kept.pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     while True:
         m = _MARKUP.search(page, at)
@@ -96,13 +139,13 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 add(" ")
                 continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if tag in BLOCK:
                 flush()
-            if k is not None:
-                if stack[k][2]:
-                    ended[stack[k][2]] = pending = True  # ends of blocks inside it do not count
-                elif any(t in BLOCK for t, _, _ in stack[k:]):
+            if places[tag]:
+                k = places[tag][-1]
+                if stack[k].hidden:
+                    ended[stack[k].hidden] = pending = True  # ends of blocks inside it do not count
+                elif solid and solid[-1] >= k:
                     if tag not in BLOCK:
                         continue  # an inline end tag does not close blocks
                     flush()
@@ -112,9 +155,11 @@ def blocks(page: str | None) -> list[Block]:
         if tag in ("title", "button"):
             flush()
         if tag in RAW:
-            foreign = any(t in FOREIGN for t, _, _ in stack)
+            foreign = any(places[t] for t in FOREIGN)
             if not (rest.endswith("/") and (foreign or tag == "iframe")):
-                end = _CLOSING[tag].search(page, at)
+                end = None if tag in unclosed else _CLOSING[tag].search(page, at)
+                if end is None:
+                    unclosed.add(tag)
                 at = end.end() if end else at if foreign else len(page)
             continue
         if tag == "br":
@@ -122,16 +167,12 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][2]), None)
-            if k is not None and stack[k][0] == "p":
-                close(k)  # a block ends an open paragraph and what is open inside it
+            if walls and stack[walls[-1]].tag == "p":
+                close(walls[-1])  # a block ends an open paragraph and what is open inside it
             if tag in ENDED:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][2] or stack[k][0] in BARRIER.get(tag, ()):
-                        break
-                    if stack[k][0] in ENDED[tag]:
-                        close(k)
-                        break
+                k = last(ENDED[tag])
+                if k > max(last(BARRIER.get(tag, ())), veils[-1] if veils else -1):
+                    close(k)
         if tag not in VOID and not rest.endswith("/"):
             if tag == "a":
                 anchors += 1
@@ -139,7 +180,15 @@ def blocks(page: str | None) -> list[Block]:
                 outer.append(now)
                 ended.append(False)
                 now = len(outer) - 1
-            stack.append((tag, names(rest), now if tag in HIDDEN else 0))
+            k = len(stack)
+            places[tag].append(k)
+            if tag in HIDDEN:
+                veils.append(k)
+            if tag in BLOCK:
+                solid.append(k)
+            if tag in HIDDEN or tag in BLOCK:
+                walls.append(k)
+            stack.append(Open(stack[-1] if stack else None, tag, names(rest), now if tag in HIDDEN else 0))
     flush()
     for k in range(1, len(outer)):  # what is around comes first
         ended[k] = ended[k] or ended[outer[k]]
@@ -155,9 +204,6 @@ def blocks(page: str | None) -> list[Block]:
             continue
         text = " ".join("".join(pieces).split())
         if text:
-            shown = [(t, own) for t, own, unended in more if not unended]
-            leaf = next((t for t, _ in reversed(shown) if t in BLOCK), "body")
-            path = tuple(x for t, own in shown for x in (t, *("." + n for n in own)))
-            out.append(Block(path, leaf, text, min(linked, len(text))))
+            out.append(Block(more, text, min(linked, len(text))))
         pieces, linked = [], 0
     return out

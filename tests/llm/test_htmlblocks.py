@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import zlib
+
 import numpy as np
 import pytest
 
 from chronoband.llm import blocklstm
-from chronoband.llm.blocklstm import HIDDEN, INPUTS, Network, fit, made_pages, main_text
+from chronoband.llm.blocklstm import HIDDEN, INPUTS, SLOTS_PATH, Network, _path_bits, _path_row, fit, made_pages, main_text
 from chronoband.llm.htmlblocks import blocks, names
 
 
@@ -58,6 +61,26 @@ def test_long_page_is_linear():
     assert len(blocks("<b>" * 50_000 + "x")) == 1
 
 
+@pytest.mark.parametrize(("page", "n"), [
+    ("<div>x" * 200_000, 200_000), ("<font>" * 100_000 + "<p>x</p>" * 100_000, 100_000), ("<a>" * 100_000 + "<li>x" * 100_000, 100_000),
+    ("<svg><style>" * 50_000 + "x", 1), ("<ul><li>x" * 50_000, 50_000), ("<div>" * 100_000 + "</p>x" * 100_000, 1)])
+def test_deep_pages_are_linear(page, n):
+    start = time.perf_counter()
+    found = blocks(page)
+    assert len(found) == n and time.perf_counter() - start < 10
+    assert len(_path_bits(found[-1].node).to_bytes(SLOTS_PATH // 8 + 1, "little"))
+
+
+def test_path_slots_are_those_of_the_names():
+    page = blocks('<div class="siteNav"><p>a</p><button>x<p>b</p></div><font><font>c')
+    for b in page:
+        row = np.zeros(SLOTS_PATH, np.float32)
+        for name in (*b.path, "leaf " + b.leaf):
+            for raw in (name.encode(), b"again " + name.encode()):
+                row[zlib.crc32(raw) % SLOTS_PATH] = 1
+        assert np.array_equal(_path_row(b), row)
+
+
 def plain_states(net, side, x):
     sigma = lambda v: 1 / (1 + np.exp(-v))
     h = c = np.zeros(HIDDEN)
