@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -130,3 +131,20 @@ def test_empty_tables(spark, tmp_path):
     for name, kind in (("documents", KIND), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns(spark, made):
+    """Extra columns keep their values, whatever they are called."""
+    folder, _ = made
+    names = ["text_key", "key_of", "row_key", "list", "node", "id", "row", "tag", "score", "n_dropped", "rejected_id", "component_id"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept, name
+        for r in kept:
+            for k, c in enumerate(names):
+                assert r[c] == (None if r.doc_id is None else f"{k}:{r.doc_id}"), (name, c)
