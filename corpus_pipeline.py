@@ -36,7 +36,12 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold; all labels teach."""
+    """Documents scored below the threshold; all labels teach.
+
+    A null or empty text has a score like any other; repeated rows stay or go
+    together, rows that share an id are told apart by their text, a null id is
+    an id.  Extra columns are passed on.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     scores = fit_toxicity(docs, labels).score(_keyed(docs), key="row_key")
     return _without(docs, scores.where(F.col("score") >= TOXIC))
@@ -58,7 +63,9 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Texts that share an id are linked by their words only; of rows with the same id and text one stays.
     """
-    keyed, shared = text_keys(docs)
+    # the row travels as one value, so that none of its columns can meet a name used here
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed, shared = text_keys(whole)
     groups = text_groups(keyed, "text_key", "text").where("component_id IS NOT NULL AND n_shingles > 0")
     groups = groups.groupBy("text_key", "component_id").agg(F.count(F.lit(1)).alias("rows"))
     groups = groups.withColumn("id", F.col("text_key")) if shared is None else groups.join(shared, "text_key", "left").withColumn(
@@ -66,22 +73,28 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
     groups = materialise(groups)
     first = groups.groupBy("component_id").agg(F.min(F.struct("id", "text_key"))["text_key"].alias("first"))
     others = groups.join(first, "component_id").where("text_key <> first").select("text_key")
-    left = keyed.join(others, "text_key", "left_anti").select(*docs.columns, "text_key")
+    left = keyed.join(others, "text_key", "left_anti").select("text_key", "row")
     repeated = groups.where("rows > 1").select("text_key")
-    single = left.join(repeated, "text_key", "left_anti").select(*docs.columns)
-    rows = left.join(repeated, "text_key", "left_semi").select("text_key", F.struct(*docs.columns).alias("row"))
-    one = rows.groupBy("text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    single = left.join(repeated, "text_key", "left_anti").select("row.*")
+    one = left.join(repeated, "text_key", "left_semi").groupBy("text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return single.unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of a benchmark item."""
+    """Documents without any passage of a benchmark item.
+
+    A null or empty text has none and stays; rows that share an id are told
+    apart by their text.  Extra columns are passed on.
+    """
     found = contamination(_keyed(docs), table(spark, sf_dir, "benchmark"), key="row_key")
     return _without(docs, found.where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of token ids, with the ids."""
+    """Pieces of the documents in sequences of token ids, with the ids.
+
+    A null or empty text is its end mark alone; repeated rows are packed each.
+    """
     return packed_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, WINDOW)
 
 
