@@ -151,6 +151,12 @@ def disguised(token: str) -> bool:
     return any(c in ALIKE for c in token) and any(c.isalpha() for c in core) and not core.isalpha()
 
 
+def plain(token: str) -> str | None:
+    """The word of a token that is letters with marks behind them at most, which nothing can disguise."""
+    core = token.strip(EDGES)
+    return core if core.isalpha() and token[0] not in EDGES and not _RUN.search(core) else None
+
+
 class Reader:
     """Words of a text after decoding; remembers the reading of tokens."""
 
@@ -161,6 +167,9 @@ class Reader:
     def _words(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
         if found is None:
+            word = plain(token)
+            if word is not None:
+                return (word,)
             if len(self.known) > KNOWN_TOKENS:
                 self.known.clear()
             core, inner = token.strip(EDGES), token.strip(SOFT)
@@ -178,8 +187,8 @@ class Reader:
 
     def spaced(self, text: str, tokens: set[str]) -> list[str]:
         """Words written with blanks between their letters."""
-        single = sum(len(t) == 1 for t in tokens)
-        if not single or single < 3 and single + sum(len(t) > 1 and not t.isalpha() and len(t.strip(EDGES)) == 1 for t in tokens) < 3:
+        single = list(map(len, tokens)).count(1)
+        if not single or single < 3 and single + sum(len(t.strip(EDGES)) == 1 for t in tokens if not t.isalpha() and len(t) > 1) < 3:
             return []
         spans = set()
         for m in _SPACED.finditer(" ".join(text.split())):
@@ -283,11 +292,27 @@ class Classifier:
         return rows.mapInArrow(_score(self), f"id {kind}, score double").withColumnRenamed("id", key)
 
 
+class Weights:
+    """Weight of a word: the greatest of its features, nought without any above it."""
+
+    def __init__(self, weights: dict[str, float]):
+        kinds: dict[str, dict[str, float]] = {"=": {}, "^": {}, "$": {}}
+        for name, w in weights.items():
+            kinds[name[0]][name[1:]] = w
+        self.whole, self.starts, self.ends = kinds.values()
+
+    def __call__(self, word: str) -> float:
+        found = [self.whole.get(word, 0.0)]
+        for k in range(4, min(len(word), 6) + 1):
+            found += self.starts.get(word[:k], 0.0), self.ends.get(word[-k:], 0.0)
+        return max(found)
+
+
 def _score(classifier: Classifier):
     characters, table, curve = classifier.characters, classifier.weights, classifier.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, weights = Reader(characters.value), table.value
+        read, weight = Reader(characters.value), Weights(table.value)
 
         class Known(dict):
             """Token: its words with a weight above nought, or nothing."""
@@ -295,12 +320,17 @@ def _score(classifier: Classifier):
             def __missing__(self, token: str):
                 if len(self) > KNOWN_TOKENS:
                     self.clear()
-                value = self[token] = weigh(read._words(token)) or None
+                word = plain(token)
+                if word is None:
+                    value = weigh(read._words(token)) or None
+                else:
+                    w = weight(word)
+                    value = {word: w} if w > 0 else None
+                self[token] = value
                 return value
 
         def weigh(words) -> dict[str, float]:
-            found = {w: max((weights.get(f, 0.0) for f in features(w)), default=0.0) for w in words}
-            return {w: x for w, x in found.items() if x > 0}
+            return {w: x for w in words if (x := weight(w)) > 0}
 
         known = Known()
         for batch in batches:

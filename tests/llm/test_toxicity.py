@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from chronoband.llm import toxicity
 from chronoband.llm.toxicity import Reader, character_model, disguised, features, fit
 
 BAD = ["idiot", "moron", "worthless", "stupid", "loser", "clown"]
@@ -101,3 +102,21 @@ def test_nothing_to_learn_from(spark, tables):
     assert scores(spark, none, ["idiot", None])[0] < 0.3
     nulls = spark.createDataFrame([(None, 1), (3, None)], "doc_id bigint, toxic int")
     assert max(scores(spark, fit(docs, nulls), ["idiot"])) < 0.3
+
+
+def test_plain_tokens_and_weights():
+    """The short ways give what the long ones give."""
+    rng = random.Random(8)
+    letters = "abcdeé1!$.,'-(@ß"
+    table = {f: 1 + k for k, f in enumerate(["=abc", "^abcd", "$dcba", "^abcde", "$aaaaaa", "=é"])}
+    weight = toxicity.Weights(table)
+    read = toxicity.Reader(np.ones(2 * toxicity.SLOTS))
+    for _ in range(4000):
+        token = "".join(rng.choices(letters, k=rng.randrange(1, 9)))
+        word = toxicity.plain(token)
+        core = token.strip(toxicity.EDGES)
+        if word is not None:
+            assert word == core and not toxicity.disguised(token) and read._words(token) == (core,)
+        else:
+            assert toxicity.disguised(token) or not core.isalpha() or token[0] in toxicity.EDGES
+        assert weight(core) == max((table.get(f, 0.0) for f in toxicity.features(core)), default=0.0)
