@@ -1,8 +1,8 @@
 """Session settings and the two knobs every operator shares.
 
 The settings are the ones a cluster run wants: adaptive execution with skew
-splitting, UTC as the session zone, Arrow for the few Python stages, and
-checkpoint files removed with their references.
+splitting, UTC as the session zone, Arrow in batches of bounded size for the few
+Python stages, and checkpoint files removed with their references.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -7,6 +7,8 @@ the cluster shares and hands the files to the next.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from chronoband.llm.jaccard import text_groups, text_keys
 from chronoband.llm.lines import keep_bitmaps, without_lines
 from chronoband.llm.packing import packed_pieces
 from chronoband.llm.toxicity import fit as fit_toxicity
+from chronoband.session import prepared
 
 TOXIC = 0.3
 LINE_DOCUMENTS = 10
@@ -98,13 +101,21 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, WINDOW)
 
 
-STAGES = [
+def _prepared(stage):
+    """The stage in a session with the settings it relies on, bounded Arrow batches among them."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(prepared(spark), docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _prepared(stage)) for name, stage in (
     ("toxicity", toxicity),
     ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicate_documents),
     ("decontamination", decontamination),
     ("packing", packing),
-]
+)]
 
 #: a learnt classifier and a tokenizer stand in the way of SQL; the tests hold the stages against plain versions
 ORACLE_SQL = None
