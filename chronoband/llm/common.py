@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoband.session import materialise, scratch_path
 
-__all__ = ["ascii_lower", "documents", "materialise", "scratch_path", "stored", "table", "text_or_empty"]
+__all__ = ["ascii_lower", "documents", "materialise", "release", "scratch_path", "stored", "table", "text_or_empty"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -34,3 +35,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that no table refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

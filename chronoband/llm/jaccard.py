@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoband.llm.common import materialise, text_or_empty
+from chronoband.llm.common import materialise, release, text_or_empty
 
 SHINGLE = 5
 PERCENT = 75
@@ -390,6 +390,8 @@ def text_groups(docs: DataFrame, key: str, text: str, size: int = SHINGLE, perce
     lists = materialise(nodes.join(sizes, "node").select("list", "node", "n", "at"))
     lonely = lists.groupBy("list").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("list")
     lists = materialise(lists.join(lonely, "list", "left_semi"))
+    del posted, dealt, shared, nodes, lonely
+    release(docs.sparkSession)
 
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -398,6 +400,8 @@ def text_groups(docs: DataFrame, key: str, text: str, size: int = SHINGLE, perce
         found = materialise(verified(pairs, rows, size, percent))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        del pairs, found
+        release(docs.sparkSession)  # the files of a finished round go before the next one writes
     out = known.join(labels.withColumnRenamed("label", "component"), "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
