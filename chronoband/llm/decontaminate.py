@@ -1,11 +1,13 @@
 """Benchmark passages in training documents, by winnowing.
 
-Every ``SPAN`` consecutive words are covered by ``SPAN - K + 1`` K-grams, and the
-least of their hashes is the span's fingerprint.  Equal spans have equal
-fingerprints wherever they stand, so joining the fingerprints of documents and
-items misses no shared span of that length.  A joined fingerprint is then
-extended to its whole span: the hash over all its words must agree too.  An item
-shorter than a span is one fingerprint of its own length.
+Of every ``SPAN - K + 1`` consecutive K-grams of words those with the least hash
+are kept, about 2 in SPAN - K + 2 of all.  Equal spans of SPAN words have equal
+grams and so keep the same one, wherever they stand: joining the kept grams of
+documents and items misses no shared span of that length.  A joined gram is
+extended word by word to the left and right; the words decide.  A window of
+SPAN words around a kept gram reaches at most SPAN - K words to either side, so
+a gram travels with that much of its text.  An item shorter than a span is one
+fingerprint of its own length, compared by a 64-bit hash of its words.
 
 Everything is array expressions: hashes of 2, 4, 8 ... words and minima over 2, 4
 ... places are built by joining an array with itself moved on.
@@ -18,10 +20,13 @@ from pyspark.sql import functions as F
 
 from chronoband.llm.common import ascii_lower, materialise, text_or_empty
 
-SPAN, K = 10, 8
+SPAN, K = 10, 6
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: above so many benchmark windows the joins are left to shuffle
 BROADCAST_WINDOWS = 200_000
+#: and above so many bytes of their words
+BROADCAST_BYTES = 64 << 20
+LOWEST = -(1 << 63)
 
 
 def words(text: str) -> Column:
@@ -55,25 +60,60 @@ class _Arrays:
         a, b = self.grams(head), self.grams(k - head)
         return self._add(f"g{k}", lambda: _joined(a, b, head, self.places(k), lambda x, y: F.xxhash64(x, y)))
 
-    def minima(self, k: int, w: int) -> str:
+    def _over(self, name: str, first: str, w: int, length: Column, how) -> str:
+        """Column ``name``_<w>: ``how`` over every w neighbours of ``first``, which has ``length`` places."""
         if w == 1:
-            return self.grams(k)
+            return first
         half = 1 << (w - 1).bit_length() - 1
-        a = self.minima(k, half)
-        return self._add(f"m{k}_{w}", lambda: _joined(a, a, w - half, self.places(k + w - 1), lambda x, y: F.least(x, y)))
+        a = self._over(name, first, half, length, how)
+        return self._add(f"{name}_{w}", lambda: _joined(a, a, w - half, F.greatest(length - (w - 1), F.lit(0)), how))
+
+    def minima(self, k: int, w: int) -> str:
+        return self._over(f"m{k}", self.grams(k), w, self.places(k), lambda x, y: F.least(x, y))
+
+    def kept(self, k: int, w: int) -> Column:
+        """The hashes of k words, null where no window of w of them has its minimum there.
+
+        A gram is the minimum of a window that holds it if the greatest of those windows' minima equals it.
+        """
+        least, edge = self.minima(k, w), F.array_repeat(F.lit(LOWEST), w - 1)
+        wide = self._add(f"p{k}", lambda: F.concat(edge, F.col(least), edge))
+        most = self._over(f"x{k}", wide, w, self.places(k + w - 1) + 2 * (w - 1), lambda x, y: F.greatest(x, y))
+        return F.zip_with(self.grams(k), most, lambda x, y: F.when(x == y, x))
 
 
 def _hashed(rows: DataFrame) -> _Arrays:
-    return _Arrays(rows.withColumn("n", F.size("words")).withColumn("g1", F.transform("words", lambda w: F.xxhash64(w))).drop("words"))
+    return _Arrays(rows.withColumn("n", F.size("words")).withColumn("g1", F.transform("words", lambda w: F.xxhash64(w))))
 
 
-def spans(rows: DataFrame, keep: list[str], span: int = SPAN, k: int = K) -> DataFrame:
-    """A row per span: the kept columns, place, mark (fingerprint), whole (hash of all its words)."""
+def fingerprints(rows: DataFrame, keep: list[str], span: int = SPAN, k: int = K) -> DataFrame:
+    """A row per kept gram: the kept columns, place, mark (its hash), near (its words and up to span - k on both sides), at (its place there)."""
     arrays = _hashed(rows)
-    whole, mark = arrays.grams(span), arrays.minima(k, span - k + 1)
-    both = arrays.df.select(*keep, F.arrays_zip(F.col(mark).alias("mark"), F.col(whole).alias("whole")).alias("spans"))
+    beyond = span - k
+    marks = arrays.kept(k, beyond + 1)
+
+    def gram(mark: Column, place: Column) -> Column:
+        at = F.least(place, F.lit(beyond))
+        near = F.slice("words", place - at + 1, at + k + beyond)
+        return F.when(mark.isNotNull(), F.struct(place.alias("place"), mark.alias("mark"), near.alias("near"), at.alias("at")))
+    found = F.filter(F.transform(marks, gram), lambda g: g.isNotNull())
     # the outer form: a plain explode is given a filter on the array's size, which would be computed twice over
-    return both.select(*keep, F.posexplode_outer("spans").alias("place", "s")).select(*keep, "place", "s.mark", "s.whole")
+    return arrays.df.select(*keep, F.explode_outer(found).alias("g")).select(*keep, "g.place", "g.mark", "g.near", "g.at")
+
+
+def _agreeing(x: Column, y: Column) -> Column:
+    """How many words agree from the start of both arrays on."""
+    same = F.zip_with(x, y, lambda a, b: a.eqNullSafe(b))
+    first = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+
+
+def extended(met: DataFrame, keep: list[str], span: int, k: int) -> DataFrame:
+    """Joined grams whose words agree, with their neighbours', over a span at least: the kept columns, place, length."""
+    right = _agreeing(F.slice("near", F.col("at") + 1, 2 * span), F.slice("item_near", F.col("item_at") + 1, 2 * span))
+    left = _agreeing(F.reverse(F.slice("near", 1, F.col("at"))), F.reverse(F.slice("item_near", 1, F.col("item_at"))))
+    run = met.withColumn("right", right).withColumn("left", left).where((F.col("right") >= k) & (F.col("left") + F.col("right") >= span))
+    return run.select(*keep, (F.col("place") - F.col("left")).alias("place"), (F.col("left") + F.col("right")).alias("length"))
 
 
 def _grams(rows: DataFrame, keep: list[str], length: int) -> DataFrame:
@@ -91,12 +131,12 @@ def hits(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
     """Occurrences of item windows: _id, _tag, place, length, items."""
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text_or_empty(text)).alias("_tag"), words(text).alias("words"))
     tests = items.select(F.col(item_key).cast("string").alias("item"), words(item_text).alias("words"))
-    windows = materialise(spans(tests, ["item"], span, k).where("mark IS NOT NULL").groupBy("mark", "whole").agg(F.collect_set("item").alias("items")))
-    small = windows.count() <= BROADCAST_WINDOWS
-    marks = windows.select("mark").distinct()
-    marked = spans(rows, ["_id", "_tag"], span, k).join(_small(marks, small), "mark")
-    found = [marked.join(_small(windows, small), ["mark", "whole"])
-             .select("_id", "_tag", "place", F.lit(span).alias("length"), "items")]
+    grams = fingerprints(tests, ["item"], span, k).where("mark IS NOT NULL")
+    windows = materialise(grams.groupBy("mark", F.col("near").alias("item_near"), F.col("at").alias("item_at")).agg(F.collect_set("item").alias("items")))
+    many, size = windows.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0)),
+                             F.coalesce(F.sum(F.octet_length(F.array_join("item_near", " "))), F.lit(0))).first()
+    met = fingerprints(rows, ["_id", "_tag"], span, k).join(_small(windows, many <= BROADCAST_WINDOWS and size <= BROADCAST_BYTES), "mark")
+    found = [extended(met, ["_id", "_tag", "items"], span, k).select("_id", "_tag", "place", "length", "items")]
     brief = tests.where(F.size("words").between(1, span - 1))
     lengths = sorted(r.n for r in brief.select(F.size("words").alias("n")).distinct().collect())  # fewer than a span
     for length in lengths:
