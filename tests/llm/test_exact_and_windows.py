@@ -94,23 +94,3 @@ def test_windows(spark, monkeypatch, small):
 def test_windows_of_empty_tables(spark):
     assert got(spark, [], [(1, "a b c")]) == []
     assert got(spark, [(1, "a b c")], []) == [(1, 3, 0, (), False)]
-
-
-def test_winnowing_thins(spark):
-    rng = random.Random(9)
-    text = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
-    docs = spark.createDataFrame([(1, text), (2, text[:9]), (3, text[:10]), (4, [])], "id int, words array<string>")
-    kept = {}
-    for r in decontaminate.fingerprints(docs, ["id"]).where("mark IS NOT NULL").collect():
-        kept.setdefault(r.id, []).append(r.place)
-        assert r.near[r["at"]:r["at"] + decontaminate.K] == text[r.place:r.place + decontaminate.K]
-    grams = decontaminate.SPAN - decontaminate.K + 1
-    assert abs(len(kept[1]) / len(text) - 2 / (grams + 1)) < 0.01
-    assert max(b - a for a, b in zip(sorted(kept[1]), sorted(kept[1])[1:])) <= grams  # no window without one
-    assert len(kept[3]) == 1 and kept.keys() == {1, 3}
-
-
-def test_repetitive_words(spark):
-    items = [(1, "a " * 12), (2, "a b " * 6), (3, "a b c " * 5 + "d")]
-    rows = [(1, "a " * 40), (2, "b a " * 30), (3, "a " * 9 + "b"), (4, "c " + "a b c " * 3 + "d"), (5, "x " + "a b c " * 4 + "d y")]
-    assert got(spark, rows, items) == plain(rows, items)
