@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoband.functions import spectrum as P
 from chronoband.operators.histories import fixed_sample
@@ -126,24 +127,72 @@ def kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 12, iterations
 
 
 #: rows of a block; a tile is a block against a block
-BLOCK_ROWS = 512
-
-
-def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per row of the first block and cluster of the second: sum and number of distances, without the row itself."""
-    for b in batches:
-        for keys, own, x, others, theirs, y in zip(b["keys"], b["own"], b["x"], b["others"], b["theirs"], b["y"]):
-            x, y = np.stack(x), np.stack(y)
-            far = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) + 1e-12) if x.size * len(y) <= 1 << 24 else np.stack(
-                [np.sqrt(((y - row) ** 2).sum(axis=1) + 1e-12) for row in x])
-            keys, others = np.asarray(keys), np.asarray(others)
-            counted = keys[:, None] != others[None, :]
-            kinds, at = np.unique(np.asarray(theirs), return_inverse=True)
-            member = np.zeros((len(y), len(kinds)))
-            member[np.arange(len(y)), at] = 1.0
-            sums, n = np.where(counted, far, 0.0) @ member, counted @ member
-            yield pd.DataFrame({"key": np.repeat(keys, len(kinds)), "own": np.repeat(np.asarray(own), len(kinds)), "cluster": np.tile(kinds, len(x)),
-                                "total": sums.ravel(), "n": n.ravel().astype(np.int64)})
+BLOCK_ROWS = 2048
+#: most left partitions and rows of a right partition: every left partition meets every right one
+LEFT_PARTS, RIGHT_ROWS = 128, 65_536
+#: cells of a tile that exist at a time
+TILE_CELLS = 1 << 17
+#: a squared distance below this share of the squared norms is computed from the differences
+CLOSE = 1e-4
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` and ``y`` by one matrix product, those of near rows by their differences."""
+    centre = y[0]
+    x, y = x - centre, y - centre
+    norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    far = (-2 * x) @ y.T
+    far += norms
+    norms *= CLOSE
+    i, j = np.divmod(np.flatnonzero(~(far >= norms)), len(y))
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+        far[a, b] = ((x[a] - y[b]) ** 2).sum(axis=1)
+    far += 1e-12
+    return np.sqrt(far, out=far)
+
+
+def _tiles(key: T.DataType, own: T.DataType):
+    """Per row of a left block and cluster of the right blocks that follow each other: sum and number of distances, without the row itself."""
+    key, own = to_arrow_type(key), to_arrow_type(own)
+
+    def rows(keys, mine, found: dict) -> Iterator[pa.RecordBatch]:
+        for kind, (total, n) in found.items():
+            yield pa.RecordBatch.from_arrays([keys.cast(key), mine.cast(own), pa.array([kind] * len(keys), own), pa.array(total), pa.array(n)],
+                                             names=["key", "own", "cluster", "total", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = keys = mine = None
+        found: dict = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = lambda name: batch.column(name)[r].values
+                if batch.column("block")[r].as_py() != block:
+                    if found:
+                        yield from rows(keys, mine, found)
+                    block, keys, mine, found = batch.column("block")[r].as_py(), at("keys"), at("own"), {}
+                    x = at("x").to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+                theirs = at("theirs").to_numpy(zero_copy_only=False)
+                y = at("y").to_numpy(zero_copy_only=False).reshape(len(theirs), -1)
+                kinds, place = np.unique(theirs, return_inverse=True)
+                member = np.zeros((len(y), len(kinds)))
+                member[np.arange(len(y)), place] = 1.0
+                same = batch.column("other")[r].as_py() == block    # a key has one block, so only there a row can meet itself
+                left = keys.to_numpy(zero_copy_only=False) if same else None
+                step = max(1, TILE_CELLS // max(1, len(y)))
+                total, n = np.empty((len(x), len(kinds))), np.empty((len(x), len(kinds)), np.int64)
+                for k in range(0, len(x), step):
+                    far, count = _distances(x[k:k + step], y), member.sum(axis=0)
+                    if same:
+                        counted = left[k:k + step, None] != left[None, :]
+                        far, count = np.where(counted, far, 0.0), counted @ member
+                    total[k:k + step], n[k:k + step] = far @ member, count
+                for c, kind in enumerate(kinds.tolist()):
+                    before = found.get(kind, (0.0, 0))
+                    found[kind] = before[0] + total[:, c], before[1] + n[:, c]
+        if found:
+            yield from rows(keys, mine, found)
+    return run
 
 
 def pair_sums(df: DataFrame, key: str, features: str = "features", cluster: str = "cluster", seed: int = 42,
@@ -151,8 +200,11 @@ def pair_sums(df: DataFrame, key: str, features: str = "features", cluster: str
     """Per row and cluster: sum and number of the Euclidean distances to the other rows: key, own, cluster, total, n.
 
     ``most`` rows, the same ones every time, or all.  Rows are dealt to blocks by
-    a hash of their key, every pair of blocks is a tile of its own task's work;
-    pairs of rows exist only inside a tile.  The key is unique and has no nulls.
+    a hash of their key, every pair of blocks is a tile.  Blocks lie in partitions
+    on both sides of a cross join, so a row is shuffled twice whatever the number
+    of tiles; pairs of rows exist only inside a tile, and a left block keeps one
+    sum per row and cluster over all blocks of a right partition.  The key is
+    unique and has no nulls.
     """
     d = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("own")).where("x IS NOT NULL AND own IS NOT NULL")
     if most is not None:
@@ -162,14 +214,14 @@ def pair_sums(df: DataFrame, key: str, features: str = "features", cluster: str
     blocks = max(1, -(-d.count() // block))
     dealt = d.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     packed = materialise(dealt.groupBy("block").agg(F.collect_list(F.struct("key", "own", "x")).alias("rows")).select(
-        "block", F.col("rows.key").alias("keys"), F.col("rows.own").alias("own"), F.col("rows.x").alias("x")))
-    right = packed.select(F.col("block").alias("other"), F.col("keys").alias("others"), F.col("own").alias("theirs"), F.col("x").alias("y"))
-    tiles = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(right, "other")
-    tiles = tiles.select("keys", "own", "x", "others", "theirs", "y").repartition(min(blocks * blocks, 4096))
+        "block", F.col("rows.key").alias("keys"), F.col("rows.own").alias("own"), F.flatten("rows.x").alias("x")))
+    left = packed.repartition(min(blocks, LEFT_PARTS), "block")
+    right = packed.select(F.col("block").alias("other"), F.col("own").alias("theirs"), F.col("x").alias("y")).repartition(max(1, -(-blocks * block // RIGHT_ROWS)), "other")
     kind = lambda c: d.schema[c].dataType
     out = T.StructType([T.StructField("key", kind("key")), T.StructField("own", kind("own")), T.StructField("cluster", kind("own")),
                         T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
-    parts = tiles.mapInPandas(_tiles, out)
+    # a broadcast side would leave the work to the few partitions of the other
+    parts = left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(_tiles(kind("key"), kind("own")), out)
     return parts.groupBy("key", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

@@ -93,3 +93,16 @@ def test_report(spark):
         assert len(shares) == 4 and all(np.isclose(sum(v), 1) for v in shares.values())
     assert {r.name for r in rows if r.kind == "whole"} == {"silhouette", "n_rows"}
     assert all(r.value == 1 for r in rows if r.kind == "experiment")
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Rows are shuffled once per side: no exchange holds a tile, and near rows keep their digits far from the origin."""
+    plan = L.pair_sums(blobs(spark, 3, 60)[1].withColumn("cluster", F.col("exp")), "id", most=None, block=10)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "RoundRobinPartitioning" not in plan and "mapInPandas" not in plan
+    rng = np.random.default_rng(1)
+    x = 1e6 + rng.normal(size=(40, 3))
+    x[20:] = x[:20] + 1e-5
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, features array<double>, cluster int")
+    got = {(r.key, r.cluster): r.total for r in L.pair_sums(df, "id", most=None, block=8).collect()}
+    want = plain_sums(x, np.arange(40) % 2)
+    assert all(np.isclose(got[k], want[k][0], rtol=1e-9, atol=0) for k in want)
