@@ -7,6 +7,7 @@ import random
 import struct
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,24 @@ def test_one_long_file_is_many_tasks(spark, tmp_path):
     x = R.read_recorder(spark, str(tmp_path), block=len(data) // 40)
     per = x.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(per) >= 40 and sum(r["count"] for r in per) == len(rows)
+
+
+def test_many_ranges_share_tasks(spark, tmp_path):
+    """Beyond a number of ranges tasks grow and a border is found close by, not from the header on."""
+    rng = np.random.default_rng(6)
+    rows = [(float(i + 1), rng.integers(700, 1300, 64)) for i in range(9000)]
+    body = b"".join(struct.pack("<dH64i", t, 64, *p) + struct.pack("<dH", 0.0, R.SKIPPED_COUNT) for t, p in rows)
+    (tmp_path / "s0.bin").write_bytes(struct.pack("<8s3I", b"SPECDATA", 1, 10, 64) + body)
+    (tmp_path / "s1.bin").write_bytes(struct.pack("<8s3I", b"SPECDATA", 1, 10, 64) + body)
+    x = R.read_recorder(spark, str(tmp_path), "spectrum", block=4096)
+    assert 4 <= x.rdd.getNumPartitions() <= R.MOST_RANGES + 2       # 1200 ranges
+    want = sorted((t, tuple(p.tolist())) for t, p in rows for _ in range(2))
+    assert cells(x) == want and cells(B.read_spectrum(B.listed(spark, str(tmp_path)), block=4096)) == want
+    at, size = R.SPECTRUM_HEADER + len(body) // 2, R.SPECTRUM_HEADER + len(body)
+    window = body[at - R.SPECTRUM_HEADER:][:R.SPECTRUM.longest * (R.SPECTRUM.chain + 1)]
+    assert R.certain_border(window, R.SPECTRUM) is None             # many short records: many chains are true
+    met = R.meeting_border(body[:1 << 21], R.SPECTRUM)
+    assert met is not None and met % 276 in (0, 266)
+    with R.open_file(str(tmp_path / "s0.bin")) as f:
+        found = R.first_border(f, size, R.SPECTRUM, at)
+    assert found >= at and (found - R.SPECTRUM_HEADER) % 276 in (0, 266) and found - at < 276
