@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoband.operators import seconds
 from chronoband.operators.align import as_of, keep_first, knot_polynomials, poly_at
-from chronoband.operators.ordered import attach, group_sizes
+from chronoband.operators.ordered import attach, group_sizes, matched
 from chronoband.operators.outliers import filled
 from chronoband.operators.rhythm import without_bias
 
@@ -119,20 +119,33 @@ def standard_sensors(tables: Mapping[str, DataFrame], group: Sequence[str], ts:
     return out
 
 
-def scaled_arrays(df: DataFrame, group: Sequence[str], arrays: Sequence[str]) -> DataFrame:
-    """Every place of an array column to its z-score in the group; only centred where the deviation is below 1e-8.
+def scaled_arrays(df: DataFrame, group: Sequence[str], arrays: Mapping[str, int]) -> DataFrame:
+    """Every place of array columns to its z-score in the group; only centred where the deviation is below 1e-8.
 
-    The arrays of a column have one length and no nulls.  Their cells are only
-    aggregated; rows keep their arrays.
+    ``arrays`` tells the length of each; the rows' arrays have no nulls and may be
+    shorter, nought stands for the places behind (a null array has none).  Rows
+    and statistics travel short: the places no row of a group fills have mean
+    and deviation nought and are only written at the end.
     """
-    d, group = df, list(group)
-    for a in arrays:
-        cells = df.select(*group, F.posexplode(a).alias("_i", "_x")).groupBy(*group, "_i").agg(F.avg("_x").alias("_mu"), F.stddev_pop("_x").alias("_sd"))
-        stats = cells.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", "_mu", "_sd"))).alias("_z"))
-        d = attach(d, stats, group)
-        z = F.transform(a, lambda x, i: (x - F.get("_z", i)["_mu"]) / F.when(F.get("_z", i)["_sd"] > 1e-8, F.get("_z", i)["_sd"]).otherwise(1.0))
-        d = d.withColumn(a, z).drop("_z")
-    return d
+    group, names = list(group), list(arrays)
+    rows = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    lists = F.array(*[F.struct(F.lit(k).alias("_k"), F.col(a).alias("_a")) for k, a in enumerate(names)])
+    cells = df.select(*group, F.inline(lists)).select(*group, "_k", F.posexplode("_a").alias("_i", "_x")).groupBy(*group, "_k", "_i").agg(
+        F.count(F.lit(1)).alias("_m"), F.avg("_x").alias("_mu"), F.var_pop("_x").alias("_var"))
+    # the moments of the values met with those of the noughts
+    share = F.col("_m") / F.col("_rows")
+    spread = F.sqrt(F.col("_var") * share + F.col("_mu") * F.col("_mu") * share * (F.col("_rows") - F.col("_m")) / F.col("_rows"))
+    place = F.struct("_i", (F.col("_mu") * share).alias("_mu"), F.when(spread > 1e-8, spread).otherwise(1.0).alias("_sd"))
+    each = matched(cells, rows, group).groupBy(*group).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("_k") == k, place))).alias(f"_z{k}") for k in range(len(names))])
+    d = attach(df, each, group)
+
+    def scores(a: str, z: Column) -> Column:
+        return F.transform(z, lambda p, i: (F.coalesce(F.get(a, i), F.lit(0.0)) - p["_mu"]) / p["_sd"])
+    for k, (a, length) in enumerate(arrays.items()):
+        z = F.coalesce(f"_z{k}", F.array().cast(each.schema[f"_z{k}"].dataType))
+        d = d.withColumn(a, F.concat(scores(a, z), F.array_repeat(F.lit(0.0), F.lit(length) - F.size(z))))
+    return d.drop(*[f"_z{k}" for k in range(len(names))])
 
 
 def segment_features(targets: DataFrame, tables: Mapping[str, DataFrame], group: Sequence[str], ts: str, order: Sequence[str],
@@ -143,7 +156,7 @@ def segment_features(targets: DataFrame, tables: Mapping[str, DataFrame], group:
     than the slots is picked evenly.  Columns a table lacks are left out.
     ``order`` is the order inside a second, columns of the sensor tables.
     """
-    d, made, group = targets.withColumn("_second", F.floor(ts).cast("long")), [], list(group)
+    d, made, group = targets.withColumn("_second", F.floor(ts).cast("long")), {}, list(group)
     pulse, imu = tables.get("pulse"), tables.get("motion")
     kinds = []
     if pulse is not None:
@@ -154,13 +167,18 @@ def segment_features(targets: DataFrame, tables: Mapping[str, DataFrame], group:
         if not columns:
             continue
         keys = [*group, "_second"]
-        s = seconds.raw_slots(table.withColumn("_second", F.floor(ts).cast("long")), keys, order, columns, slots, prefix)
+        s = seconds.raw_slots(table.withColumn("_second", F.floor(ts).cast("long")), keys, order, columns, slots, prefix, fill=False)
         d = attach(d, s, keys)
         for c in columns:
-            made.append(f"{prefix}_{c}_seg")
-            d = d.withColumn(made[-1], F.coalesce(f"{prefix}_{c}", F.array_repeat(F.lit(0.0), slots))).drop(f"{prefix}_{c}")
+            made[f"{prefix}_{c}_seg"] = slots
+            d = d.withColumnRenamed(f"{prefix}_{c}", f"{prefix}_{c}_seg")
     d = d.drop("_second")
-    return scaled_arrays(d, group, made) if normalise else d
+    if normalise:
+        return scaled_arrays(d, group, made)
+    for a, slots in made.items():
+        short = F.coalesce(a, F.array().cast("array<double>"))
+        d = d.withColumn(a, F.concat(short, F.array_repeat(F.lit(0.0), F.lit(slots) - F.size(short))))
+    return d
 
 
 def aligned_auxiliary(targets: DataFrame, tables: Mapping[str, DataFrame], group: Sequence[str], ts: str, tie: Sequence[str], mode: str = "raw",

@@ -57,9 +57,11 @@ def imu_features(df: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
     )
 
 
-def raw_slots(df: DataFrame, keys: Sequence[str], order: Sequence, value: str | Sequence[str], slots: int, out: str = "slots") -> DataFrame:
+def raw_slots(df: DataFrame, keys: Sequence[str], order: Sequence, value: str | Sequence[str], slots: int, out: str = "slots",
+              fill: bool = True) -> DataFrame:
     """Fixed number of raw values per bucket: all of them, zero-filled, or an even
-    pick when there are more.  Only picked rows are gathered.
+    pick when there are more.  Only picked rows are gathered.  Without ``fill``
+    the zeros at the end are left out.
 
     Several values are picked alike in one pass; their arrays are named
     ``out_value``.
@@ -80,7 +82,8 @@ def raw_slots(df: DataFrame, keys: Sequence[str], order: Sequence, value: str |
     cells = F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(*[
         F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"v{k}") for k, v in enumerate(names)]).alias("v"))))
     d = d.groupBy(*keys).agg(cells.alias("_m"))
-    places = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
+    most = F.lit(slots - 1).cast("long") if fill else F.array_max(F.map_keys("_m"))
+    places = F.sequence(F.lit(0).cast("long"), most)
 
     def filled(k: int) -> Column:
         return F.transform(places, lambda i: F.coalesce(F.col("_m")[i][f"v{k}"], F.lit(0.0)))

@@ -64,3 +64,13 @@ def test_modes(spark):
             X.standard_sensors(tables, ["g"], mode=bad)
     got = X.aligned_auxiliary(targets, tables, ["g"], "ts", ["sample"], "both", "both")
     assert got.count() == 8 and all(x is not None for r in got.collect() for x in r)
+
+
+def test_segments_travel_short(spark):
+    """No exchange carries filled-up segments: what a row takes on its way does not depend on the number of slots."""
+    rng = np.random.default_rng(3)
+    rows, tables = sensors(spark, rng, 5)
+    targets = spark.createDataFrame([(g, float(t), k) for g in (1, None) for k, t in enumerate((0.2, 1.5, 1.9, 4.0, 8.7))], "g int, ts double, sample int")
+    plan = X.segment_features(targets, tables, ["g"], "ts", ["ts", "id"], 5, 5)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Join ")
+    assert "array_repeat" in above and "array_repeat" not in below
