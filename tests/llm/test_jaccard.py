@@ -75,6 +75,16 @@ def test_components_of_planted_groups(spark, monkeypatch, seed):
     assert got == brute(rows)
 
 
+def test_last_round_forms_pairs_at_their_first_shared_shingle_only(spark):
+    # sets of 60 need 52 in common: the first of them stands at place 8 at most
+    def group(name, node, places):
+        return [(f"{name}{at}", node, 60, node, at) for at in places]
+    rows = [r for node in (1, 2, 3) for r in group("late", node, range(9, 17))] + group("early", 5, range(8, 17)) + group("early", 6, range(8, 17))
+    rows += [("size", 8, 60, 8, 0), ("size", 9, 40, 9, 0)]
+    members = spark.createDataFrame(rows, "list string, node bigint, n bigint, label bigint, at int")
+    assert [tuple(r) for r in jaccard.crossing_pairs(members, 75).collect()] == [(6, 5)]
+
+
 def test_repeated_rows_null_keys_and_long_text(spark):
     long = " ".join(f"a{k % 5000}b{k % 777}" for k in range(60_000))
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text of words"), (7, "quite another text of words"),
