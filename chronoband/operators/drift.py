@@ -1,27 +1,34 @@
 """Distances between the distribution of a base and those of other sides.
 
-Everything is long: a row per key, side and distinct value.  The base is sorted
-once and gets prefix integrals of its distribution function F and of F squared.
-A target is placed on it by as-of passes: between two of its values its own
-function is a constant g, so the integrals of ``|F - g|`` and ``(F - g)**2`` are
-differences of prefix integrals, split where F passes g.  Quantiles of base and
-target together come from ranks looked up on both.  The work is the rows of the
-base plus those of all targets, and the plan is the same for two targets and for
-every day of ten years.
+Everything is long: a row per key, side and distinct value.  One range shuffle
+cuts the values of a key, all sides together, into stretches of bounded size;
+what a stretch needs from those before it are counts, a row per stretch and
+target.  Inside a stretch the base gets prefix integrals of its distribution
+function F and of F squared.  Between two values of a target its own function is
+a constant g, so the integrals of ``|F - g|`` and ``(F - g)**2`` are differences
+of prefix integrals, split where F passes g.  Quantiles of base and target
+together come from ranks, each found in the stretch that holds it.  The work is
+the rows of the base plus those of all targets, and the plan is the same for two
+targets and for every day of ten years.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoband.functions import arrays as A
 from chronoband.functions.tails import ks_pvalue
-from chronoband.operators.ordered import attach, framed, group_sizes, indexed, matched, scanned
+from chronoband.operators.ordered import attach, indexed, matched
 from chronoband.operators.rhythm import PHASES
-from chronoband.session import materialise
+from chronoband.session import materialise, rows_per_chunk
 
 PSI_BINS = 20
 PSI_FLOOR = 1e-6
@@ -37,126 +44,139 @@ def distances(df: DataFrame, keys: Sequence[str], value: str, side: str, base: s
     side are left out; keys need both sides.
     """
     keys = list(keys)
+    both = [*keys, "target"]
     known = F.col(side).isNotNull() if targets is None else F.col(side).isin(base, *targets)
     d = df.filter(known & F.col(value).isNotNull())
     counts = materialise(d.groupBy(*keys, F.col(side).cast("string").alias("target"), F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("c")))                  # read by every step below
-    peak = group_sizes(counts, keys)[0]
-    own = F.col("target") == base
-    base_rows = materialise(_prefixed(counts.filter(own).select(*keys, "v", F.col("c").alias("b")), keys, peak))
-    ends = base_rows.groupBy(*keys).agg(F.max("nb").alias("nb"), F.max("v").alias("v_end"), F.max("i1").alias("i1_end"), F.max("i2").alias("i2_end"))
-    placed = materialise(_placed(base_rows, ends, counts.filter(~own), keys, peak))
-    queries = _crossings(placed, keys).unionByName(_pooled_ranks(placed, keys, bins, peak), allowMissingColumns=True)
-    found = materialise(_by_rank(base_rows, queries, keys, peak))
-    out = _integrals(found.filter("j IS NULL"), keys)
+        F.count(F.lit(1)).alias("c")))                  # the range shuffle reads it twice
+    parts = max(1, -(-counts.count() // rows_per_chunk(df.sparkSession)))
+    cells = materialise(counts.repartitionByRange(parts, *keys, "v").withColumn("_part", F.spark_partition_id()))
+    met = cells.groupBy(*keys, "_part").cogroup(_carried(cells, keys, base).groupBy(*keys, "_part"))
+    kept = [f for f in cells.schema.fields if f.name in both]
+    found = materialise(met.applyInArrow(_stretch(both, bins), T.StructType([*kept, *_FOUND])))
+    out = found.groupBy(*both).agg(
+        F.max("nb").alias("n_base"), F.max("nt").alias("n_target"), F.max("ks").alias("ks_stat"), F.sum("w").alias("wasserstein"),
+        F.sqrt(2 * F.sum("e")).alias("energy_distance"))
     out = out.withColumn("ks_pvalue", ks_pvalue(F.col("ks_stat"), F.col("n_base"), F.col("n_target")))
-    psi = _psi(base_rows, placed, found.filter("j IS NOT NULL"), keys, bins, peak)
-    return matched(out, psi, [*keys, "target"], "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
-
-
-def _prefixed(rows: DataFrame, keys: list[str], peak: int) -> DataFrame:
-    """Base values with running counts ``cb`` and the integrals of F and F squared from the first value up to each."""
-    d = attach(rows, rows.groupBy(*keys).agg(F.sum("b").alias("nb")), keys, "inner")
-    d = indexed(d, keys, ["v"], "_at", "_size", peak)
-    d = scanned(d, keys, ["v"], total={"cb": F.col("b")}, peak=peak, rn="_at")
-    d = framed(d, keys, ["v"], 1, 0, {"_before": lambda w: F.lag("v").over(w)}, peak, "_at")
-    level, width = (F.col("cb") - F.col("b")) / F.col("nb"), F.coalesce(F.col("v") - F.col("_before"), F.lit(0.0))
-    d = scanned(d, keys, ["v"], total={"i1": level * width, "i2": level * level * width}, peak=peak, rn="_at")
-    return d.select(*keys, "v", "b", "cb", "nb", "i1", "i2")
+    return matched(out, _psi(found, both, bins), both, "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
 
 
-def _placed(base_rows: DataFrame, ends: DataFrame, rows: DataFrame, keys: list[str], peak: int) -> DataFrame:
-    """Target values with their running counts ``ct`` and what the base has at them: counts below and up to, both integrals; ``next`` is the same of the next value."""
+def _carried(cells: DataFrame, keys: list[str], base: str) -> DataFrame:
+    """A row per stretch and target of its key: borders of the stretch, counts of base and target before it and in all."""
     both = [*keys, "target"]
-    t = attach(attach(rows, rows.groupBy(*both).agg(F.sum("c").alias("nt")), both, "inner"), ends, keys, "inner")
-    t = indexed(t, both, ["v"], "_at", "_size", peak)
-    t = scanned(t, both, ["v"], total={"ct": F.col("c")}, peak=peak, rn="_at")
-    here = F.struct("v", "b", "cb", "i1", "i2")
-    union = t.withColumn("_kind", F.lit(1)).unionByName(base_rows.select(*keys, "v", here.alias("_base"), F.lit(0).alias("_kind")), allowMissingColumns=True)
-    seen = scanned(union, keys, ["v", "_kind", "target"], last={"_p": F.col("_base")}, peak=peak).filter("_kind = 1")
-    p, gap = F.col("_p"), F.col("v") - F.col("_p.v")
-    level = p["cb"] / F.col("nb")
-    zero = lambda c, z: F.coalesce(c, F.lit(z))
-    seen = seen.select(*both, "v", "c", "ct", "nt", "nb", "v_end", "i1_end", "i2_end", "_at",
-                       zero(p["cb"], 0).cast("long").alias("upto"), zero(p["cb"] - F.when(gap == 0, p["b"]).otherwise(0), 0).cast("long").alias("below"),
-                       zero(p["i1"] + level * gap, 0.0).alias("i1"), zero(p["i2"] + level * level * gap, 0.0).alias("i2"))
-    return framed(seen, both, ["v"], 0, 1, {"next": lambda w: F.lead(F.struct("v", "below", "i1", "i2")).over(w)}, peak, "_at")
-
-
-def _crossings(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Every target value asks for the base value at which F reaches its own share (the rank of that base value)."""
-    rank = F.ceil(F.col("ct") * F.col("nb") / F.col("nt") - 1e-9) - 1
-    return placed.withColumn("rank", F.greatest(rank, F.lit(0)).cast("long")).withColumn("j", F.lit(None).cast("int"))
-
-
-def _pooled_ranks(placed: DataFrame, keys: list[str], bins: int, peak: int) -> DataFrame:
-    """The ranks next to each edge among base and target together: a value of the target, or else the base rank to look up."""
-    both = [*keys, "target"]
-    size = placed.groupBy(*both).agg((F.max("nb") + F.max("nt")).alias("n"))
-    j = size.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(bins))))
-    step = (F.col("n") - 1) * F.col("j")
-    lower, rest = F.floor(step / bins), F.pmod(step, F.lit(bins))
-    j = j.select(*both, "n", "j", rest.alias("rest"), F.explode(F.array(F.lit(0), F.lit(1))).alias("upper"), lower.alias("_lower"))
-    ask = j.withColumn("at", (F.col("_lower") + F.when(F.col("rest") > 0, F.col("upper")).otherwise(0)).cast("long")).drop("_lower")
-    start = (F.col("below") + F.col("ct") - F.col("c")).alias("at")
-    held = placed.select(*both, start, F.struct("v", (F.col("upto") + F.col("ct") - 1).alias("last"), "ct").alias("_held"), F.lit(0).alias("_kind"))
-    union = ask.withColumn("_kind", F.lit(1)).unionByName(held, allowMissingColumns=True)
-    seen = scanned(union, both, ["at", "_kind", "j", "upper"], last={"_p": F.col("_held")}, peak=peak + 2 * (bins + 1)).filter("_kind = 1")
-    mine = F.when(F.col("at") <= F.col("_p.last"), F.col("_p.v"))
-    return seen.select(*both, "j", "upper", "rest", mine.alias("value"), F.greatest(F.col("at") - F.coalesce(F.col("_p.ct"), F.lit(0)), F.lit(0)).alias("rank"))
-
-
-def _by_rank(base_rows: DataFrame, queries: DataFrame, keys: list[str], peak: int) -> DataFrame:
-    """Queries with the base value that holds their rank and the integrals up to it."""
-    held = base_rows.select(*keys, (F.col("cb") - F.col("b")).alias("rank"), F.struct("v", "i1", "i2").alias("_held"), F.lit(0).alias("_kind"))
-    union = queries.withColumn("_kind", F.lit(1)).unionByName(held, allowMissingColumns=True)
-    seen = scanned(union, keys, ["rank", "_kind", "target", "v", "j", "upper"], last={"_q": F.col("_held")}, peak=2 * peak + 1)
-    return seen.filter("_kind = 1").drop("_kind", "_held")
-
-
-def _integrals(found: DataFrame, keys: list[str]) -> DataFrame:
-    g, a, b, q = F.col("ct") / F.col("nt"), F.col("v"), F.col("next.v"), F.col("_q.v")
-    d1, d2 = F.col("next.i1") - F.col("i1"), F.col("next.i2") - F.col("i2")
-    cross = F.least(F.greatest(q, a), b)
-    at_cross = F.when(q <= a, F.col("i1")).when(q >= b, F.col("next.i1")).otherwise(F.col("_q.i1"))
-    inner_w = g * (cross - a) - (at_cross - F.col("i1")) + (F.col("next.i1") - at_cross) - g * (b - cross)
-    inner_e = d2 - 2 * g * d1 + g * g * (b - a)
-    # before a target's first value its share is nought, behind its last one it is one
-    first, last = F.col("ct") == F.col("c"), F.col("next").isNull()
-    rest = F.greatest(F.col("v_end") - a, F.lit(0.0))
-    r1 = F.when(rest > 0, F.col("i1_end") - F.col("i1")).otherwise(0.0)
-    r2 = F.when(rest > 0, F.col("i2_end") - F.col("i2")).otherwise(0.0)
-    w = F.when(last, rest - r1).otherwise(inner_w) + F.when(first, F.col("i1")).otherwise(0.0)
-    e = F.when(last, rest - 2 * r1 + r2).otherwise(inner_e) + F.when(first, F.col("i2")).otherwise(0.0)
-    share = lambda c: F.col(c) / F.col("nb")
-    gap = F.greatest(F.abs(share("upto") - g), F.when(~last, F.abs(share("next.below") - g)), F.when(first, share("below")))
-    return found.groupBy(*keys, "target").agg(
-        F.max("nb").alias("n_base"), F.max("nt").alias("n_target"), F.max(gap).alias("ks_stat"), F.sum(F.greatest(w, F.lit(0.0))).alias("wasserstein"),
-        F.sqrt(2 * F.sum(F.greatest(e, F.lit(0.0)))).alias("energy_distance"))
-
-
-def _psi(base_rows: DataFrame, placed: DataFrame, ranks: DataFrame, keys: list[str], bins: int, peak: int) -> DataFrame:
-    """Shares of base and target between the edges; the last bin includes its right edge."""
-    both = [*keys, "target"]
-    value = F.coalesce("value", F.col("_q.v"))
-    pick = lambda upper: F.max(F.when(F.col("upper") == upper, value))
-    edge = ranks.groupBy(*both, "j").agg(pick(0).alias("lo"), pick(1).alias("hi"), F.max("rest").alias("rest"))
-    at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("rest") / F.lit(float(bins)))
-    packed = edge.groupBy(*both).agg(F.array_sort(F.collect_set(at)).alias("_e"))       # at most bins + 1 edges
-    edges = packed.select(*both, F.size("_e").alias("_edges"), F.element_at("_e", -1).alias("_last"), F.explode("_e").alias("v"))
-
-    def below(rows: DataFrame, by: list[str], running: str, out: str, source: DataFrame) -> DataFrame:
-        """How many of ``rows`` are smaller than each edge: edges stand before the equal values."""
-        union = source.withColumn("_kind", F.lit(0)).unionByName(rows.select(*by, "v", F.col(running).alias("_run"), F.lit(1).alias("_kind")), allowMissingColumns=True)
-        tie = [c for c in ("target",) if c not in by]
-        seen = scanned(union, by, ["v", "_kind", *tie], last={"_p": F.col("_run")}, peak=2 * peak + bins + 1)
-        return seen.filter("_kind = 0").withColumn(out, F.coalesce("_p", F.lit(0)).cast("long")).drop("_kind", "_run", "_p")
-    counted = below(placed, both, "ct", "_t", below(base_rows, keys, "cb", "_b", edges))
-    totals = placed.groupBy(*both).agg(F.max("nb").alias("nb"), F.max("nt").alias("nt"))
-    counted = matched(counted, totals, both)
-    closed = F.col("v") == F.col("_last")
-    part = F.struct("v", F.when(closed, F.col("nb")).otherwise(F.col("_b")).alias("b"), F.when(closed, F.col("nt")).otherwise(F.col("_t")).alias("c"))
-    per = counted.groupBy(*both).agg(F.array_sort(F.collect_list(part)).alias("x"), F.max("_edges").alias("_edges"), F.max("nb").alias("nb"), F.max("nt").alias("nt"))
+    own, before = F.col("target") == base, lambda w: w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    here = cells.groupBy(*both, "_part").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    every = Window.partitionBy(*keys)
+    stretch = here.groupBy(*keys, "_part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("b"))
+    stretch = stretch.select(*[F.col(c).alias(c) for c in (*keys, "_part")], "lo", F.coalesce(F.lead("lo").over(every.orderBy("_part")), "hi").alias("hi"), "b",
+                             F.coalesce(F.sum("b").over(before(every)), F.lit(0)).alias("b0"), F.sum("b").over(every).alias("nb")).filter("nb > 0")
+    # columns of their own: all of these tables come from one
+    theirs = here.filter(~own).select(*[F.col(c).alias(c) for c in (*both, "_part")], F.col("n").alias("t"))
+    whole = theirs.groupBy(*both).agg(F.sum("t").alias("nt")).select(*[F.col(c).alias(c) for c in both], "nt")
+    wide = matched(stretch, whole, keys).select(*[F.col(c).alias(c) for c in (*both, "_part")], "lo", "hi", "b0", "nb", "nt")
+    wide = matched(wide, theirs, [*both, "_part"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    return wide.select(*[F.col(c).alias(c) for c in (*both, "_part")], "lo", "hi", "b0", "nb", "nt", "t",
+                       F.coalesce(F.sum("t").over(before(Window.partitionBy(*both))), F.lit(0)).alias("t0"))
+
+
+#: a value at one of the ranks next to an edge, with the rows of base and target below and up to it
+_RANK = T.StructType([T.StructField("j", T.IntegerType()), T.StructField("upper", T.IntegerType()), T.StructField("v", T.DoubleType()),
+                      *[T.StructField(c, T.LongType()) for c in ("b_below", "b_upto", "t_below", "t_upto")]])
+_FOUND = [T.StructField("nb", T.LongType()), T.StructField("nt", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("ks", "w", "e")],
+          T.StructField("ranks", T.ArrayType(_RANK))]
+
+
+def _first_beyond(values: np.ndarray, running: np.ndarray, other: np.ndarray, other_running: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first of ``values`` at which both running counts together exceed each rank, infinite where none does; by bisection."""
+    lo, hi = np.zeros(len(ranks), np.int64), np.full(len(ranks), len(values))
+    while (lo < hi).any():
+        at = np.minimum((lo + hi) // 2, len(values) - 1)
+        enough = running[at + 1] + other_running[np.searchsorted(other, values[at], "right")] > ranks
+        lo, hi = np.where((lo < hi) & ~enough, at + 1, lo), np.where((lo < hi) & enough, at, hi)
+    return np.append(values, np.inf)[lo]
+
+
+def _stretch(both: list[str], bins: int):
+    """Per target: largest gap and both integrals over a stretch [lo, hi), and the wanted ranks among base and target that lie in it."""
+    def run(cells: pa.Table, carried: pa.Table) -> pa.Table:
+        n = carried.num_rows
+        col = lambda name: carried.column(name).to_numpy()
+        ks, w, e, sizes, ranks = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, np.int64), []
+        if n:
+            lo, hi, b0, nb, nt, t0 = col("lo")[0], col("hi")[0], int(col("b0")[0]), int(col("nb")[0]), col("nt"), col("t0")
+            v, c = cells.column("v").to_numpy(), cells.column("c").to_numpy()
+            who = pc.fill_null(pc.index_in(cells.column("target"), value_set=carried.column("target").combine_chunks()), -1).to_numpy()
+            own = who < 0
+            order = np.argsort(v[own], kind="stable")
+            bv, cb = v[own][order], np.append(b0, b0 + np.cumsum(c[own][order]))
+            # the base's share from each of these points on, and its integrals up to them
+            points, level = np.append(lo, bv), cb / nb
+            width = np.diff(np.append(points, hi))
+            i1, i2 = np.append(0.0, np.cumsum(level * width)), np.append(0.0, np.cumsum(level * level * width))
+            # every target starts at the border with what it had before
+            tw, tv, tc = np.append(who[~own], np.arange(n)), np.append(v[~own], np.full(n, -np.inf)), np.append(c[~own], t0)
+            order = np.lexsort((tv, tw))
+            tw, tv, tc = tw[order], tv[order], tc[order]
+            start = np.searchsorted(tw, np.arange(n + 1))
+            ct = np.cumsum(tc)
+            ct -= (ct - tc)[start[:-1]][tw]
+            a, g = np.maximum(tv, lo), ct / nt[tw]
+            b = np.append(a[1:], hi)
+            b[start[1:] - 1] = hi
+            wide = b > a
+            tk, a, b, g = tw[wide], a[wide], b[wide], g[wide]
+            ia, ib = np.searchsorted(points, a, "right") - 1, np.searchsorted(points, b, "left") - 1
+            np.maximum.at(ks, tk, np.maximum(np.abs(level[ia] - g), np.abs(level[ib] - g)))
+            q = np.clip(np.append(points, hi)[np.searchsorted(level, g)], a, b)     # where the base reaches the target's share
+            iq = np.searchsorted(points, q, "right") - 1
+            upto = lambda total, height, x, i: total[i] + height[i] * (x - points[i])
+            a1, q1, b1 = (upto(i1, level, x, i) for x, i in ((a, ia), (q, iq), (b, ib)))
+            a2, b2 = (upto(i2, level * level, x, i) for x, i in ((a, ia), (b, ib)))
+            flat, gap = ia == ib, np.abs(level[ia] - g)
+            part_w = np.where(flat, gap * (b - a), g * (q - a) - (q1 - a1) + (b1 - q1) - g * (b - q))
+            part_e = np.where(flat, gap * gap * (b - a), b2 - a2 - 2 * g * (b1 - a1) + g * g * (b - a))
+            w, e = np.bincount(tk, np.maximum(part_w, 0.0), n), np.bincount(tk, np.maximum(part_e, 0.0), n)
+
+            step = (nb + nt - 1)[:, None] * np.arange(bins + 1)[None, :]
+            lower, more = step // bins, step % bins > 0
+            wanted = np.stack((lower, lower + more), axis=2).reshape(n, -1)
+            first = (b0 + t0)[:, None]
+            inside = (wanted >= first) & (wanted < first + (cb[-1] - b0 + col("t"))[:, None])
+            sizes = inside.sum(axis=1)
+            for k in np.flatnonzero(sizes):
+                mine, running = tv[start[k] + 1:start[k + 1]], ct[start[k]:start[k + 1]]
+                slot = np.flatnonzero(inside[k])
+                r = wanted[k, slot]
+                x = np.fmin(_first_beyond(bv, cb, mine, running, r), _first_beyond(mine, running, bv, cb, r))
+                ranks.append((slot // 2, slot % 2, x, cb[np.searchsorted(bv, x)], cb[np.searchsorted(bv, x, "right")],
+                              running[np.searchsorted(mine, x)], running[np.searchsorted(mine, x, "right")]))
+        kind = to_arrow_type(_RANK)
+        parts = [np.concatenate([r[i] for r in ranks]) if ranks else np.empty(0) for i in range(len(_RANK))]
+        flat = pa.StructArray.from_arrays([pa.array(p).cast(f.type) for p, f in zip(parts, kind, strict=True)], fields=list(kind))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
+        kept = carried.select(both + ["nb", "nt"])
+        for name, x in (("ks", pa.array(ks)), ("w", pa.array(w)), ("e", pa.array(e)), ("ranks", lists)):
+            kept = kept.append_column(name, x)
+        return kept
+    return run
+
+
+def _psi(found: DataFrame, both: list[str], bins: int) -> DataFrame:
+    """Shares of base and target between the edges; the last bin includes its right edge.
+
+    An edge lies between the values of two ranks that follow each other, so what
+    is below it is what is below, or up to, the first of them.
+    """
+    ranks = found.select(*both, "nb", "nt", F.inline("ranks"))
+    side = lambda upper, c: F.max(F.when(F.col("upper") == upper, c))
+    here = F.struct("v", "b_below", "b_upto", "t_below", "t_upto")
+    edge = ranks.groupBy(*both, "nb", "nt", "j").agg(side(0, here).alias("lo"), side(1, F.col("v")).alias("hi"))
+    rest = F.pmod((F.col("nb") + F.col("nt") - 1) * F.col("j"), F.lit(bins))
+    edge = edge.withColumn("at", F.col("lo.v") + (F.col("hi") - F.col("lo.v")) * (rest / F.lit(float(bins))))
+    below = lambda s: F.when(F.col("at") > F.col("lo.v"), F.col(f"lo.{s}_upto")).otherwise(F.col(f"lo.{s}_below"))
+    per = edge.groupBy(*both, "nb", "nt").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("v"), below("b").alias("b"), below("t").alias("c")))).alias("x"))  # at most bins + 1 edges
+    closed = F.struct(F.element_at("x", -1)["v"].alias("v"), F.col("nb").alias("b"), F.col("nt").alias("c"))
+    per = per.withColumn("_edges", F.size("x")).withColumn("x", F.concat(F.slice("x", 1, F.size("x") - 1), F.array(closed)))
 
     def term(i):
         share = lambda f, n: F.greatest((F.get(F.col("x"), i + 1)[f] - F.get(F.col("x"), i)[f]) / n, F.lit(PSI_FLOOR))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoband.operators import drift
+from chronoband.operators import drift, ordered
 
 
 def plain(a, b, bins=20):
@@ -51,6 +51,17 @@ def test_against_whole_arrays(spark, chunked, rows):
         assert (r.n_base, r.n_target) == (len(base), len(sides[name]))
 
 
+def test_values_are_sorted_once(spark, chunked, monkeypatch):
+    """However large a key: the counts and their stretches are written out, and what the stretches found."""
+    chunked(60)
+    made = []
+    for module in (drift, ordered):
+        monkeypatch.setattr(module, "materialise", lambda df, real=module.materialise: made.append(1) or real(df))
+    sides, base = samples(np.random.default_rng(2))
+    df = spark.createDataFrame([("base", float(x)) for x in base] + [(n, float(x)) for n, xs in sides.items() for x in xs], "side string, x double").withColumn("k", F.lit(1))
+    assert drift.distances(df, ["k"], "x", "side", "base").count() == len(sides) and len(made) == 3
+
+
 def test_constant_base_and_empty(spark):
     df = spark.createDataFrame([("base", 2.0)] * 5 + [("t", 2.0)] * 3 + [("u", 3.0)] * 3, "side string, x double").withColumn("k", F.lit(1))
     got = {r.target: (r.ks_stat, r.wasserstein, round(r.energy_distance, 9), r.psi) for r in drift.distances(df, ["k"], "x", "side", "base").collect()}
