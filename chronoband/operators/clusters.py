@@ -50,7 +50,7 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _lloyd(centres: np.ndarray):
-    """One Lloyd step of all restarts: per task a row (restart, cluster, rows, cost, sums) for every centre that got rows.  ``centres`` is restarts x k x bins."""
+    """One Lloyd step of all restarts: per task the sums (centre, i, s) of every centre that got rows, ``i`` being a bin or what follows: rows and cost.  ``centres`` is restarts x k x bins."""
     restarts, k, width = centres.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,23 +68,22 @@ def _lloyd(centres: np.ndarray):
             member[np.arange(len(x))[:, None], at] = 1.0
             sums += member.T @ x
         used = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(used.astype(np.int32)), "n": pa.array(rows[used]), "cost": pa.array(cost[used]),
-                                          "sums": pa.array(sums[used].tolist(), pa.list_(pa.float64()))})
+        cells = np.column_stack((sums, rows, cost))[used]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.repeat(used, width + 2).astype(np.int32)),
+                                          "i": pa.array(np.tile(np.arange(width + 2, dtype=np.int32), len(used))), "s": pa.array(cells.ravel())})
     return run
 
 
 def lloyd_step(x: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(new centres, cost of each restart); a centre without rows stays.  The driver gets one row per (restart, cluster)."""
+    """(new centres, cost of each restart); a centre without rows stays.  One pass over the rows; the driver gets the sums of each (restart, cluster)."""
     restarts, k, width = centres.shape
-    parts = x.mapInArrow(_lloyd(centres), "at int, n long, cost double, sums array<double>")
-    cells = parts.select("at", F.posexplode("sums").alias("i", "s")).groupBy("at", "i").agg(F.sum("s").alias("s"))
-    sums = cells.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("cells"))
-    total = parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
-    new, cost = centres.copy().reshape(-1, width), np.zeros(restarts * k)
-    for r in total.join(sums, "at").collect():  # at most restarts x k rows
-        new[r["at"]] = np.array([c.s for c in r.cells]) / r.n
-        cost[r["at"]] = r.cost
-    return new.reshape(centres.shape), cost.reshape(restarts, k).sum(axis=1)
+    parts = x.mapInArrow(_lloyd(centres), "at int, i int, s double")
+    sums = np.zeros((restarts * k, width + 2))
+    for r in parts.groupBy("at", "i").agg(F.sum("s").alias("s")).collect():  # at most restarts x k x (width + 2) rows
+        sums[r.at, r.i] = r.s
+    new, got = centres.copy().reshape(-1, width), sums[:, width] > 0
+    new[got] = sums[got, :width] / sums[got, width:width + 1]
+    return new.reshape(centres.shape), sums[:, width + 1].reshape(restarts, k).sum(axis=1)
 
 
 def kmeans_centres(df: DataFrame, k: int, seed: int = 42, restarts: int = 12, iterations: int = 60, features: str = "features",
@@ -241,7 +240,8 @@ def cluster_report(df: DataFrame, key: str, phase: str, experiment: str, k: int
 
     Shares are of a cluster's rows and cover the names that occur in it.
     """
-    d = materialise(kmeans(df, k, seed, features=features).select(key, phase, experiment, features, "cluster"))
+    d = materialise(df.select(key, phase, experiment, features))     # the runs of k-means and what follows read it
+    d = materialise(kmeans(d, k, seed, features=features))
 
     def table(kind: str, name: str) -> DataFrame:
         n = d.groupBy("cluster", F.col(name).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))

@@ -31,6 +31,31 @@ def test_all_restarts_step_together(spark):
         assert np.allclose(new[r], want) and np.isclose(cost[r], far.min(1).sum())
 
 
+def counted(df):
+    """``df`` and an accumulator of the rows that were read of it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_a_step_reads_its_rows_once(spark):
+    x, df = blobs(spark)
+    rows, seen = counted(df.select("features"))
+    L.lloyd_step(rows, np.random.default_rng(3).normal(4, 4, (5, 4, 3)))
+    assert seen.value == len(x)
+
+
+def test_a_cluster_report_reads_its_rows_once(spark):
+    x, df = blobs(spark)
+    rows, seen = counted(df)
+    assert {r.kind for r in L.cluster_report(rows, "id", "phase", "exp").collect()} == {"phase", "experiment", "whole"}
+    assert seen.value == len(x)
+
+
 def test_kmeans_finds_the_blobs(spark):
     x, df = blobs(spark)
     out = L.kmeans(df.unionByName(spark.createDataFrame([(999, None, None, None)], df.schema)), 4).collect()
