@@ -128,7 +128,7 @@ al AS (SELECT 'random' AS strategy, * FROM s1 UNION ALL SELECT 'date', * FROM s2
 
 def strategies(spark, d):
     """Samples once per diagnostic strategy, each with its own split."""
-    s = _day(phased(spark, d)).select("event_id", "exp_id", "us", "day", "value", "phase")
+    s = materialise(_day(phased(spark, d)).select("event_id", "exp_id", "us", "day", "value", "phase"))     # every split reads it
     wide = X.diagnostic_random(s, "event_id").withColumnRenamed("split", "random")
     wide = X.diagnostic_by_first_time(wide, "day", "us").withColumnRenamed("split", "date")
     wide = X.diagnostic_by_first_time(wide, "exp_id", "us").withColumnRenamed("split", "experiment")
@@ -311,7 +311,7 @@ def distinct(spark, d):
 
 
 def master(spark, d):
-    s = _day(phased(spark, d)).join(I.spectra(spark, d).select(F.col("vec_id").alias("event_id"), "power", "label"), "event_id")
+    s = materialise(_day(phased(spark, d)).join(I.spectra(spark, d).select(F.col("vec_id").alias("event_id"), "power", "label"), "event_id"))
     return R.master_table(s, "exp_id", "day", "us", ["event_id"])
 
 
@@ -327,7 +327,8 @@ def master_table(spark, d):
 @query("a17_diagnostic_summary")
 def summary(spark, d):
     s = materialise(split_days_with_power(spark, d))    # read by every part of the summary
-    err = nearest_error(s, I.knots(spark, d), ["exp_id"], "t", "kt", "align_error", ["event_id"])
+    err = nearest_error(s.select("exp_id", "t", "event_id", "value", "phase"), I.knots(spark, d), ["exp_id"], "t", "kt", "align_error", ["event_id"])
+    err = materialise(err.select("exp_id", "value", "phase", "align_error"))
     dist = D.shift_report(s, "split", "day", SHIFT_VARIABLES, DAY_VARIABLES)
     shift_ = D.split_shift(strategies(spark, d), "strategy", "split", "value", "phase")
     audit_ = R.audit(I.targets(spark, d), I.knots(spark, d), ["exp_id"], "t", "kt", "y", ["event_id"], ["kid"])
