@@ -68,6 +68,7 @@ def test_components_of_planted_groups(spark, monkeypatch, seed):
         monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)  # the last round alone must find every link
     if seed == 2:
         monkeypatch.setattr(jaccard, "PER_HUB", 3)
+        monkeypatch.setattr(jaccard, "PICKED", 1)
         monkeypatch.setattr(jaccard, "HOT", 0)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id bigint, text string, node int, list string")
@@ -75,8 +76,8 @@ def test_components_of_planted_groups(spark, monkeypatch, seed):
     assert got == brute(rows)
 
 
-def test_last_round_forms_pairs_at_their_first_shared_shingle_only(spark):
-    # sets of 60 need 52 in common: the first of them stands at place 8 at most
+def test_last_round_forms_pairs_that_agree_early_only(spark):
+    # sets of 60 need 52 in common: the first two of them stand at place 9 at most
     def group(name, node, places):
         return [(f"{name}{at}", node, 60, node, at) for at in places]
     rows = [r for node in (1, 2, 3) for r in group("late", node, range(9, 17))] + group("early", 5, range(8, 17)) + group("early", 6, range(8, 17))
