@@ -135,7 +135,8 @@ def _stretch(both: list[str], bins: int):
             flat, gap = ia == ib, np.abs(level[ia] - g)
             part_w = np.where(flat, gap * (b - a), g * (q - a) - (q1 - a1) + (b1 - q1) - g * (b - q))
             part_e = np.where(flat, gap * gap * (b - a), b2 - a2 - 2 * g * (b1 - a1) + g * g * (b - a))
-            w, e = np.bincount(tk, np.maximum(part_w, 0.0), n), np.bincount(tk, np.maximum(part_e, 0.0), n)
+            np.add.at(w, tk, np.maximum(part_w, 0.0))
+            np.add.at(e, tk, np.maximum(part_e, 0.0))
 
             step = (nb + nt - 1)[:, None] * np.arange(bins + 1)[None, :]
             lower, more = step // bins, step % bins > 0
