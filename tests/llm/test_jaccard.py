@@ -137,3 +137,37 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(1, 40)] + [(100, 101)], "x bigint, y bigint")
     got = {r.node: r.label for r in components(edges).collect()}
     assert got == {**{k: 1 for k in range(2, 41)}, 101: 100}
+
+
+def test_sketches_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 5, 60, 300, 900) for _ in range(4)] + [pool[:0]]
+    marks = jaccard.sketches(sets).view(np.uint64)
+    for a, x in zip(marks, sets, strict=True):
+        for b, y in zip(marks, sets, strict=True):
+            assert sum(int(v).bit_count() for v in a ^ b) <= len(np.setxor1d(x, y))
+    assert not marks[-1].any()
+
+
+def test_last_round_forms_no_pair_whose_sketches_differ_too_much(spark):
+    # sets of 63 link with at most 18 differing shingles
+    def mark(node, ones):
+        return (node, (1 << ones) - 1, *[0] * (len(jaccard.SKETCH) - 1))
+    members = spark.createDataFrame([(f"l{at}", node, 63, node, at) for node in (1, 2, 3) for at in range(8)],
+                                    "list string, node bigint, n bigint, label bigint, at int")
+    marks = spark.createDataFrame([mark(1, 0), mark(2, 18), mark(3, 37)], ["node", *jaccard.SKETCH])
+    assert sorted(tuple(r) for r in jaccard.crossing_pairs(members, 75).collect()) == [(2, 1), (3, 1), (3, 2)]
+    assert [tuple(r) for r in jaccard.crossing_pairs(members, 75, marks).collect()] == [(2, 1)]
+    assert [tuple(r) for r in jaccard.star_pairs(members, marks, 0, 75).where("least(x, y) <> 1 OR greatest(x, y) <> 2").collect()] == []
+
+
+def test_counters_travel_in_few_rows(spark):
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 900}" for j in range(40))) for k in range(300)] + [(None, "a b c d e f"), (7, "")]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    seen = docs.mapInArrow(jaccard._inspect(5), jaccard._INSPECTED).cache()
+    assert seen.where("kind = 1").count() <= 3 * jaccard.COUNTERS // jaccard.BLOCK
+    sets = [shingle_set(t) for _, t in rows]
+    want = np.bincount((np.concatenate(sets) % np.uint64(jaccard.COUNTERS)).astype(np.int64), minlength=jaccard.COUNTERS)
+    assert (jaccard._counters(seen) == want).all()
+    seen.unpersist()
