@@ -2,9 +2,10 @@
 
 Both kinds of tokenizer used here treat the text between two white-space
 boundaries on its own, so the ids of a text are the ids of its pieces joined.
-A worker encodes a piece once and keeps a bounded table of pieces; a word of
+A worker encodes a piece once and keeps a bounded table of pieces; a run of
 Latin letters goes straight to the tokenizer's model, which its other steps
-would hand it unchanged.  Tokenizers whose rules are unknown to this module
+would hand it unchanged, and the marks and digits between such runs, which are
+few, are kept in a table of their own.  Tokenizers whose rules are unknown to this module
 encode whole texts.
 """
 
@@ -15,13 +16,20 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from operator import attrgetter
 
 import numpy as np
 
 #: pieces in the younger of two generations; what is used again moves from the older one
 CACHED_PIECES = 250_000
 LONGEST_CACHED = 64
-LAST_LATIN, ENDINGS = "\xff", (".", ",")
+#: runs between letters that are kept
+CACHED_MARKS = 20_000
+_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: letters, ASCII marks but the apostrophe, digits and single line ends inside: both kinds part them where letters begin and end
+_SIMPLE = re.compile(rf"(?!\n)(?:[{_LATIN}!-&(-@\[-`{{-~]|\n(?!\n))+")
+_RUNS = re.compile(rf"[{_LATIN}]+|[^{_LATIN}]+")
+_ID = attrgetter("id")
 _TWO_SPACES = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
@@ -58,33 +66,54 @@ class Encoder:
         self.spelled_lead = self.lead.translate(self.spelled)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.older: dict[str, bytes] = {}
-        self.endings: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        added = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values() if t.content}
+        self.may_be_added = re.compile("[" + re.escape("".join(sorted(added))) + "]") if added else re.compile(r"(?!)")
         self.known: dict[str, bytes] = {}  # word: ids of the word with its leading space, where the kind has one
 
     def _alone(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of Latin letters: the model's own, since no other step of the tokenizer changes it."""
+    def _letters(self, word: str, lead: str) -> bytes:
+        """Ids of a run of Latin letters: the model's own, since no other step of the tokenizer changes it."""
         if self.kind == "space-free":
             word = word.lower()
-        spelled = self.spelled_lead + (word if word.isascii() else word.translate(self.spelled))
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        spelled = lead + (word if word.isascii() else word.translate(self.spelled))
+        return array(self.code, map(_ID, self.tokenizer.model.tokenize(spelled))).tobytes()
+
+    def _marks(self, run: str) -> bytes:
+        ids = self.marks.get(run)
+        if ids is None:
+            if len(self.marks) >= CACHED_MARKS:
+                self.marks.clear()
+            ids = self.marks[run] = self._alone(run)
+        return ids
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
+        known, older = self.known, self.older
         for word in words:
-            ids = self.older.get(word)
+            ids = older.get(word)
             if ids is None:
-                base, end = (word[:-1], word[-1]) if word[-1:] in ENDINGS and len(word) > 1 else (word, "")
-                if base.isalpha() and (base.isascii() or max(base) <= LAST_LATIN):
-                    ids = self.known.get(base) or found.get(base) or self.older.get(base)
-                    if ids is None:
-                        ids = found[base] = self._letters(base)
-                    if end:
-                        if end not in self.endings:
-                            self.endings[end] = self._alone(end)
-                        ids += self.endings[end]
+                if word.isalpha() and _SIMPLE.fullmatch(word):
+                    ids = found.get(word) or self._letters(word, self.spelled_lead)
+                elif _SIMPLE.fullmatch(word) and not self.may_be_added.search(word):
+                    first, *rest = _RUNS.findall(word)
+                    if first.isalpha():
+                        ids = known.get(first) or found.get(first) or older.get(first)
+                        if ids is None:
+                            ids = found[first] = self._letters(first, self.spelled_lead)
+                    else:
+                        ids = self._marks(self.lead + first)
+                    for run in rest:
+                        if not run.isalpha():
+                            ids += self._marks(run)
+                            continue
+                        inner = run + " "  # no piece ends in a space that follows a letter
+                        own = known.get(inner) or found.get(inner) or older.get(inner)
+                        if own is None:
+                            own = found[inner] = self._letters(run, "")
+                        ids += own
                 else:
                     ids = self._alone(self.lead + word)
             found[word] = ids
@@ -95,7 +124,7 @@ class Encoder:
             return [np.frombuffer(self._alone(t), dtype=self.dtype) for t in texts]
         if len(self.known) > CACHED_PIECES:
             self.known, self.older = {}, self.known
-        split, missing = [], set()
+        known, split, missing = self.known, [], set()
         for text in texts:
             first = b""
             if self.kind == "space-free":
@@ -106,17 +135,15 @@ class Encoder:
             else:
                 head, *words = text.split(" ")
                 first = self._alone(head)
-            got = list(map(self.known.get, words))
-            gaps = [k for k, ids in enumerate(got) if ids is None]
-            missing.update([words[k] for k in gaps])
-            split.append((first, words, got, gaps))
+            missing.update(words)
+            split.append((first, words))
+        missing = missing.difference(known)
         new = self._learn(missing)
-        out = []
-        for first, words, got, gaps in split:
-            for k in gaps:
-                got[k] = new[words[k]]
-            out.append(np.frombuffer(first + b"".join(got), dtype=self.dtype))
-        self.known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_CACHED)
+        known.update(new)
+        out = [np.frombuffer(first + b"".join(map(known.__getitem__, words)), dtype=self.dtype) for first, words in split]
+        for word in missing:
+            if len(word) > LONGEST_CACHED or "\n" in word:
+                del known[word]
         return out
 
 

@@ -46,6 +46,24 @@ def test_words_of_letters(text):
         assert ENCODERS[f]([text])[0].tolist() == plain(f, text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abteSÉßéµÿ.,!&*\"(-_/12<|>'\n\n  ")), max_size=60))
+def test_words_with_marks_inside(text):
+    for f in FILES:
+        assert ENCODERS[f]([text])[0].tolist() == plain(f, text)
+
+
+def test_marks_between_letters_are_encoded_once(monkeypatch):
+    words = [f"{a}{b}{mark}" for mark in ("!!", "&&&", ".\nThen", "-", ")") for a in ("qu", "vé", "zo") for b in ("ra", "il", "Ém")]
+    for f in FILES:
+        own, asked = Encoder(public_tokenizers.path(f)), []
+        alone = own._alone
+        monkeypatch.setattr(own, "_alone", lambda piece, alone=alone, asked=asked: asked.append(piece) or alone(piece))
+        text = "start " + " ".join(words)
+        assert own([text])[0].tolist() == plain(f, text)
+        assert len(asked) <= 7
+
+
 @given(st.lists(st.sampled_from([0, 1, 2, 77_000, 2**31, *range(300)]), max_size=900))
 @settings(max_examples=60, deadline=None)
 def test_code_round_trip(ids):
