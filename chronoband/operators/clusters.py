@@ -21,7 +21,7 @@ from chronoband.operators.normalise import scale_for_distance
 from chronoband.operators.ordered import matched
 from chronoband.session import materialise
 
-# fixed value: most rows a silhouette is computed on
+# fixed value: most rows a silhouette is computed on unless all are asked for
 SILHOUETTE_ROWS = 2000
 
 
@@ -127,70 +127,109 @@ def kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 12, iterations
 
 #: rows of a block; a tile is a block against a block
 BLOCK_ROWS = 2048
-#: most left partitions and rows of a right partition: every left partition meets every right one
-LEFT_PARTS, RIGHT_ROWS = 128, 65_536
+#: most partitions of a side: every left partition meets every right one, and each brings a sum per row and cluster
+SIDE_PARTS = 24
 #: cells of a tile that exist at a time
 TILE_CELLS = 1 << 17
 #: a squared distance below this share of the squared norms is computed from the differences
 CLOSE = 1e-4
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of all rows of ``x`` and ``y`` by one matrix product, those of near rows by their differences."""
+def _distances(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distances of all rows of ``x`` and ``y``, some rows of ``x`` at a time, by one matrix product; those of near rows by their differences."""
     centre = y[0]
     x, y = x - centre, y - centre
-    norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
-    far = (-2 * x) @ y.T
-    far += norms
-    norms *= CLOSE
-    i, j = np.divmod(np.flatnonzero(~(far >= norms)), len(y))
-    for at in range(0, len(i), 1 << 16):
-        a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-        far[a, b] = ((x[a] - y[b]) ** 2).sum(axis=1)
-    far += 1e-12
-    return np.sqrt(far, out=far)
-
-
-def _tiles(key: T.DataType, own: T.DataType):
-    """Per row of a left block and cluster of the right blocks that follow each other: sum and number of distances, without the row itself."""
-    key, own = to_arrow_type(key), to_arrow_type(own)
-
-    def rows(keys, mine, found: dict) -> Iterator[pa.RecordBatch]:
-        for kind, (total, n) in found.items():
-            yield pa.RecordBatch.from_arrays([keys.cast(key), mine.cast(own), pa.array([kind] * len(keys), own), pa.array(total), pa.array(n)],
-                                             names=["key", "own", "cluster", "total", "n"])
+    own, other = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    left = np.column_stack((-2 * x, own, np.ones(len(x))))
+    right = np.ascontiguousarray(np.column_stack((y, np.ones(len(y)), other)).T)
+    bound, step = CLOSE * (own + other.max()), max(1, TILE_CELLS // len(y))
+    for k in range(0, len(x), step):
+        far = left[k:k + step] @ right
+        if not (far.min(axis=1) >= bound[k:k + step]).all():
+            i, j = np.nonzero(~(far >= CLOSE * (own[k:k + step, None] + other)))
+            for at in range(0, len(i), 1 << 16):
+                a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                far[a, b] = ((x[k + a] - y[b]) ** 2).sum(axis=1)
+        far += 1e-12
+        yield k, np.sqrt(far, out=far)
+
+
+def _members(own: np.ndarray) -> tuple[list, np.ndarray]:
+    """The clusters of a block, and a matrix of its rows and clusters."""
+    kinds, place = np.unique(own, return_inverse=True)
+    member = np.zeros((len(own), len(kinds)))
+    member[np.arange(len(own)), place] = 1.0
+    return kinds.tolist(), member
+
+
+def _tiles(own: T.DataType):
+    """Sums of distances of the rows of a block, per cluster, over the blocks they meet in a task; ``less`` are the rows of that cluster that do not count, as they have the row's key."""
+    own = to_arrow_type(own)
+
+    def sums(block: int, found: dict, less: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(list(found), own), pa.array([t.tobytes() for t in found.values()]),
+                                           pa.array([less[c].tobytes() if c in less else None for c in found], pa.binary())], names=["block", "cluster", "total", "less"])
+
+    def add(found: dict, kinds: list, totals: np.ndarray) -> None:
+        for kind, total in zip(kinds, totals, strict=True):
+            found[kind] = found[kind] + total if kind in found else total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = keys = mine = None
-        found: dict = {}
+        block, found, less, others = None, {}, {}, {}
         for batch in batches:
             for r in range(batch.num_rows):
-                at = lambda name: batch.column(name)[r].values
+                at = lambda name: batch.column(name)[r].values.to_numpy(zero_copy_only=False)
                 if batch.column("block")[r].as_py() != block:
                     if found:
-                        yield from rows(keys, mine, found)
-                    block, keys, mine, found = batch.column("block")[r].as_py(), at("keys"), at("own"), {}
-                    x = at("x").to_numpy(zero_copy_only=False).reshape(len(keys), -1)
-                theirs = at("theirs").to_numpy(zero_copy_only=False)
-                y = at("y").to_numpy(zero_copy_only=False).reshape(len(theirs), -1)
-                kinds, place = np.unique(theirs, return_inverse=True)
-                member = np.zeros((len(y), len(kinds)))
-                member[np.arange(len(y)), place] = 1.0
-                same = batch.column("other")[r].as_py() == block    # a key has one block, so only there a row can meet itself
-                left = keys.to_numpy(zero_copy_only=False) if same else None
-                step = max(1, TILE_CELLS // max(1, len(y)))
-                total, n = np.empty((len(x), len(kinds))), np.empty((len(x), len(kinds)), np.int64)
-                for k in range(0, len(x), step):
-                    far, count = _distances(x[k:k + step], y), member.sum(axis=0)
-                    if same:
-                        counted = left[k:k + step, None] != left[None, :]
-                        far, count = np.where(counted, far, 0.0), counted @ member
-                    total[k:k + step], n[k:k + step] = far @ member, count
-                for c, kind in enumerate(kinds.tolist()):
-                    before = found.get(kind, (0.0, 0))
-                    found[kind] = before[0] + total[:, c], before[1] + n[:, c]
+                        yield sums(block, found, less)
+                    block, found, less = batch.column("block")[r].as_py(), {}, {}
+                    keys, (mine, in_mine) = at("keys"), _members(at("own"))
+                    x = at("x").reshape(len(keys), -1)
+                theirs, in_theirs = _members(at("theirs"))
+                y, other = at("y").reshape(len(in_theirs), -1), batch.column("other")[r].as_py()
+                total = np.empty((len(x), len(theirs)))
+                if other == block:                                  # a key has one block, so only there a row can meet itself
+                    out = np.empty((len(x), len(theirs)))
+                    for k, far in _distances(x, y):
+                        same = keys[k:k + len(far), None] == keys
+                        same[np.arange(len(far)), np.arange(k, k + len(far))] = True
+                        total[k:k + len(far)], out[k:k + len(far)] = np.where(same, 0.0, far) @ in_theirs, same @ in_theirs
+                    less = dict(zip(theirs, out.T.astype(np.int64), strict=True))
+                else:
+                    back = np.zeros((len(mine), len(y)))
+                    for k, far in _distances(x, y):
+                        total[k:k + len(far)] = far @ in_theirs
+                        back += in_mine[k:k + len(far)].T @ far
+                    add(others.setdefault(other, {}), mine, back)
+                add(found, theirs, total.T)
         if found:
-            yield from rows(keys, mine, found)
+            yield sums(block, found, less)
+        for other, back in others.items():
+            yield sums(other, back, {})
+    return run
+
+
+def _summed(own: T.DataType):
+    """Rows sorted by (block, cluster): their sums as arrays, a place per row of the block."""
+    own = to_arrow_type(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = total = less = None
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], own), pa.array([total], pa.list_(pa.float64())),
+                                               pa.array([less], pa.list_(pa.int64()))], names=["block", "cluster", "total", "less"])
+        for batch in batches:
+            for block, cluster, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, cluster) != now:
+                    if now is not None:
+                        yield closed()
+                    now, total, less = (block, cluster), np.zeros(len(t) // 8), np.zeros(len(t) // 8, np.int64)
+                total += np.frombuffer(t)
+                if n is not None:
+                    less += np.frombuffer(n, np.int64)
+        if now is not None:
+            yield closed()
     return run
 
 
@@ -199,11 +238,11 @@ def pair_sums(df: DataFrame, key: str, features: str = "features", cluster: str
     """Per row and cluster: sum and number of the Euclidean distances to the other rows: key, own, cluster, total, n.
 
     ``most`` rows, the same ones every time, or all.  Rows are dealt to blocks by
-    a hash of their key, every pair of blocks is a tile.  Blocks lie in partitions
-    on both sides of a cross join, so a row is shuffled twice whatever the number
-    of tiles; pairs of rows exist only inside a tile, and a left block keeps one
-    sum per row and cluster over all blocks of a right partition.  The key is
-    unique and has no nulls.
+    a hash of their key, every two blocks are a tile, computed once for both.
+    Blocks lie in partitions on both sides of a cross join, so a row is shuffled
+    twice whatever the number of tiles; pairs of rows exist only inside a tile,
+    and a task keeps one sum per row and cluster of the blocks it has.  The key
+    is unique and has no nulls.
     """
     d = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("own")).where("x IS NOT NULL AND own IS NOT NULL")
     if most is not None:
@@ -211,17 +250,23 @@ def pair_sums(df: DataFrame, key: str, features: str = "features", cluster: str
         d = d.join(chosen, "key", "left_semi")
     d = materialise(d)
     blocks = max(1, -(-d.count() // block))
-    dealt = d.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    dealt = d.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("long"))
     packed = materialise(dealt.groupBy("block").agg(F.collect_list(F.struct("key", "own", "x")).alias("rows")).select(
         "block", F.col("rows.key").alias("keys"), F.col("rows.own").alias("own"), F.flatten("rows.x").alias("x")))
-    left = packed.repartition(min(blocks, LEFT_PARTS), "block")
-    right = packed.select(F.col("block").alias("other"), F.col("own").alias("theirs"), F.col("x").alias("y")).repartition(max(1, -(-blocks * block // RIGHT_ROWS)), "other")
-    kind = lambda c: d.schema[c].dataType
-    out = T.StructType([T.StructField("key", kind("key")), T.StructField("own", kind("own")), T.StructField("cluster", kind("own")),
-                        T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+    sides = min(blocks, SIDE_PARTS)
+    left = packed.repartition(sides, "block")
+    right = packed.select(F.col("block").alias("other"), F.col("own").alias("theirs"), F.col("x").alias("y")).repartition(sides, "other")
+    # one of the two ways round, each for half of the tiles of any task
+    turn = (F.col("block") == F.col("other")) | ((F.col("block") < F.col("other")) == ((F.col("block") + F.col("other")) % 2 == 0))
+    own = d.schema["own"].dataType
+    out = lambda total, less: T.StructType([T.StructField("block", T.LongType()), T.StructField("cluster", own), T.StructField("total", total), T.StructField("less", less)])
     # a broadcast side would leave the work to the few partitions of the other
-    parts = left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(_tiles(kind("key"), kind("own")), out)
-    return parts.groupBy("key", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    parts = left.join(right.hint("shuffle_replicate_nl"), turn).mapInArrow(_tiles(own), out(T.BinaryType(), T.BinaryType()))
+    sums = parts.repartition("block").sortWithinPartitions("block", "cluster").mapInArrow(_summed(own), out(T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType())))
+    cells = sums.join(packed.select("block", "keys", "own"), "block").select("cluster", F.inline(F.arrays_zip("keys", "own", "total", "less")))
+    sizes = d.groupBy(F.col("own").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    rows = cells.join(sizes, "cluster").select(F.col("keys").alias("key"), "own", "cluster", "total", (F.col("size") - F.col("less")).alias("n"))
+    return rows.groupBy("key", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def silhouette(df: DataFrame, key: str, features: str = "features", cluster: str = "cluster", seed: int = 42,
@@ -238,7 +283,8 @@ def silhouette(df: DataFrame, key: str, features: str = "features", cluster: str
 def cluster_report(df: DataFrame, key: str, phase: str, experiment: str, k: int = 4, seed: int = 42, features: str = "features") -> DataFrame:
     """Clusters held against phases and experiments, and their silhouette: kind, cluster, name, value.
 
-    Shares are of a cluster's rows and cover the names that occur in it.
+    Shares are of a cluster's rows and cover the names that occur in it.  The
+    silhouette is that of all rows; one without a key has none.
     """
     d = materialise(df.select(key, phase, experiment, features))     # the runs of k-means and what follows read it
     d = materialise(kmeans(d, k, seed, features=features))
@@ -247,7 +293,7 @@ def cluster_report(df: DataFrame, key: str, phase: str, experiment: str, k: int
         n = d.groupBy("cluster", F.col(name).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
         whole = n.groupBy("cluster").agg(F.sum("n").alias("all"))
         return matched(n, whole, ["cluster"]).select(F.lit(kind).alias("kind"), "cluster", "name", (F.col("n") / F.col("all")).alias("value"))
-    scored = silhouette(d, key, features, "cluster", seed)
+    scored = silhouette(d.where(F.col(key).isNotNull()), key, features, "cluster", seed, most=None)
     whole = scored.select(F.inline(F.array(F.struct(F.lit("silhouette").alias("name"), F.col("silhouette").alias("value")),
                                            F.struct(F.lit("n_rows").alias("name"), F.col("n_rows").cast("double").alias("value")))))
     whole = whole.select(F.lit("whole").alias("kind"), F.lit(None).cast("int").alias("cluster"), "name", "value")

@@ -131,3 +131,29 @@ def test_pairs_are_not_shuffled(spark):
     got = {(r.key, r.cluster): r.total for r in L.pair_sums(df, "id", most=None, block=8).collect()}
     want = plain_sums(x, np.arange(40) % 2)
     assert all(np.isclose(got[k], want[k][0], rtol=1e-9, atol=0) for k in want)
+
+
+def test_the_report_scores_every_row(spark):
+    """More rows than the silhouette's own bound: its value and number are those of all of them."""
+    n = L.SILHOUETTE_ROWS + 300
+    x, df = blobs(spark, 6, n)
+    rows = L.cluster_report(df, "id", "phase", "exp").collect()
+    whole = {r.name: r.value for r in rows if r.kind == "whole"}
+    assert whole["n_rows"] == n and np.isclose(whole["silhouette"], plain_silhouette(x, np.arange(n) % 4))
+
+
+def test_rows_that_share_a_key_are_no_pairs(spark):
+    """Blocks of every parity, a block of one row and keys that repeat."""
+    rng = np.random.default_rng(8)
+    x, labels, keys = rng.normal(size=(70, 5)), rng.integers(0, 3, 70), np.arange(70) // 2
+    df = spark.createDataFrame([(int(k), v.tolist(), int(c)) for k, v, c in zip(keys, x, labels)], "id long, features array<double>, cluster int")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2) + 1e-12)
+    want = {}
+    for i in range(70):
+        for c in range(3):
+            at = (labels == c) & (keys != keys[i])
+            t, n = want.get((keys[i], labels[i], c), (0.0, 0))
+            want[keys[i], labels[i], c] = t + far[i, at].sum(), n + int(at.sum())
+    for block in (1, 3, 9, 100):
+        got = {(r.key, r.own, r.cluster): (r.total, r.n) for r in L.pair_sums(df, "id", most=None, block=block).collect()}
+        assert set(got) == set(want) and all(np.isclose(got[k][0], want[k][0]) and got[k][1] == want[k][1] for k in want)
