@@ -8,11 +8,14 @@ import struct
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chronoband.plans import landing
 from chronoband.sources import binary as B
 from chronoband.sources import recorder as R
+from tests.conftest import SMALL
 
 
 def spectrum_bytes(rng, n, width=None, zeros=False):
@@ -164,3 +167,41 @@ def test_many_ranges_share_tasks(spark, tmp_path):
     with R.open_file(str(tmp_path / "s0.bin")) as f:
         found = R.first_border(f, size, R.SPECTRUM, at)
     assert found >= at and (found - R.SPECTRUM_HEADER) % 276 in (0, 266) and found - at < 276
+
+
+def with_a_lost_file(monkeypatch):
+    """The queries' own files, and one that is gone when it is read."""
+    listed = B.listed
+
+    def also(spark, *args):
+        return listed(spark, *args).unionByName(spark.createDataFrame([("file:/no/such/folder/a.bin", 5000)], "path string, length bigint"))
+    monkeypatch.setattr(B, "listed", also)
+
+
+def test_a_lost_file_ends_the_pulse_table(spark, monkeypatch):
+    assert landing.demultiplexed(spark, SMALL).count() > 0
+    with_a_lost_file(monkeypatch)
+    with pytest.raises(Exception, match="No such file"):
+        landing.demultiplexed(spark, SMALL).count()
+
+
+@pytest.mark.parametrize("block", [700, 1 << 20])
+def test_a_file_cut_short_after_listing_ends_the_read(spark, tmp_path, block):
+    data, borders = aux_bytes(random.Random(12), 400)
+    path = tmp_path / "a.bin"
+    path.write_bytes(data)
+    files = B.listed(spark, str(tmp_path), "*.bin").collect()
+    path.write_bytes(data[:borders[250]])
+    files = spark.createDataFrame(files, "path string, length bigint")
+    with pytest.raises(Exception, match="when it was listed"):
+        B.read_aux(files, block).count()
+    assert [(r.path, r.error) for r in B.rejects(files, "aux").collect()] == [(f"file:{path}", "unreadable: OSError")]
+    assert B.read_aux(B.listed(spark, str(tmp_path), "*.bin"), block).count() == 250
+
+
+def test_records_lost_between_the_passes_end_the_read(tmp_path):
+    data, borders = aux_bytes(random.Random(13), 60)
+    (tmp_path / "a.bin").write_bytes(data[:borders[40]])
+    block = pa.RecordBatch.from_pylist([{"path": str(tmp_path / "a.bin"), "start": borders[0], "stop": borders[50], "error": None}])
+    with pytest.raises(OSError, match="has changed"):
+        list(B._decode("aux")([block]))
