@@ -185,6 +185,12 @@ def test_a_lost_file_ends_the_pulse_table(spark, monkeypatch):
         landing.demultiplexed(spark, SMALL).count()
 
 
+def test_a_lost_file_ends_the_scan_in_blocks(spark, monkeypatch):
+    with_a_lost_file(monkeypatch)
+    with pytest.raises(Exception, match="No such file"):
+        landing.spectrum_blocks(spark, SMALL).count()
+
+
 @pytest.mark.parametrize("block", [700, 1 << 20])
 def test_a_file_cut_short_after_listing_ends_the_read(spark, tmp_path, block):
     data, borders = aux_bytes(random.Random(12), 400)
