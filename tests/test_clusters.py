@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronoband.operators import clusters as L
+from chronoband.plans import drift
+from tests.conftest import SMALL
 
 
 def blobs(spark, seed=1, n=300):
@@ -157,3 +161,12 @@ def test_rows_that_share_a_key_are_no_pairs(spark):
     for block in (1, 3, 9, 100):
         got = {(r.key, r.own, r.cluster): (r.total, r.n) for r in L.pair_sums(df, "id", most=None, block=block).collect()}
         assert set(got) == set(want) and all(np.isclose(got[k][0], want[k][0]) and got[k][1] == want[k][1] for k in want)
+
+
+def test_the_summary_samples_no_rows(spark, monkeypatch):
+    """The clusters of the diagnostic summary are scored on every row that the report has."""
+    def sampled(*_):
+        raise AssertionError("rows were sampled")
+    monkeypatch.setattr(L, "fixed_sample", sampled)
+    found = json.loads(drift.summary(spark, SMALL).first().summary)["cluster_stats"]
+    assert found["n_rows"] == drift.master(spark, SMALL).count() and -1 <= found["silhouette"] <= 1
